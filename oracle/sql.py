@@ -131,3 +131,190 @@ SELECT count(*) AS total_cases,
   count(*) FILTER (WHERE len(ph)>0) AS cases_with_placeholder,
   count(*) FILTER (WHERE len(unresolved)>0) AS cases_with_unresolved_placeholder
 FROM analysis"""
+
+_REP = "CASE WHEN {b}='' THEN {l}||':' WHEN contains({b},chr(10)) THEN {l}||':'||chr(10)||{b} ELSE {l}||': '||{b} END"
+_OK2 = f"{B.valid('c.template_content')} AND {B.valid('c.report')}"
+
+_DERIVED = _A + f""",
+kept AS (
+  SELECT t.case_id, t.label, t.pos, r.body FROM tsu t JOIN rsu r ON r.case_id=t.case_id AND r.label=t.label
+  JOIN both_ok b ON b.case_id=t.case_id WHERE {B.norm('t.body')} <> {B.norm('r.body')}),
+imp AS (
+  SELECT c.case_id, CASE WHEN {B.norm(B.after('c.template_content'))} <> {B.norm(B.after('c.report'))}
+      AND {B.nl_trim(B.after('c.report'))} <> '' THEN {B.nl_trim(B.after('c.report'))} END AS impression
+  FROM cases c WHERE {_OK2})"""
+
+SQL["derive_edits"] = _DERIVED + """,
+e AS (SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY pos) - 1 AS position, label, body FROM kept)
+SELECT case_id, position, label, body FROM e
+UNION ALL SELECT i.case_id, (SELECT count(*) FROM e WHERE e.case_id=i.case_id), 'IMPRESSION', impression FROM imp i"""
+
+
+def resolved(raw: str, body_part: str, dictation: str) -> str:
+    out = raw
+    for token in ("[left/right]", "[left/right/bilateral]", "[_laterality_]"):
+        out = f"replace({out}, '{token}', coalesce({dictation}, '{token}'))"
+    return f"replace(replace(replace({out}, '[generic]', {body_part}),'[',''),']','')"
+
+
+def _warn(raw: str, side_: str) -> str:
+    found = f"list_filter({B.TOKENS3}, lambda p: contains({raw}, p))"
+    quoted = f"array_to_string(list_transform({found}, lambda p: chr(39)||p||chr(39)),', ')"
+    return (
+        f"CASE WHEN len({found})>0 AND {side_} IS NULL THEN 'laterality placeholder(s) ['||{quoted}||"
+        "'] left unresolved: the dictation names no side' ELSE '' END"
+    )
+
+
+SQL["apply_edits"] = _DERIVED + f""",
+pieces AS (
+  SELECT l.case_id, l.i, CASE WHEN k.label IS NULL THEN l.line
+      WHEN l.i = t.st THEN {_REP.format(b=B.nl_trim('k.body'), l='k.label')} END AS piece,
+      k.label IS NOT NULL AND l.i > t.st AS gone
+  FROM ts_s l LEFT JOIN ts t ON t.case_id=l.case_id AND t.pos=l.sid-1 AND l.i>=t.st AND l.i<t.en
+  LEFT JOIN kept k ON k.case_id=t.case_id AND k.label=t.label),
+built AS (SELECT case_id, string_agg(piece, chr(10) ORDER BY i) AS region FROM pieces WHERE NOT gone GROUP BY case_id),
+raw AS (
+  SELECT c.case_id, c.case_id NOT IN (SELECT case_id FROM ts) AS rejected,
+    'FINDINGS:'||b.region||'IMPRESSION:'||CASE WHEN i.impression IS NULL THEN {B.after('c.template_content')}
+      ELSE chr(10)||i.impression END AS raw, {generic('c.body_part')} AS term, {side('c.dictation')} AS side
+  FROM cases c JOIN imp i ON i.case_id=c.case_id JOIN built b ON b.case_id=c.case_id)
+SELECT case_id, CASE WHEN NOT rejected THEN {resolved('raw','term','side')} END AS report,
+  CASE WHEN rejected THEN '' ELSE {_warn('raw','side')} END AS warnings, rejected FROM raw"""
+
+SQL["unknown_labels"] = _A + """
+SELECT b.case_id, coalesce((SELECT string_agg(label, '|' ORDER BY label) FROM rsu r WHERE r.case_id=b.case_id
+  AND NOT EXISTS (SELECT 1 FROM ts t WHERE t.case_id=r.case_id AND t.label=r.label)
+  AND (EXISTS (SELECT 1 FROM ts t WHERE t.case_id=r.case_id) OR r.label<>'FINDINGS')),'') AS unknown
+FROM both_ok b"""
+
+SQL["mock_edits"] = f"""WITH {B.CASES},{B.sections('ts','template_content')},
+s AS (SELECT case_id, {SNIPPET} AS snip FROM cases),
+pieces AS (
+  SELECT l.case_id, l.i, CASE WHEN t.label IS NULL THEN l.line
+      ELSE t.label||': Mockized review for '||t.label||': '||s.snip END AS piece,
+      t.label IS NOT NULL AND l.i > t.st AS gone
+  FROM ts_s l JOIN s ON s.case_id=l.case_id
+  LEFT JOIN ts t ON t.case_id=l.case_id AND t.pos=l.sid-1 AND l.i>=t.st AND l.i<t.en),
+built AS (SELECT case_id, string_agg(piece, chr(10) ORDER BY i) AS region FROM pieces WHERE NOT gone GROUP BY case_id),
+raw AS (
+  SELECT c.case_id, 'FINDINGS:'||CASE WHEN c.case_id IN (SELECT case_id FROM ts) THEN b.region
+      ELSE chr(10)||s.snip||chr(10)||chr(10) END||'IMPRESSION:'||chr(10)||'Mock impression ('||c.case_id||
+      ') - not clinically meaningful.' AS raw, {generic('c.body_part')} AS term, {side('c.dictation')} AS side
+  FROM cases c JOIN s ON s.case_id=c.case_id JOIN built b ON b.case_id=c.case_id)
+SELECT case_id, {resolved('raw','term','side')} AS report, {_warn('raw','side')} AS apply_warnings,
+  CAST(0 AS BIGINT) AS n_errors FROM raw"""
+
+_QSPANS = (
+    r"CASE WHEN len(regexp_extract_all({0}, '\[[^\]]*\]'))>0 THEN array_to_string(list_transform("
+    r"regexp_extract_all({0}, '\[[^\]]*\]'), lambda s: chr(39)||s||chr(39)),', ') "
+    "WHEN contains({0},'[') THEN chr(39)||'['||chr(39) WHEN contains({0},']') THEN chr(39)||']'||chr(39) ELSE '' END"
+)
+
+
+def _list(items: str) -> str:
+    return f"('['||array_to_string(list_transform({items}, lambda s: chr(39)||s||chr(39)),', ')||']')"
+
+
+SQL["report_validation"] = f"""WITH {B.CASES},{B.sections('rs','report')},
+dup AS (SELECT case_id, list(label ORDER BY label) AS names FROM (
+  SELECT case_id, label FROM rs GROUP BY case_id, label HAVING count(*)>1) GROUP BY case_id),
+v AS (SELECT c.*, list_filter({B.TOKENS4}, lambda p: contains(report,p)) AS left_ph, dup.names,
+    {lost('dictation','report')} AS lost, {_QSPANS.format('report')} AS spans
+  FROM cases c LEFT JOIN dup ON dup.case_id=c.case_id)
+SELECT case_id, concat_ws('|',
+  CASE WHEN spans<>'' THEN 'report holds bracketed placeholder or template text: '||spans END,
+  CASE WHEN {B.nl_trim(B.region('report'))}='' THEN 'empty FINDINGS block' END,
+  CASE WHEN {B.strip(B.after('report'))}='' THEN 'empty IMPRESSION' END) AS errors,
+ concat_ws('|',
+  CASE WHEN len(left_ph)>0 THEN 'unresolved placeholder(s) in report: '||{_list('left_ph')} END,
+  CASE WHEN names IS NOT NULL THEN 'duplicate section label(s) in report: '||{_list('names')} END,
+  CASE WHEN len(lost)>0 THEN 'measured value(s) of the dictation absent from report: '||{_list('lost')} END) AS warnings
+FROM v"""
+
+SQL["edit_summary"] = f"""WITH {B.CASES},{B.sections('ts','template_content')},{B.sections('rs','report')},
+r1 AS (SELECT case_id, label, arg_min(body, pos) AS body FROM rs GROUP BY ALL),
+d AS (SELECT t.case_id, string_agg(t.label, '|' ORDER BY t.pos) AS edited, count(*) AS n FROM ts t
+  LEFT JOIN r1 ON r1.case_id=t.case_id AND r1.label=t.label
+  WHERE r1.label IS NULL OR {B.strip('r1.body')} <> {B.strip('t.body')} GROUP BY t.case_id)
+SELECT c.case_id, CASE WHEN {_OK2} THEN coalesce(d.edited,'') END AS edited,
+  CASE WHEN {_OK2} THEN {B.strip(B.after('c.template_content'))} <> {B.strip(B.after('c.report'))} END AS impression_changed,
+  CASE WHEN {_OK2} THEN coalesce(d.n,0) END AS edited_section_count
+FROM cases c LEFT JOIN d ON d.case_id=c.case_id"""
+
+_BLANK = "count(*) FILTER (WHERE " + B.strip("{0}") + "='') AS blank_{0}"
+SQL["dataset_checks"] = f"""WITH {B.CASES}
+SELECT count(*) AS rows, count(*)-count(DISTINCT case_id) AS duplicate_ids,
+  {", ".join(_BLANK.format(c) for c in ("body_part","case_id","dictation","modality","template_content"))} FROM cases"""
+
+SQL["contract_checks"] = """WITH c AS (SELECT lpad(CAST(doc_id AS VARCHAR),12,'0') AS id FROM documents),
+s AS (SELECT lpad(CAST(doc_id AS VARCHAR),12,'0') AS id FROM labels),
+m AS (SELECT id FROM c WHERE id NOT IN (SELECT id FROM s)), x AS (SELECT id FROM s WHERE id NOT IN (SELECT id FROM c))
+SELECT 'cases' AS "check", (SELECT count(*) FROM c) AS found, '' AS sample
+UNION ALL SELECT 'rows', (SELECT count(*) FROM s), ''
+UNION ALL SELECT 'duplicates', (SELECT count(*)-count(DISTINCT id) FROM s), ''
+UNION ALL SELECT 'missing', (SELECT count(*) FROM m), ''
+UNION ALL SELECT 'extra', (SELECT count(*) FROM x), ''
+UNION ALL SELECT 'missing_sample', NULL, coalesce((SELECT string_agg(id, ',' ORDER BY id) FROM (SELECT id FROM m ORDER BY id LIMIT 3)),'')
+UNION ALL SELECT 'extra_sample', NULL, coalesce((SELECT string_agg(id, ',' ORDER BY id) FROM (SELECT id FROM x ORDER BY id LIMIT 3)),'')"""
+
+_LOG = """log AS (
+  SELECT event_id AS seq, lpad(CAST(user_id AS VARCHAR),12,'0') AS case_id, user_id AS row_index,
+    CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'signup' THEN 'PENDING' ELSE 'SUCCESS' END AS status,
+    CASE WHEN event_type='error' THEN '' WHEN event_type='view' THEN 'FINDINGS:'||chr(10)||'[x] '||props||chr(10)||'IMPRESSION:'||chr(10)||'ok'
+      WHEN value<5 THEN ' '||chr(10) ELSE 'FINDINGS:'||chr(10)||props||chr(10)||'IMPRESSION:'||chr(10)||'ok' END AS report,
+    CAST(regexp_extract(props,'[0-9]+') AS BIGINT) AS attempts, round(value,3) AS latency_seconds,
+    CASE WHEN event_type='error' THEN 'TIMEOUT' END AS error_category,
+    CASE WHEN event_type='error' THEN 'TimeoutError: '||props END AS error_message,
+    strftime(ts,'%Y-%m-%dT%H:%M:%S') AS timestamp
+  FROM events)"""
+
+SQL["checkpoint_records"] = f"""WITH {_LOG}
+SELECT seq, case_id, row_index, status, report, CASE WHEN seq%16=7 THEN 1 ELSE attempts END AS attempts,
+  latency_seconds, error_category, timestamp FROM log WHERE status<>'PENDING' AND seq%16 NOT IN (3,5)"""
+
+_STATE = f"""{_LOG},
+ok AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY seq DESC) AS back,
+  min(seq) OVER (PARTITION BY case_id) AS first_seq FROM log WHERE status<>'PENDING'),
+state AS (SELECT * FROM ok WHERE back=1)"""
+
+SQL["latest_state"] = f"""WITH {_STATE} SELECT case_id, seq, first_seq, status, report, attempts,
+  latency_seconds, error_category, timestamp FROM state"""
+SQL["state_counts"] = f"""WITH {_STATE} SELECT count(*) AS attempted,
+  count(*) FILTER (WHERE status='SUCCESS') AS succeeded, count(*) FILTER (WHERE status='FAILED') AS failed FROM state"""
+SQL["run_summary"] = f"""WITH {_LOG} SELECT count(*) FILTER (WHERE status='SUCCESS') AS succeeded,
+  count(*) FILTER (WHERE status='FAILED') AS failed, CAST(sum(attempts) AS BIGINT) AS call_count
+  FROM log WHERE status<>'PENDING'"""
+_IDS = "ids AS (SELECT lpad(CAST(doc_id AS VARCHAR),12,'0') AS case_id, doc_id AS row_index FROM documents)"
+SQL["resume_plan"] = f"""WITH {_STATE},{_IDS} SELECT case_id, row_index FROM ids
+WHERE case_id NOT IN (SELECT case_id FROM state WHERE status='SUCCESS')"""
+SQL["predictions_view"] = f"""WITH {_STATE},{_IDS} SELECT i.case_id, i.row_index, s.report FROM ids i
+JOIN state s ON s.case_id=i.case_id WHERE s.status='SUCCESS'"""
+SQL["failures_view"] = f"""WITH {_STATE} SELECT case_id, row_index, timestamp, coalesce(error_category,'') AS error_category,
+  coalesce(error_message,'') AS error_message, attempts FROM state
+WHERE status='FAILED' AND case_id IN (SELECT lpad(CAST(doc_id AS VARCHAR),12,'0') FROM documents)"""
+SQL["submission_errors"] = f"""WITH {_STATE},{_IDS},
+f AS (
+  SELECT 0 AS part, i.row_index AS place, CASE WHEN s.status IS NULL THEN 'missing: '||i.case_id||' was never attempted'
+    WHEN s.status<>'SUCCESS' THEN 'not succeeded: '||i.case_id||' has status '||s.status
+    WHEN {B.strip('s.report')}='' THEN 'empty report: '||i.case_id
+    WHEN {_QSPANS.format('s.report')}<>'' THEN 'bracketed text in report: '||i.case_id||' '||{_QSPANS.format('s.report')} END AS message
+  FROM ids i LEFT JOIN state s ON s.case_id=i.case_id
+  UNION ALL SELECT 2, 0, 'unexpected case_id(s) in state: ['||string_agg(chr(39)||case_id||chr(39), ', ' ORDER BY first_seq)||']'
+  FROM (SELECT case_id, first_seq FROM state WHERE status='SUCCESS' AND case_id NOT IN (SELECT case_id FROM ids)
+        ORDER BY first_seq LIMIT 5) HAVING count(*)>0),
+r AS (SELECT row_number() OVER (ORDER BY part, place) AS rank, message FROM f WHERE message IS NOT NULL)
+SELECT rank, message FROM r WHERE rank<=10
+UNION ALL SELECT 11, '... and '||CAST(count(*)-10 AS VARCHAR)||' more issue(s)' FROM r HAVING count(*)>10"""
+
+SQL["error_classes"] = """WITH e AS (
+  SELECT ['MockFailure','InvalidModelOutput','TimeoutError','DeadlineExceeded','TooManyRequests','ClientError','ServerError',
+    'ConnectionResetError','OSError','Unavailable','TemplateError','ValueError'][event_id%12+1] AS name,
+    [400,401,403,404,418,429,500,502,503,504][user_id%10+1] AS status FROM events),
+c AS (SELECT name, CAST(status AS BIGINT) AS status, CASE
+  WHEN name='MockFailure' THEN 'MOCK' WHEN name='InvalidModelOutput' THEN 'INVALID_OUTPUT'
+  WHEN name IN ('TimeoutError','DeadlineExceeded') THEN 'TIMEOUT' WHEN name='TooManyRequests' THEN 'RATE_LIMIT'
+  WHEN name IN ('ClientError','ServerError') AND status<>418 THEN
+    CASE WHEN status IN (401,403) THEN 'AUTH' WHEN status IN (400,404) THEN 'CONFIG' WHEN status=429 THEN 'RATE_LIMIT' ELSE 'TRANSIENT' END
+  WHEN name IN ('ConnectionResetError','OSError','Unavailable') THEN 'TRANSIENT' ELSE 'GENERIC' END AS category FROM e)
+SELECT name, status, category, count(*) AS events, category NOT IN ('AUTH','CONFIG') AS retryable FROM c GROUP BY ALL"""

@@ -214,3 +214,36 @@ def edit_rate_by_group(analysis: DataFrame) -> DataFrame:
     return analysis.groupBy(group_key().alias("group")).agg(
         F.count_if("findings_changed").alias("findings_edited"), F.count("*").alias("total")
     )
+
+
+def edit_summary(df: DataFrame, *, char_edits: bool = True) -> DataFrame:
+    """Per-case measures for the details log; null where a text cannot be parsed.
+
+    Unlike :func:`classify`, bodies are only trimmed, every template section
+    counts, a lost label is an edit, and the first of equal report labels counts.
+    """
+    d = T.parse(T.parse(df, "template_content", "t"), "report", "r")
+    ok = F.col("t_error").isNull() & F.col("r_error").isNull()
+    edited = X.bind(
+        T.body_map(T.last_wins(F.reverse("r_sections"))),
+        lambda known: T.labels(
+            F.filter(
+                "t_sections",
+                lambda s: ~F.map_contains_key(known, s["label"])
+                | (X.strip(s["body"]) != X.strip(X.text(F.try_element_at(known, s["label"])))),
+            )
+        ),
+    )
+    d = (
+        d.withColumn("edited_sections", F.when(ok, edited))
+        .withColumn("edited_section_count", F.when(ok, F.size("edited_sections")))
+        .withColumn(
+            "impression_changed", F.when(ok, X.strip(F.col("t_after")) != X.strip(F.col("r_after")))
+        )
+    )
+    if char_edits:
+        d = with_char_edits(d, "template_content", "report").withColumn(
+            "char_edit_ratio", F.when(ok, F.round("char_edit_ratio", 4))
+        ).drop("added_chars", "deleted_chars")
+    drop = [f"{p}_{n}" for p in "tr" for n in ("error", "region", "after", "chunks", "sections")]
+    return d.drop(*drop)

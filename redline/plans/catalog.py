@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redline.functions import text as X
+from redline.functions import modeltext as M
 from redline.operators import analysis as A
+from redline.operators import checkpoint as C
 from redline.operators import edits as E
+from redline.operators import errors as R
+from redline.operators import generators as G
 from redline.operators import template as T
+from redline.operators import validation as V
 from redline.plans import corpus
 
 QUERIES: dict = {}
@@ -206,3 +211,236 @@ def placeholder_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def corpus_edit_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.corpus_stats(_analysis(spark, sf_dir, char_edits=False), char_edits=False)
+
+
+@query
+def char_edit_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _analysis(spark, sf_dir)
+    return d.select(
+        "case_id", F.round("char_edit_ratio", 9).alias("char_edit_ratio"),
+        "added_chars", "deleted_chars", "preserved_exactly",
+    )
+
+
+@query
+def char_edit_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corpus means and the exact median of the character measures, one row each."""
+    d = _analysis(spark, sf_dir).select("char_edit_ratio", "added_chars", "deleted_chars")
+    d = corpus.keep(d)  # both branches below read it
+    means = d.agg(
+        F.round(F.avg("char_edit_ratio"), 4).alias("average_ratio"),
+        F.round(F.avg("added_chars"), 2).alias("average_added"),
+        F.round(F.avg("deleted_chars"), 2).alias("average_deleted"),
+        F.round(F.count_if(F.col("char_edit_ratio") <= 0.5) / F.count("*") * 100, 2).alias("percent_low"),
+    )
+    names = means.columns
+    long = means.select(F.stack(F.lit(len(names)), *[x for n in names for x in (F.lit(n), n)]).alias("measure", "value"))
+    median = A.exact_median(d, "char_edit_ratio").select(
+        F.lit("median_ratio"), F.round("median", 9)
+    )
+    return long.unionAll(median)
+
+
+# --- edits --------------------------------------------------------------------
+
+
+def _derived(spark, sf_dir):
+    return E.with_derived_edits(corpus.all_cases(spark, sf_dir))
+
+
+@query
+def derive_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = F.transform(
+        F.map_entries("edits.findings_edits"),
+        lambda e: F.struct(e["key"].alias("label"), e["value"].alias("body")),
+    )
+    impression = F.array(
+        F.struct(F.lit("IMPRESSION").alias("label"), F.col("edits.impression").alias("body"))
+    )
+    d = _derived(spark, sf_dir).select("case_id", F.concat(entries, impression).alias("edits"))
+    return T.explode(d, "edits", "e").select(
+        "case_id", _big("position").alias("position"), "e.label", "e.body"
+    )
+
+
+@query
+def apply_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Derived edits applied to their templates again."""
+    d = _derived(spark, sf_dir).where(F.col("edits").isNotNull())
+    d = d.select("case_id", "template_content", "body_part", "dictation", "edits")
+    d = E.apply_edits(d)
+    return d.select(
+        "case_id", "report", F.array_join("apply_warnings", "|").alias("warnings"),
+        F.col("apply_error").isNotNull().alias("rejected"),
+    )
+
+
+@query
+def unknown_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of a report used as edit keys that its template does not have."""
+    d = T.parse(T.parse(corpus.all_cases(spark, sf_dir), "template_content", "t"), "report", "r")
+    d = d.where(F.col("t_error").isNull() & F.col("r_error").isNull())
+    keys = T.body_map(T.last_wins(F.col("r_sections")))
+    return d.select(
+        "case_id", F.array_join(E.unknown_labels(keys, F.col("t_sections")), "|").alias("unknown")
+    )
+
+
+@query
+def mock_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mock edits applied to every template, with the checks of the result."""
+    d = G.MockGenerator().generate(corpus.all_cases(spark, sf_dir).drop("report"), 1)
+    d = V.validate_reports(E.apply_edits(d.where(F.col("edits").isNotNull())))
+    return d.select(
+        "case_id", "report", F.array_join("apply_warnings", "|").alias("apply_warnings"),
+        F.size("errors").cast("bigint").alias("n_errors"),
+    )
+
+
+@query
+def report_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = V.validate_reports(corpus.all_cases(spark, sf_dir))
+    return d.select(
+        "case_id", F.array_join("errors", "|").alias("errors"), F.array_join("warnings", "|").alias("warnings")
+    )
+
+
+@query
+def edit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log measures of an edit: bodies compared after trimming only."""
+    d = A.edit_summary(corpus.all_cases(spark, sf_dir), char_edits=False)
+    return d.select(
+        "case_id", _joined("edited_sections").alias("edited"), "impression_changed",
+        _big("edited_section_count").alias("edited_section_count"),
+    )
+
+
+@query
+def parse_model_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits written as JSON, damaged in several ways, fenced and decoded again."""
+    d = _derived(spark, sf_dir).where(F.col("edits").isNotNull())
+    text = M.edits_as_json(F.col("edits"))
+    kind = F.col("row_index") % 8
+    answer = (
+        F.when(kind == 1, F.concat(F.lit("```json\n"), text, F.lit("\n```")))
+        .when(kind == 2, F.concat(text, F.lit(" trailing")))
+        .when(kind == 3, F.replace(text, F.lit('"impression"'), F.lit('"conclusion"')))
+        .when(kind == 4, F.replace(text, F.lit("null"), F.lit("5")))
+        .when(kind == 5, F.replace(text, F.lit(" Measures"), F.lit("\\nIMPRESSION:\\n")))
+        .when(kind == 6, F.lit("  "))
+        .otherwise(text)
+    )
+    d = d.select("case_id", "edits", M.decode_edits(answer).alias("got"))
+    same = F.to_json("got.findings_edits") == F.to_json("edits.findings_edits")
+    return d.select("case_id", F.col("got.error").alias("error"), same.alias("same_edits"))
+
+
+# --- data contracts, log, resume ----------------------------------------------
+
+
+@query
+def dataset_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.dataset_report(corpus.all_cases(spark, sf_dir), expected=None)
+
+
+@query
+def contract_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    skeleton = corpus.table(spark, sf_dir, "labels").select(
+        F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("case_id")
+    )
+    return V.contract(corpus.all_cases(spark, sf_dir), skeleton)
+
+
+@query
+def checkpoint_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log lines as JSON, some damaged, read back as typed records."""
+    log = corpus.checkpoint_log(spark, sf_dir)
+    line = F.to_json(F.struct(*[c for c in log.columns if c != "seq"]))
+    kind = F.col("seq") % 16
+    damaged = (
+        F.when(kind == 3, F.left(line, F.length(line) - 9))
+        .when(kind == 5, F.replace(line, F.lit('"row_index":'), F.lit('"row_index":"x","old":')))
+        .when(kind == 7, F.replace(line, F.lit('"attempts":'), F.lit('"old":')))
+        .otherwise(line)
+    )
+    lines = log.select("seq", damaged.alias("value"))
+    lines = lines.where(M.is_json(F.col("value")))
+    d = C.valid_records(C.typed_records(lines))
+    return d.select(
+        "seq", "case_id", _big("row_index").alias("row_index"), "status", "report",
+        _big("attempts").alias("attempts"), "latency_seconds", "error_category", "timestamp",
+    )
+
+
+def _state(spark, sf_dir):
+    return C.latest_state(corpus.checkpoint_log(spark, sf_dir))
+
+
+@query
+def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _state(spark, sf_dir).select(
+        "case_id", "seq", "first_seq", "status", "report", _big("attempts").alias("attempts"),
+        "latency_seconds", "error_category", "timestamp",
+    )
+
+
+@query
+def state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.state_counts(_state(spark, sf_dir))
+
+
+@query
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = C.valid_records(corpus.checkpoint_log(spark, sf_dir))
+    return log.agg(
+        F.count_if(F.col("status") == "SUCCESS").alias("succeeded"),
+        F.count_if(F.col("status") == "FAILED").alias("failed"),
+        F.sum("attempts").alias("call_count"),
+    )
+
+
+@query
+def resume_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = corpus.all_cases(spark, sf_dir).select("case_id", "row_index")
+    return C.plan(cases, _state(spark, sf_dir), resume=True)
+
+
+@query
+def predictions_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = corpus.all_cases(spark, sf_dir).select("case_id", "row_index")
+    return C.predictions(cases, _state(spark, sf_dir))
+
+
+@query
+def failures_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = corpus.all_cases(spark, sf_dir).select("case_id", "row_index")
+    d = C.failures(cases, _state(spark, sf_dir))
+    return d.withColumns({c: _big(c) for c in ("row_index", "attempts")})
+
+
+@query
+def submission_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = corpus.all_cases(spark, sf_dir).select("case_id", "row_index")
+    return V.submission_errors(cases, _state(spark, sf_dir))
+
+
+@query
+def error_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories and retry decisions for error names and statuses of the event log."""
+    names = (
+        "MockFailure", "InvalidModelOutput", "TimeoutError", "DeadlineExceeded", "TooManyRequests",
+        "ClientError", "ServerError", "ConnectionResetError", "OSError", "Unavailable",
+        "TemplateError", "ValueError",
+    )
+    statuses = (400, 401, 403, 404, 418, 429, 500, 502, 503, 504)
+    pick = lambda values, key: F.element_at(
+        F.array(*[F.lit(v) for v in values]), (key % len(values) + 1).cast("int")
+    )
+    d = corpus.table(spark, sf_dir, "events").select(
+        pick(names, F.col("event_id")).alias("name"), pick(statuses, F.col("user_id")).alias("status")
+    )
+    category = R.classify(F.col("name"), F.col("status"))
+    d = d.select("name", _big("status").alias("status"), category.alias("category"))
+    return d.groupBy("name", "status", "category").agg(F.count("*").alias("events")).withColumn(
+        "retryable", R.is_retryable(F.col("category"))
+    )

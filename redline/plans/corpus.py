@@ -8,6 +8,8 @@ without a shuffle and grows with the table.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """Store a result that several branches read, through reliable checkpoints.
+
+    The directory is the cluster's ``spark.checkpoint.dir``.  Where none is set,
+    as in tests, the session gets one below the temporary directory.
+    """
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="run-checkpoints-"))
+    return df.checkpoint()
+
+
 def _string(c: Column) -> Column:
     return c.cast("string")
 
