@@ -318,3 +318,121 @@ c AS (SELECT name, CAST(status AS BIGINT) AS status, CASE
     CASE WHEN status IN (401,403) THEN 'AUTH' WHEN status IN (400,404) THEN 'CONFIG' WHEN status=429 THEN 'RATE_LIMIT' ELSE 'TRANSIENT' END
   WHEN name IN ('ConnectionResetError','OSError','Unavailable') THEN 'TRANSIENT' ELSE 'GENERIC' END AS category FROM e)
 SELECT name, status, category, count(*) AS events, category NOT IN ('AUTH','CONFIG') AS retryable FROM c GROUP BY ALL"""
+
+
+def _round(x: str, digits: int) -> str:
+    return f"CAST(printf('%.{digits}f', {x}) AS DOUBLE)"
+
+
+def _routing(where: str = "") -> str:
+    """CTEs by_group and by_term over the analysed cases."""
+    return f"""
+ra AS (SELECT * FROM analysis {where}),
+rl AS (SELECT DISTINCT v.case_id, v.label FROM verdict v WHERE NOT v.same),
+gt AS (SELECT modality||' / '||body_part AS signal, count(*) AS total FROM ra GROUP BY 1),
+gp AS (SELECT a.modality||' / '||a.body_part AS signal, l.label, count(*) AS n FROM ra a JOIN rl l ON l.case_id=a.case_id GROUP BY 1,2),
+gq AS (SELECT gp.signal, gp.label, {_round('CAST(n AS DOUBLE)/total', 4)} AS weight FROM gp JOIN gt ON gt.signal=gp.signal
+  WHERE n>=3 AND CAST(n AS DOUBLE)/total>=0.25),
+by_group AS (SELECT gt.signal, gq.label, gq.weight FROM gt LEFT JOIN gq ON gq.signal=gt.signal),
+tw AS (SELECT case_id, unnest({B.tokens('dictation')}) AS term FROM ra),
+tt AS (SELECT case_id, term FROM tw WHERE length(term)>=3 AND NOT list_contains({B.STOP_LIST}, term)),
+tn AS (SELECT term, count(*) AS total FROM tt GROUP BY 1),
+tp AS (SELECT tt.term, l.label, count(*) AS n FROM tt JOIN rl l ON l.case_id=tt.case_id GROUP BY 1,2),
+tq AS (SELECT tp.term AS signal, tp.label, {_round('CAST(n AS DOUBLE)/total', 4)} AS weight FROM tp JOIN tn ON tn.term=tp.term
+  WHERE total>=6 AND n>=3 AND CAST(n AS DOUBLE)/total>=0.25),
+by_term AS (SELECT signal, label, weight FROM (
+  SELECT *, row_number() OVER (PARTITION BY signal ORDER BY weight DESC, label) AS r FROM tq) WHERE r<=8)"""
+
+
+SQL["routing_by_group"] = _A + "," + _routing() + " SELECT signal, label, weight FROM by_group"
+SQL["routing_by_term"] = _A + "," + _routing() + " SELECT signal, label, weight FROM by_term"
+
+_TRAINED = "WHERE row_index IN (SELECT doc_id FROM labels)"
+
+
+def _candidates() -> str:
+    """CTE cand(case_id, label, r) for the unlabelled cases."""
+    eligible = (
+        f"list_filter({B.tokens('dictation')}, lambda t: length(t)>=3 AND NOT list_contains({B.STOP_LIST}, t))[1:4]"
+    )
+    return f"""
+todo AS (SELECT * FROM cases WHERE row_index NOT IN (SELECT doc_id FROM labels)),
+sig AS (SELECT case_id, 'g' AS kind, modality||' / '||body_part AS signal FROM todo
+  UNION ALL SELECT case_id, 't', unnest({eligible}) FROM todo),
+hits AS (SELECT s.case_id, m.label, m.weight FROM sig s JOIN by_group m ON s.kind='g' AND m.signal=s.signal AND m.label IS NOT NULL
+  UNION ALL SELECT s.case_id, m.label, m.weight FROM sig s JOIN by_term m ON s.kind='t' AND m.signal=s.signal),
+best AS (SELECT h.case_id, h.label, max(h.weight) AS weight FROM hits h
+  WHERE EXISTS (SELECT 1 FROM ts t WHERE t.case_id=h.case_id AND t.label=h.label) GROUP BY 1,2),
+cand AS (SELECT * FROM (SELECT case_id, label,
+  row_number() OVER (PARTITION BY case_id ORDER BY weight DESC, label) AS r FROM best) WHERE r<=8)"""
+
+
+SQL["candidate_sections"] = _A + "," + _routing(_TRAINED) + "," + _candidates() + """
+SELECT t.case_id, coalesce(string_agg(c.label, '|' ORDER BY c.r),'') AS candidates
+FROM todo t LEFT JOIN cand c ON c.case_id=t.case_id GROUP BY 1"""
+
+
+def _brute_force(queries: str, index: str, cand: str) -> str:
+    """All pairs of two case sets with every signal (CTE pairs)."""
+    toks = lambda c: f"list_distinct(list_filter({B.tokens(c)}, lambda t: NOT list_contains({B.STOP_LIST}, t)))"
+    parts = lambda c: f"list_distinct(regexp_extract_all(lower({c}), '[a-z0-9]+'))"
+    ji = lambda a, b: f"(CASE WHEN len({a})+len({b})=0 THEN 0 ELSE len(list_intersect({a},{b}))/(len({a})+len({b})-len(list_intersect({a},{b}))) END)"
+    return f"""
+feat AS (SELECT c.*, {toks('c.template_content')} AS words, {toks('c.dictation')} AS spoken,
+    {parts('c.body_part')} AS bp,
+    coalesce((SELECT list(label ORDER BY pos) FROM ts t WHERE t.case_id=c.case_id),[]) AS labels,
+    coalesce((SELECT list(v.label) FROM verdict v WHERE v.case_id=c.case_id AND NOT v.same),[]) AS edited
+  FROM cases c),
+ix AS (SELECT * FROM feat c WHERE {_OK2} {index}),
+qx AS (SELECT f.*, {cand} AS cands FROM feat f {queries}),
+df AS (SELECT token, count(*) AS df FROM (SELECT unnest(spoken) AS token FROM ix) GROUP BY 1),
+idf AS (SELECT token, pow(ln((1.0+(SELECT count(*) FROM ix))/(1.0+df))+1.0, 2) AS w FROM df),
+qt AS (SELECT case_id, unnest(spoken) AS token FROM qx), it AS (SELECT case_id, unnest(spoken) AS token FROM ix),
+qn AS (SELECT case_id, sqrt(sum(w)) AS n FROM qt JOIN idf ON idf.token=qt.token GROUP BY 1),
+inn AS (SELECT case_id, sqrt(sum(w)) AS n FROM it JOIN idf ON idf.token=it.token GROUP BY 1),
+dots AS (SELECT qt.case_id AS q, it.case_id AS i, sum(w) AS dot FROM qt JOIN it ON it.token=qt.token
+  JOIN idf ON idf.token=qt.token GROUP BY 1,2),
+pairs0 AS (
+  SELECT q.case_id AS q, i.case_id AS i, q.modality=i.modality AS sm, lower(q.body_part)=lower(i.body_part) AS sb,
+    {ji('q.bp','i.bp')} AS bj, {ji('q.labels','i.labels')} AS lj,
+    CASE WHEN len(q.labels)+len(i.labels)=0 THEN 1.0
+         ELSE 2.0*len(list_intersect(q.labels,i.labels))/(len(q.labels)+len(i.labels)) END AS lo,
+    {ji('q.words','i.words')} AS wj, {ji('q.spoken','i.spoken')} AS sj,
+    list_intersect(CASE WHEN len(q.cands)>0 THEN q.cands ELSE q.labels END, i.edited) AS e1,
+    CASE WHEN len(q.cands)>0 THEN q.cands ELSE q.labels END AS e2
+  FROM qx q JOIN ix i ON q.case_id<>i.case_id),
+pairs1 AS (
+  SELECT p.q, p.i, 0.4*lj+0.25*lo+0.35*wj AS ts,
+    CASE WHEN sm AND sb THEN 1.0 WHEN sm THEN 0.5+0.25*bj WHEN sb THEN 0.6 ELSE 0.25*bj END AS mb,
+    round(0.5*coalesce(dot/(qn.n*inn.n),0)+0.5*sj, 12) AS ds,
+    CASE WHEN len(e2)=0 THEN 0.0 ELSE len(e1)/len(e2) END AS er
+  FROM pairs0 p LEFT JOIN dots d ON d.q=p.q AND d.i=p.i LEFT JOIN qn ON qn.case_id=p.q LEFT JOIN inn ON inn.case_id=p.i),
+pairs AS (SELECT *, CASE WHEN ts>=0.97 THEN 0 WHEN ts>=0.90 THEN 1 WHEN ts>=0.80 THEN 2 ELSE 3 END AS tier FROM pairs1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY tier, mb DESC, ds DESC, er DESC, i) AS rank FROM pairs)"""
+
+
+_LABELLED = "AND c.row_index IN (SELECT doc_id FROM labels)"
+_UNLABELLED = "WHERE f.row_index NOT IN (SELECT doc_id FROM labels)"
+_CANDS = "coalesce((SELECT list(label ORDER BY r) FROM cand WHERE cand.case_id=f.case_id),[])"
+_SPLIT = _A + "," + _routing(_TRAINED) + "," + _candidates() + "," + _brute_force(_UNLABELLED, _LABELLED, _CANDS)
+
+SQL["retrieval_topk"] = _SPLIT + """
+SELECT q AS case_id, rank, i AS match_id, CAST(tier AS BIGINT) AS tier, round(ts,6) AS template_similarity,
+  CAST(round(mb,6) AS DOUBLE) AS modality_bodypart, round(ds,6) AS dictation_similarity,
+  CAST(round(er,6) AS DOUBLE) AS edited_section_relevance FROM ranked WHERE rank<=3"""
+SQL["retrieval_self"] = _A + "," + _brute_force("", "", "CAST([] AS VARCHAR[])") + """
+SELECT q AS case_id, i AS match_id, CAST(tier AS BIGINT) AS tier FROM ranked WHERE rank=1"""
+SQL["near_templates"] = _SPLIT + """
+SELECT q AS case_id, CAST(tier AS BIGINT) AS tier, count(*) AS matches FROM pairs WHERE tier<3 GROUP BY ALL"""
+SQL["tfidf_norms"] = _A + "," + _brute_force("", "", "CAST([] AS VARCHAR[])") + """
+SELECT case_id, round(n,6) AS norm FROM inn"""
+SQL["modality_scores"] = f"""WITH {B.CASES},
+q AS (SELECT DISTINCT modality, body_part FROM cases WHERE row_index NOT IN (SELECT doc_id FROM labels)),
+i AS (SELECT DISTINCT modality, body_part FROM cases WHERE row_index IN (SELECT doc_id FROM labels)),
+p AS (SELECT q.modality, q.body_part, i.modality AS index_modality, i.body_part AS index_body_part,
+    regexp_extract_all(lower(q.body_part),'[a-z0-9]+') AS a, regexp_extract_all(lower(i.body_part),'[a-z0-9]+') AS b
+  FROM q, i WHERE q.modality=i.modality OR lower(q.body_part)=lower(i.body_part))
+SELECT modality, body_part, index_modality, index_body_part, round(CASE
+  WHEN modality=index_modality AND lower(body_part)=lower(index_body_part) THEN 1.0
+  WHEN modality=index_modality THEN 0.5+0.25*len(list_intersect(a,b))/(len(a)+len(b)-len(list_intersect(a,b)))
+  ELSE 0.6 END, 6) AS score FROM p"""

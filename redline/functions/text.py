@@ -180,3 +180,18 @@ def quoted_list(items: Column) -> Column:
         F.array_join(F.transform(items, lambda s: F.concat(F.lit("'"), s, F.lit("'"))), ", "),
         F.lit("]"),
     )
+
+
+def round_unit(x: Column, digits: int) -> Column:
+    """Round a value of [0, 1] on its exact binary form, ties to even.
+
+    ``round`` works on the shortest decimal form and so differs from Python's
+    on ties.  Scaled by 2**62 the value is an exact integer, and the rest is
+    integer arithmetic on decimals.
+    """
+    one = F.lit(1 << 62).cast("decimal(20,0)")
+    scaled = (x * float(1 << 62)).cast("bigint").cast("decimal(20,0)") * F.lit(10**digits).cast("decimal(8,0)")
+    low = F.call_function("div", scaled, one)
+    twice = (scaled % one) * 2
+    up = (twice > one) | ((twice == one) & (low % 2 == 1))
+    return (low + F.when(up, 1).otherwise(0)).cast("double") / float(10**digits)

@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redline.functions import text as X
+from redline.functions import diffing
 from redline.functions import modeltext as M
 from redline.operators import analysis as A
 from redline.operators import checkpoint as C
 from redline.operators import edits as E
 from redline.operators import errors as R
 from redline.operators import generators as G
+from redline.operators import retrieval as S
+from redline.operators import routing as W
 from redline.operators import template as T
 from redline.operators import validation as V
 from redline.plans import corpus
@@ -444,3 +447,108 @@ def error_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("name", "status", "category").agg(F.count("*").alias("events")).withColumn(
         "retryable", R.is_retryable(F.col("category"))
     )
+
+
+# --- routing ------------------------------------------------------------------
+
+
+def _weights(d: DataFrame) -> DataFrame:
+    return d.select("signal", "label", "weight")
+
+
+@query
+def routing_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _weights(W.group_model(_analysis(spark, sf_dir, char_edits=False)))
+
+
+@query
+def routing_by_term(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _weights(W.term_model(_analysis(spark, sf_dir, char_edits=False)))
+
+
+def _train_model(spark, sf_dir):
+    return W.train(A.analyze(corpus.train_cases(spark, sf_dir), char_edits=False))
+
+
+@query
+def candidate_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hints for the unlabelled cases from a model of the labelled ones."""
+    d = W.candidates(corpus.test_cases(spark, sf_dir), _train_model(spark, sf_dir))
+    return d.select("case_id", _joined("candidates").alias("candidates"))
+
+
+# --- retrieval ----------------------------------------------------------------
+
+
+def _retrieval_features(spark, sf_dir):
+    index = S.index_features(corpus.train_cases(spark, sf_dir))
+    todo = corpus.test_cases(spark, sf_dir)
+    return S.query_features(todo, W.candidates(todo, _train_model(spark, sf_dir))), index
+
+
+@query
+def retrieval_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best labelled cases for every unlabelled one."""
+    cases, index = _retrieval_features(spark, sf_dir)
+    d = S.retrieve(cases, index, keep=corpus.keep)
+    rounded = [
+        F.round(c, 6).alias(c)
+        for c in ("template_similarity", "modality_bodypart", "dictation_similarity", "edited_section_relevance")
+    ]
+    return d.select("case_id", _big("rank").alias("rank"), "match_id", _big("tier").alias("tier"), *rounded)
+
+
+@query
+def retrieval_self(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest other case for every case of the whole corpus."""
+    cases = corpus.all_cases(spark, sf_dir)
+    d = S.retrieve(S.query_features(cases), S.index_features(cases), k=1, keep=corpus.keep)
+    return d.select("case_id", "match_id", _big("tier").alias("tier"))
+
+
+@query
+def tfidf_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = S.index_features(corpus.all_cases(spark, sf_dir)).select("case_id", "spoken")
+    index = corpus.keep(index)
+    norms = S.vector_norms(index, S.idf_weights(index, index.count()), "case_id")
+    return norms.select("case_id", F.round("norm", 6).alias("norm"))
+
+
+@query
+def modality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement between the keys of unlabelled and labelled cases that share one."""
+    keys = lambda d: d.select("modality", "body_part").distinct()
+    q, i = keys(corpus.test_cases(spark, sf_dir)), keys(corpus.train_cases(spark, sf_dir))
+    i = i.select(F.col("modality").alias("im"), F.col("body_part").alias("ib"))
+    met = q.join(i, F.col("modality") == F.col("im")).unionAll(
+        q.join(i, F.lower("body_part") == F.lower("ib"))
+    ).distinct()
+    score = S.modality_score(F.col("modality"), F.col("body_part"), F.col("im"), F.col("ib"))
+    return met.select(
+        "modality", "body_part", F.col("im").alias("index_modality"), F.col("ib").alias("index_body_part"),
+        F.round(score, 6).alias("score"),
+    )
+
+
+@query
+def near_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiers of template similarity between unlabelled and labelled cases."""
+    cases, index = _retrieval_features(spark, sf_dir)
+    pick = lambda d: corpus.keep(S._profiles(d).select("case_id", "tsig", "lsig", "labels", "words"))
+    q, i = pick(cases), pick(index)
+    near = S.near_templates(q, i)
+    d = q.select(F.col("tsig").alias("qt"), "case_id").join(near, "qt").join(
+        i.select(F.col("tsig").alias("it"), F.col("case_id").alias("match_id")), "it"
+    )
+    return d.groupBy("case_id", _big("tier").alias("tier")).agg(F.count("*").alias("matches"))
+
+
+@query
+def label_order_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order similarity of template and report labels, on distinct pairs."""
+    d = T.parse(T.parse(corpus.all_cases(spark, sf_dir), "template_content", "t"), "report", "r")
+    d = d.where(F.col("t_error").isNull() & F.col("r_error").isNull())
+    pairs = d.select(T.labels(F.col("t_sections")).alias("a"), T.labels(F.col("r_sections")).alias("b"))
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("cases"))
+    ratio = diffing.label_order_ratio("a", "b")
+    return pairs.select(_joined("a").alias("template"), _joined("b").alias("report"), "cases", ratio.alias("ratio"))
