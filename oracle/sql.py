@@ -390,23 +390,25 @@ idf AS (SELECT token, pow(ln((1.0+(SELECT count(*) FROM ix))/(1.0+df))+1.0, 2) A
 qt AS (SELECT case_id, unnest(spoken) AS token FROM qx), it AS (SELECT case_id, unnest(spoken) AS token FROM ix),
 qn AS (SELECT case_id, sqrt(sum(w)) AS n FROM qt JOIN idf ON idf.token=qt.token GROUP BY 1),
 inn AS (SELECT case_id, sqrt(sum(w)) AS n FROM it JOIN idf ON idf.token=it.token GROUP BY 1),
-dots AS (SELECT qt.case_id AS q, it.case_id AS i, sum(w) AS dot FROM qt JOIN it ON it.token=qt.token
+qww AS (SELECT case_id, unnest(words) AS token FROM qx), iww AS (SELECT case_id, unnest(words) AS token FROM ix),
+wsh AS (SELECT a.case_id AS q, b.case_id AS i, count(*) AS n FROM qww a JOIN iww b ON a.token=b.token GROUP BY 1,2),
+dots AS (SELECT qt.case_id AS q, it.case_id AS i, sum(w) AS dot, count(*) AS n FROM qt JOIN it ON it.token=qt.token
   JOIN idf ON idf.token=qt.token GROUP BY 1,2),
 pairs0 AS (
   SELECT q.case_id AS q, i.case_id AS i, q.modality=i.modality AS sm, lower(q.body_part)=lower(i.body_part) AS sb,
     {ji('q.bp','i.bp')} AS bj, {ji('q.labels','i.labels')} AS lj,
     CASE WHEN len(q.labels)+len(i.labels)=0 THEN 1.0
          ELSE 2.0*len(list_intersect(q.labels,i.labels))/(len(q.labels)+len(i.labels)) END AS lo,
-    {ji('q.words','i.words')} AS wj, {ji('q.spoken','i.spoken')} AS sj,
+    len(q.words) AS qw, len(i.words) AS iw, len(q.spoken) AS qs, len(i.spoken) AS isp,
     list_intersect(CASE WHEN len(q.cands)>0 THEN q.cands ELSE q.labels END, i.edited) AS e1,
     CASE WHEN len(q.cands)>0 THEN q.cands ELSE q.labels END AS e2
   FROM qx q JOIN ix i ON q.case_id<>i.case_id),
 pairs1 AS (
-  SELECT p.q, p.i, 0.4*lj+0.25*lo+0.35*wj AS ts,
+  SELECT p.q, p.i, 0.4*lj+0.25*lo+0.35*(CASE WHEN qw+iw=0 THEN 0 ELSE coalesce(wsh.n,0)/(qw+iw-coalesce(wsh.n,0)) END) AS ts,
     CASE WHEN sm AND sb THEN 1.0 WHEN sm THEN 0.5+0.25*bj WHEN sb THEN 0.6 ELSE 0.25*bj END AS mb,
-    round(0.5*coalesce(dot/(qn.n*inn.n),0)+0.5*sj, 12) AS ds,
+    round(0.5*coalesce(dot/(qn.n*inn.n),0)+0.5*(CASE WHEN qs+isp=0 THEN 0 ELSE coalesce(d.n,0)/(qs+isp-coalesce(d.n,0)) END), 12) AS ds,
     CASE WHEN len(e2)=0 THEN 0.0 ELSE len(e1)/len(e2) END AS er
-  FROM pairs0 p LEFT JOIN dots d ON d.q=p.q AND d.i=p.i LEFT JOIN qn ON qn.case_id=p.q LEFT JOIN inn ON inn.case_id=p.i),
+  FROM pairs0 p LEFT JOIN dots d ON d.q=p.q AND d.i=p.i LEFT JOIN wsh ON wsh.q=p.q AND wsh.i=p.i LEFT JOIN qn ON qn.case_id=p.q LEFT JOIN inn ON inn.case_id=p.i),
 pairs AS (SELECT *, CASE WHEN ts>=0.97 THEN 0 WHEN ts>=0.90 THEN 1 WHEN ts>=0.80 THEN 2 ELSE 3 END AS tier FROM pairs1),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY tier, mb DESC, ds DESC, er DESC, i) AS rank FROM pairs)"""
 

@@ -49,12 +49,8 @@ def classify(df: DataFrame) -> DataFrame:
             T.labels(F.col("r_sections")), lambda n: ~F.array_contains(names, n)
         ),
     )
-    return (
-        d.withColumn("edited", pick(lambda v: ~v["same"]))
-        .withColumn("unchanged", pick(lambda v: v["same"]))
-        .withColumn("added", added)
-        .drop("_verdict")
-    )
+    verdicts = {"edited": pick(lambda v: ~v["same"]), "unchanged": pick(lambda v: v["same"])}
+    return d.withColumns({**verdicts, "added": added}).drop("_verdict")
 
 
 def analyze(df: DataFrame, *, char_edits: bool = True) -> DataFrame:
@@ -69,17 +65,19 @@ def analyze(df: DataFrame, *, char_edits: bool = True) -> DataFrame:
     differ = lambda a, b: F.coalesce(X.normalize(F.col(a)) != X.normalize(F.col(b)), F.lit(False))
     none = F.array().cast(_NO_LABELS)
     present = X.placeholders_in(F.col("template_content"))
-    d = (
-        d.withColumn("parsed", ok)
-        .withColumn("findings_changed", ok & differ("t_region", "r_region"))
-        .withColumn("impression_changed", ok & differ("t_after", "r_after"))
-        .withColumn("sectioned", ~ok | (F.size("t_sections") > 0))
-        .withColumn("template_section_count", F.when(ok, F.size("t_sections")).otherwise(0))
-        .withColumn("template_labels", F.when(ok, T.labels(F.col("t_sections"))).otherwise(none))
-        .withColumn("template_placeholders", F.when(ok, present).otherwise(none))
+    labels = {n: F.when(ok, F.col(n)).otherwise(none) for n in ("edited", "unchanged", "added")}
+    d = d.withColumns(
+        {
+            "parsed": ok,
+            "findings_changed": ok & differ("t_region", "r_region"),
+            "impression_changed": ok & differ("t_after", "r_after"),
+            "sectioned": ~ok | (F.size("t_sections") > 0),
+            "template_section_count": F.when(ok, F.size("t_sections")).otherwise(0),
+            "template_labels": F.when(ok, T.labels(F.col("t_sections"))).otherwise(none),
+            "template_placeholders": F.when(ok, present).otherwise(none),
+            **labels,
+        }
     )
-    for name in ("edited", "unchanged", "added"):
-        d = d.withColumn(name, F.when(ok, F.col(name)).otherwise(none))
     d = d.withColumn(
         "unresolved_placeholders",
         X.bind(

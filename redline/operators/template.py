@@ -74,11 +74,14 @@ def sections_of(chunk_array: Column) -> Column:
 def parse(df: DataFrame, column: str, prefix: str) -> DataFrame:
     """Add ``{prefix}_error|region|after|chunks|sections`` for a text column."""
     c = F.col(column)
-    ok = F.col(f"{prefix}_error").isNull()
     return (
-        df.withColumn(f"{prefix}_error", structure_error(c))
-        .withColumn(f"{prefix}_region", F.when(ok, region(c)))
-        .withColumn(f"{prefix}_after", F.when(ok, after_impression(c)))
+        df.withColumns(
+            {
+                f"{prefix}_error": structure_error(c),
+                f"{prefix}_region": F.when(is_valid(c), region(c)),
+                f"{prefix}_after": F.when(is_valid(c), after_impression(c)),
+            }
+        )
         .withColumn(f"{prefix}_chunks", chunks(F.col(f"{prefix}_region")))
         .withColumn(f"{prefix}_sections", sections_of(F.col(f"{prefix}_chunks")))
     )

@@ -9,6 +9,7 @@ without a shuffle and grows with the table.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,15 +38,24 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Store a result that several branches read, through reliable checkpoints.
+    """Write a result that several branches read and go on from the written table.
 
-    The directory is the cluster's ``spark.checkpoint.dir``.  Where none is set,
-    as in tests, the session gets one below the temporary directory.
+    The folder is the cluster's shared ``spark.checkpoint.dir``, so a lost
+    executor costs no recomputation; unlike a checkpoint, the table also tells
+    the optimizer its size.  Where none is set, as in tests, a folder below the
+    temporary directory serves.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="run-checkpoints-"))
-    return df.checkpoint()
+    path = f"{shared_folder(df.sparkSession)}/redline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="run-checkpoints-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def _string(c: Column) -> Column:
