@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -82,37 +83,52 @@ class ModelGenerator(Generator):
         make_client: Callable[[], Callable[[str, list[tuple[str, str]]], str]],
         build_prompts: Callable[[DataFrame], DataFrame],
         model_name: str = "model",
+        delay_seconds: float = 0.0,
     ):
         self.make_client, self.build_prompts, self.model_name = make_client, build_prompts, model_name
+        self.delay_seconds = delay_seconds
 
     def generate(self, cases: DataFrame, attempt: int) -> DataFrame:
-        make_client = self.make_client
+        make_client, delay = self.make_client, self.delay_seconds
 
         def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             client = make_client()
             for batch in batches:
                 out = []
                 for case_id, system, turns in batch.itertuples(index=False):
+                    answer = category = note = None
+                    begun = time.monotonic()
                     try:
                         answer = client(system, [(t["role"], t["text"]) for t in turns])
-                        out.append((case_id, answer, None, None))
                     except Exception as exc:  # becomes the record of this attempt
-                        note = f"{type(exc).__name__}: {exc}"
-                        out.append((case_id, None, classify_exception(exc), note))
-                yield pd.DataFrame(out, columns=["case_id", "_answer", "_category", "_note"])
+                        category, note = classify_exception(exc), f"{type(exc).__name__}: {exc}"
+                    out.append((case_id, answer, category, note, time.monotonic() - begun))
+                    time.sleep(delay)
+                yield pd.DataFrame(out, columns=["case_id", "_answer", "_category", "_note", "latency"])
 
         prompts = self.build_prompts(cases).select("case_id", "system", "turns")
         answers = prompts.mapInPandas(
-            call, "case_id string, _answer string, _category string, _note string"
+            call, "case_id string, _answer string, _category string, _note string, latency double"
         )
         decoded = answers.withColumn("_edits", M.decode_edits(F.col("_answer")))
         failed = F.col("_category").isNotNull()
         error = F.when(failed, F.col("_note")).otherwise(F.col("_edits.error"))
         found = decoded.select(
-            "case_id",
+            "case_id", "latency",
             F.when(error.isNull(), F.struct("_edits.findings_edits", "_edits.impression")).alias("edits"),
             error.alias("error_message"),
             F.when(failed, F.col("_category"))
             .when(error.isNotNull(), F.lit("INVALID_OUTPUT")).alias("error_category"),
         )
-        return cases.join(found, "case_id")
+        # A case without a prompt has a template that cannot be parsed.
+        d = cases.join(found, "case_id", "left")
+        lost = F.col("latency").isNull()
+        return d.withColumns(
+            {
+                "error_category": F.when(lost, "GENERIC").otherwise(F.col("error_category")),
+                "error_message": F.when(lost, P.structure_error(F.col("template_content"))).otherwise(
+                    F.col("error_message")
+                ),
+                "latency": F.coalesce("latency", F.lit(0.0)),
+            }
+        )
