@@ -438,3 +438,33 @@ SELECT modality, body_part, index_modality, index_body_part, round(CASE
   WHEN modality=index_modality AND lower(body_part)=lower(index_body_part) THEN 1.0
   WHEN modality=index_modality THEN 0.5+0.25*len(list_intersect(a,b))/(len(a)+len(b)-len(list_intersect(a,b)))
   ELSE 0.6 END, 6) AS score FROM p"""
+
+_TASK = (
+    "'TEMPLATE SECTION LABELS (use exactly these keys in findings_edits):'||chr(10)||"
+    "coalesce((SELECT string_agg('- '||label, chr(10) ORDER BY pos) FROM ts t WHERE t.case_id=c.case_id),'- FINDINGS')"
+    "||chr(10)||chr(10)||'TEMPLATE_CONTENT:'||chr(10)||c.template_content||chr(10)||chr(10)||'DICTATION:'||chr(10)||c.dictation"
+)
+_HINT = (
+    "coalesce((SELECT chr(10)||'CANDIDATE SECTIONS TO CONSIDER (suggested by training data — a HINT only, not a restriction):'"
+    "||chr(10)||string_agg('- '||label, chr(10) ORDER BY r) FROM cand WHERE cand.case_id=c.case_id HAVING count(*)>0),'')"
+)
+SQL["prompt_turns"] = _A + "," + _routing(_TRAINED) + "," + _candidates() + f""",
+p AS (SELECT c.case_id, {_TASK}||{_HINT} AS text FROM todo c WHERE {B.valid('c.template_content')})
+SELECT case_id, CAST(2 AS BIGINT) AS turn, 'user' AS role, text FROM p
+UNION ALL SELECT case_id, 0, 'user', 'TEMPLATE SECTION LABELS (use exactly these keys in findings_edits):'||chr(10)||'- BONES'
+  ||chr(10)||chr(10)||'TEMPLATE_CONTENT:'||chr(10)||'FINDINGS:'||chr(10)||'BONES: Normal.'||chr(10)||chr(10)||'IMPRESSION:'||chr(10)||'Normal.'
+  ||chr(10)||chr(10)||'DICTATION:'||chr(10)||'broken' FROM p
+UNION ALL SELECT case_id, 1, 'model', '{{'||chr(10)||'  "findings_edits": {{'||chr(10)||'    "BONES": "Broken."'||chr(10)||'  }},'
+  ||chr(10)||'  "impression": null'||chr(10)||'}}' FROM p"""
+
+_JS = "CAST(to_json({}) AS VARCHAR)"
+SQL["example_turns"] = _DERIVED + f""",
+js AS (SELECT case_id, string_agg('    '||{_JS.format('label')}||': '||{_JS.format('body')}, ','||chr(10) ORDER BY pos) AS body
+  FROM kept GROUP BY case_id),
+p AS (SELECT c.case_id, 'REAL TRAINING EXAMPLE 1'||chr(10)||chr(10)||{_TASK} AS task,
+  '{{'||chr(10)||'  "findings_edits": '||coalesce('{{'||chr(10)||js.body||chr(10)||'  }}','{{}}')||','||chr(10)||'  "impression": '
+  ||coalesce({_JS.format('i.impression')},'null')||chr(10)||'}}' AS answer
+  FROM cases c JOIN imp i ON i.case_id=c.case_id LEFT JOIN js ON js.case_id=c.case_id
+  WHERE c.row_index IN (SELECT doc_id FROM labels))
+SELECT case_id, CAST(0 AS BIGINT) AS turn, 'user' AS role, task AS text FROM p
+UNION ALL SELECT case_id, 1, 'model', answer FROM p"""

@@ -16,6 +16,7 @@ from redline.operators import checkpoint as C
 from redline.operators import edits as E
 from redline.operators import errors as R
 from redline.operators import generators as G
+from redline.operators import prompts as P
 from redline.operators import retrieval as S
 from redline.operators import routing as W
 from redline.operators import template as T
@@ -552,3 +553,44 @@ def label_order_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("cases"))
     ratio = diffing.label_order_ratio("a", "b")
     return pairs.select(_joined("a").alias("template"), _joined("b").alias("report"), "cases", ratio.alias("ratio"))
+
+
+# --- prompts ------------------------------------------------------------------
+
+
+@query
+def prompt_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of the prompts of the unlabelled cases, with hints and one fixed example."""
+    todo = corpus.test_cases(spark, sf_dir)
+    shot = {
+        "template": "FINDINGS:\nBONES: Normal.\n\nIMPRESSION:\nNormal.",
+        "dictation": "broken",
+        "output": {"findings_edits": {"BONES": "Broken."}, "impression": None},
+    }
+    hints = W.candidates(todo, _train_model(spark, sf_dir))
+    d = P.build(todo, "Edit the template.", examples=[shot], candidates=hints)
+    return T.explode(d.select("case_id", "turns"), "turns", "t").select(
+        "case_id", _big("position").alias("turn"), "t.role", "t.text"
+    )
+
+
+@query
+def example_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every labelled case as a numbered example: its task and its edits as JSON."""
+    d = E.with_derived_edits(corpus.train_cases(spark, sf_dir)).where(F.col("edits").isNotNull())
+    turns = P.example_turns(F.col("template_content"), F.col("dictation"), F.col("edits"), F.lit(1))
+    d = T.explode(d.select("case_id", turns.alias("turns")), "turns", "t")
+    return d.select("case_id", _big("position").alias("turn"), "t.role", "t.text")
+
+
+@query
+def retrieval_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts whose examples are the retrieved cases: turns and sizes per case."""
+    todo, labelled = corpus.test_cases(spark, sf_dir), corpus.train_cases(spark, sf_dir)
+    top = S.retrieve(S.query_features(todo), S.index_features(labelled), keep=corpus.keep)
+    d = P.build(todo, "Edit the template.", retrieved=P.retrieved_examples(top, labelled))
+    text = F.array_join(F.transform("turns", lambda t: t["text"]), "\n")
+    return d.select(
+        "case_id", F.size("turns").cast("bigint").alias("turns"),
+        F.length(text).cast("bigint").alias("characters"),
+    )
