@@ -19,6 +19,8 @@ from redline.functions import text as X
 
 # Below this product of lengths the standard library is faster than hashing.
 _SMALL = 48 * 48
+# Length tried first; blocks that unrelated texts share are about this long.
+_GUESS = 12
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -51,11 +53,14 @@ class _Windows:
 
 def _longest_block(a, b, wa, wb, powers, alo, ahi, blo, bhi):
     """Longest common block of two stretches: (start in a, start in b, length)."""
-    low, high, best = 1, min(ahi - alo, bhi - blo), None
+    longest = min(ahi - alo, bhi - blo)
+    low, high, best = 1, longest, None
+    width = min(_GUESS, high)
     while low <= high:
-        width = (low + high) // 2
         ha, hb = wa.of(alo, ahi, width, powers), wb.of(blo, bhi, width, powers)
-        hit = np.isin(ha, hb)
+        ordered = np.sort(hb)
+        place = np.minimum(np.searchsorted(ordered, ha), len(ordered) - 1)
+        hit = ordered[place] == ha
         if hit.any():
             i = int(np.argmax(hit))
             j = int(np.argmax(hb == ha[i]))
@@ -63,8 +68,11 @@ def _longest_block(a, b, wa, wb, powers, alo, ahi, blo, bhi):
                 return None  # two texts with one hash: let the caller fall back
             best = (alo + i, blo + j, width)
             low = width + 1
+            # Double while nothing has failed yet: most blocks are short.
+            width = min(2 * width, high) if high == longest else (low + high) // 2
         else:
             high = width - 1
+            width = (low + high) // 2
     return best or (alo, blo, 0)
 
 
