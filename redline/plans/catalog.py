@@ -537,7 +537,7 @@ def near_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     cases, index = _retrieval_features(spark, sf_dir)
     pick = lambda d: corpus.keep(S._profiles(d).select("case_id", "tsig", "lsig", "labels", "words"))
     q, i = pick(cases), pick(index)
-    near = S.near_templates(q, i)
+    near = S.near_templates(q, i, corpus.keep)
     d = q.select(F.col("tsig").alias("qt"), "case_id").join(near, "qt").join(
         i.select(F.col("tsig").alias("it"), F.col("case_id").alias("match_id")), "it"
     )
