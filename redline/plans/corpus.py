@@ -8,13 +8,11 @@ without a shuffle and grows with the table.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from redline.functions import text as X
+from redline.sources.shared import keep, shared_folder, table  # noqa: F401
 
 VOCABULARY = (
     "LUNGS", "PLEURAL SPACES", "HEART", "MEDIASTINUM/HILA",
@@ -23,10 +21,6 @@ VOCABULARY = (
 PART_SUFFIXES = (" spine", " joint", " bone", " region", "")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows of a small input out to all cores.
 
@@ -37,27 +31,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Write a result that several branches read and go on from the written table.
-
-    The folder is the cluster's shared ``spark.checkpoint.dir``, so a lost
-    executor costs no recomputation; unlike a checkpoint, the table also tells
-    the optimizer its size.  Where none is set, as in tests, a folder below the
-    temporary directory serves.
-    """
-    path = f"{shared_folder(df.sparkSession)}/redline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="run-checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 def _string(c: Column) -> Column:
     return c.cast("string")
 
