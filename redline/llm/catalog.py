@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from redline.llm import idfiles
+from redline.llm import idfiles, pieces
 from redline.sources.shared import table
 
 QUERIES: dict = {}
@@ -21,3 +21,10 @@ def query(fn):
 def op2_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return idfiles.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
+@query
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text as count and checksum, and whether they decode to it."""
+    docs = table(spark, sf_dir, "documents")
+    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("ids")
