@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,8 +40,12 @@ def keep(df: DataFrame) -> DataFrame:
     """Write a result that several branches read and go on from the written table.
 
     A lost executor then costs no recomputation; unlike a checkpoint, the
-    table also tells the optimizer its size.
+    table also tells the optimizer its size.  The shuffle files of the jobs that
+    made it are no longer needed, so Spark's cleaner is asked to look for them.
     """
-    path = new_folder(df.sparkSession)
+    spark = df.sparkSession
+    path = new_folder(spark)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
