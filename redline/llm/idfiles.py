@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from redline.llm.wordmemo import WordEncoder
+from redline.llm.wordmemo import word_ids
 from redline.sources.shared import new_folder
 
 MAGIC = b"IDFILE1\n"
@@ -164,7 +164,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, block: int
     """
 
     def put(batches):
-        encoder, writer, sink = WordEncoder(tokenizer), None, None
+        encoder, writer, sink = word_ids(tokenizer), None, None
         where, root = fs.FileSystem.from_uri(folder)
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         name, end = f"part-{part:06d}.ids", np.array([end_id], np.uint32)

@@ -1,50 +1,117 @@
-"""Encoding of texts word by word, with a bounded memory of words seen.
+"""Encoding of texts by the words in them, each different word once.
 
-A tokenizer whose pre-tokens never hold white space gives a text the ids of
-its space-separated parts, one after the other.  Each different part is
-encoded once by the library while it is remembered.
+A tokenizer whose pre-tokens never hold white space gives a text the ids of its
+words, one after the other.  The ids of words seen are remembered in arrays, a
+word by 128 bits of hash, at about 30 bytes each; the library encodes the others.
+The memory lives as long as the worker process and starts anew when full, which
+changes no result.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from tokenizers import Tokenizer
 
-from redline.llm.words import buffers, slices
+from redline.llm.words import second_hash, words
 
-REMEMBERED = 200_000  # a part costs about 250 bytes
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are parallel already
+from tokenizers import Tokenizer  # noqa: E402
 
+REMEMBERED = 1_500_000
 
-class WordEncoder:
-    """For tokenizers files that drop white space; only space and newline part the text here."""
+
+class WordIds:
+    """For tokenizers files that drop white space."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.memo: dict[str, bytes] = {}
+        self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
+        self._clear()
+
+    def _clear(self) -> None:
+        self.key, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.at, self.count = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat, self.used = np.zeros(1 << 16, self.kind), 0
 
-    def _learn(self, parts: set[str]) -> None:
-        if len(self.memo) + len(parts) > self.remembered:
-            self.memo.clear()  # all parts of this slice are then learnt again below
-        new = [p for p in parts if p not in self.memo]
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = np.searchsorted(self.key, keys)
+        known = place < len(self.key)
+        known[known] = self.key[place[known]] == keys[known]
+        return place, known
+
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, new: list[str]) -> None:
+        """keys ascend and none of them is known."""
+        ids, counts = [], []
         for i in range(0, len(new), 1000):
-            some = new[i:i + 1000]
-            for part, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.memo[part] = np.array(got.ids, np.uint32).tobytes()
+            for got in self.tokenizer.encode_batch_fast(new[i:i + 1000], add_special_tokens=False):
+                x = got.ids
+                ids += x
+                counts.append(len(x))
+        more = np.array(ids, self.kind)
+        if self.used + len(more) > len(self.flat):
+            grown = np.zeros(2 * (self.used + len(more)), self.kind)
+            grown[: self.used] = self.flat[: self.used]
+            self.flat = grown
+        self.flat[self.used:self.used + len(more)] = more
+        counts = np.array(counts, np.int32)
+        at = self.used + np.cumsum(counts, dtype=np.int64) - counts
+        self.used += len(more)
+        place = np.searchsorted(self.key, keys)
+        self.key, self.check = np.insert(self.key, place, keys), np.insert(self.check, place, checks)
+        self.at, self.count = np.insert(self.at, place, at), np.insert(self.count, place, counts)
+
+    def _slices(self, texts: pa.Array):
+        """Words of each slice, and the places of their ids; None where hashes clash."""
+        for w in words(texts):
+            second = second_hash(w)
+            keys, first, back = np.unique(w.hash, return_index=True, return_inverse=True)
+            if len(self.key) + len(keys) > self.remembered:
+                self._clear()
+            place, known = self._find(keys)
+            if not known.all():
+                some = first[~known]
+                raw = w.data.tobytes()
+                new = [raw[a:b].decode() for a, b in zip(w.start[some].tolist(), w.end[some].tolist())]
+                self._learn(keys[~known], second[some], new)
+                place, _ = self._find(keys)
+            place = place[back]
+            yield w, place if (self.check[place] == second).all() else None
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of every text, in order; a null is an empty text."""
-        if not len(texts):
-            return
-        at, _ = buffers(texts)
-        for i, j in slices(at):
-            split = [(t or "").replace("\n", " ").split(" ") for t in texts.slice(i, j - i).to_pylist()]
-            new = set().union(*split)
-            if not new.issubset(self.memo):
-                self._learn(new)
-            get = self.memo.__getitem__
-            for parts in split:
-                yield np.frombuffer(b"".join(map(get, parts)), np.uint32)
+        for w, place in self._slices(texts):
+            if place is None:
+                for got in self.tokenizer.encode_batch_fast(
+                    [t or "" for t in texts.slice(w.first, w.rows).to_pylist()], add_special_tokens=False
+                ):
+                    yield np.array(got.ids, self.kind)
+                continue
+            counts = self.count[place].astype(np.int64)
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            flat = self.flat[np.repeat(self.at[place] - ends[:-1], counts) + np.arange(ends[-1])]
+            yield from np.split(flat, ends[w.bounds[1:-1]])
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """How many ids every text has."""
+        out = [np.zeros(0, np.int64)]
+        for w, place in self._slices(texts):
+            if place is None:
+                got = self.tokenizer.encode_batch_fast(
+                    [t or "" for t in texts.slice(w.first, w.rows).to_pylist()], add_special_tokens=False
+                )
+                out.append(np.array([len(x.ids) for x in got], np.int64))
+                continue
+            ends = np.concatenate([[0], np.cumsum(self.count[place].astype(np.int64))])
+            out.append(np.diff(ends[w.bounds]))
+        return np.concatenate(out)
+
+
+@lru_cache(maxsize=4)
+def word_ids(path: str) -> WordIds:
+    """One per worker process and tokenizer."""
+    return WordIds(path)

@@ -37,7 +37,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=U) * U(0xD1B54A32D192ED03))
-_powers = {_BASE: np.ones(1, U), _INVERSE: np.ones(1, U)}
+_BASE2 = 0xC2B2AE3D27D4EB4F
+_INVERSE2 = pow(_BASE2, -1, 1 << 64)
+_powers = {b: np.ones(1, U) for b in (_BASE, _INVERSE, _BASE2, _INVERSE2)}
 
 
 def _power(base: int, n: int) -> np.ndarray:
@@ -99,14 +101,25 @@ def words(texts: pa.Array, breaks: np.ndarray = BLANKS, fold: np.ndarray = SAME)
         before = edge[edge > 0] - 1
         ends[before] = inside[1:-1][before]
         s, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        sums = np.zeros(n + 1, U)
-        np.cumsum(_BYTE[fold[part]] * _power(_BASE, n)[:n], out=sums[1:])
-        h = mix((sums[e] - sums[s]) * _power(_INVERSE, n)[s] + (e - s).astype(U))
+        h = _hashes(part, s, e, fold, _BASE, _INVERSE)
         bounds = np.searchsorted(s, starts)
         row = np.repeat(np.arange(j - i), np.diff(bounds))
         yield Words(i, j - i, part, row, s, e, h, bounds)
 
 
+def _hashes(part, s, e, fold, base: int, inverse: int) -> np.ndarray:
+    """Polynomials of the bytes of each word, as differences of one running sum."""
+    n = len(part)
+    sums = np.zeros(n + 1, U)
+    np.cumsum(_BYTE[fold[part]] * _power(base, n)[:n], out=sums[1:])
+    return mix((sums[e] - sums[s]) * _power(inverse, n)[s] + (e - s).astype(U))
+
+
+def second_hash(w: Words, fold: np.ndarray = SAME) -> np.ndarray:
+    """Another 64 bits of each word, independent of the first."""
+    return _hashes(w.data, w.start, w.end, fold, _BASE2, _INVERSE2)
+
+
 def windows(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of every run of k consecutive hashes; runs may cross rows, see ``whole``."""
     n = len(h) - k + 1
