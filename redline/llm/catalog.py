@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from redline.llm import idfiles, pieces
+from redline.llm import idfiles, linededup, pieces
 from redline.sources.shared import table
 
 QUERIES: dict = {}
@@ -28,3 +28,11 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text as count and checksum, and whether they decode to it."""
     docs = table(spark, sf_dir, "documents")
     return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("ids")
+
+
+@query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
+SQL["op6_line_dedup"] = linededup.SQL
