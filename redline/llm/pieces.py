@@ -25,6 +25,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +33,13 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redline.llm.words import buffers, slices
+from redline.llm.wordmemo import REMEMBERED, UnitMemo
+from redline.llm.words import Words, words
 
 SPACE = "▁"
-REMEMBERED = 200_000  # segments; one costs about 250 bytes
+#: Only space and newline part units; both begin a segment.
+LINES = np.zeros(256, bool)
+LINES[[0x0A, 0x20]] = True
 
 
 class Pieces:
@@ -64,6 +68,7 @@ class Pieces:
         # a blank that follows another character begins a piece, and a character of no piece is one alone
         inner = any(SPACE in p.lstrip(SPACE) for p in self.known)
         alone = "\n" if not any("\n" in p for p in self.known) else ""
+        self.parted = bool(alone) and not inner
         self.segment = re.compile(".+" if inner else f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+|\n", re.S)
 
     def ids_of(self, piece: str) -> list[int]:
@@ -125,31 +130,60 @@ def viterbi(pieces: Pieces, characters: Iterable[str], check: int = 64) -> Itera
 
 
 class Encoder:
-    """Encodes texts; segments between boundaries that no piece crosses are remembered."""
+    """Encodes texts; units between boundaries that no piece crosses are remembered.
+
+    A unit is a word with the blanks before it, or the blanks at the end of a text.
+    """
 
     def __init__(self, pieces: Pieces, remembered: int = REMEMBERED):
-        self.pieces, self.remembered, self.memo = pieces, remembered, {}
-
-    def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        memo = self.memo
-        segments = self.pieces.segment.findall(SPACE + text.replace(" ", SPACE))
-        try:
-            return np.frombuffer(b"".join(map(memo.__getitem__, segments)), np.uint32)
-        except KeyError:
-            pass
-        if len(memo) > self.remembered:
-            memo.clear()
-        out = []
-        for s in segments:
-            data = memo.get(s)
-            if data is None:
-                data = np.array([i for ids in viterbi(self.pieces, (s,)) for i in ids], np.uint32).tobytes()
-                if len(s) <= 64:
-                    memo[s] = data
-            out.append(data)
-        return np.frombuffer(b"".join(out), np.uint32)
+        self.pieces = pieces
+        self.kind = np.uint16 if len(pieces.text) <= 1 << 16 else np.uint32
+        self.memo = UnitMemo(lambda units: map(self.encode, units), self.kind, remembered)
+        self.size = np.array([len(d) for d in pieces.data], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(pieces.data), np.uint8)
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of a text that has its leading space already."""
+        segments = self.pieces.segment.findall(text.replace(" ", SPACE))
+        return [i for s in segments for ids in viterbi(self.pieces, (s,)) for i in ids]
+
+    def encode_all(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per slice: first row, rows, ids, where those of each row begin, and which rows decode to themselves."""
+        for w in words(texts, LINES):
+            first = np.zeros(len(w.start), bool)
+            first[w.bounds[:-1][np.diff(w.bounds) > 0]] = True
+            s = np.concatenate([w.row_start[:1], w.end[:-1]])[: len(w.start)]
+            s[first] = w.row_start[:-1][w.row[first]]
+            tail_from = w.row_start[:-1].copy()
+            full = np.diff(w.bounds) > 0
+            tail_from[full] = w.end[w.bounds[1:][full] - 1]
+            tail = np.flatnonzero(tail_from < w.row_start[1:])
+            s, e = np.concatenate([s, tail_from[tail]]), np.concatenate([w.end, w.row_start[1:][tail]])
+            row = np.concatenate([w.row, tail])
+            lead = np.concatenate([first, ~full[tail]])
+            order = np.argsort(s, kind="stable")
+            s, e, row, lead = s[order], e[order], row[order], lead[order]
+            place = self.memo.places(w.data, s, e, lead) if self.pieces.parted else None
+            if place is None:
+                ids = [self.encode(" " + t) if t else [] for t in texts.slice(w.first, w.rows).to_pylist()]
+                flat = np.array([i for x in ids for i in x], self.kind)
+                at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
+            else:
+                flat, ends = self.memo.ids(place)
+                at = ends[np.searchsorted(row, np.arange(w.rows + 1))]
+            yield w.first, w.rows, flat, at, self._same(flat, at, w)
+
+    def _same(self, flat: np.ndarray, at: np.ndarray, w: Words) -> np.ndarray:
+        """Which rows of a slice are what their ids decode to."""
+        size = self.size[flat]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        decoded = self.data[np.repeat(self.begin[flat] - ends[:-1], size) + np.arange(ends[-1])]
+        begin, end = ends[at[:-1]] + (at[1:] > at[:-1]), ends[at[1:]]  # without the leading space
+        same = end - begin == np.diff(w.row_start)
+        for i in np.flatnonzero(same):
+            same[i] = np.array_equal(decoded[begin[i]:end[i]], w.data[w.row_start[i]:w.row_start[i + 1]])
+        return same
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; control and unknown ids stand for nothing."""
@@ -157,35 +191,33 @@ class Encoder:
         return data.decode("utf-8", "replace").removeprefix(" ")
 
 
+@lru_cache(maxsize=4)
+def encoder(model: str, scores: str) -> Encoder:
+    """One per worker process and model."""
+    return Encoder(Pieces(model, scores))
+
+
 def encode(docs: DataFrame, model: str, scores: str = "zipf") -> DataFrame:
-    """Adds to ``doc_id``, ``text``: ``ids``, ``n_ids``, ``ids_crc32`` and ``round_trip``.
+    """Of ``doc_id``, ``text``: ``doc_id``, ``ids``, ``n_ids``, ``ids_crc32`` and ``round_trip``.
 
     ``model`` is the path of a model file, on every machine.  The text itself is
     not carried along; ``decode`` gives it back from the ids.
     """
 
     def run(batches):
-        encoder = Encoder(Pieces(model, scores))
+        own = encoder(model, scores)
         for batch in batches:
-            at, _ = buffers(batch.column(1))
-            for i, j in slices(at):
-                ids, crc, trip = [], [], []
-                for text in batch.column(1).slice(i, j - i).to_pylist():
-                    got = None if text is None else encoder.encode(text)
-                    ids.append(got)
-                    crc.append(None if got is None else zlib.crc32(got.astype("<u4").tobytes()))
-                    trip.append(None if got is None else encoder.decode(got) == text)
-                sizes = [0 if x is None else len(x) for x in ids]
-                ends = np.concatenate([[0], np.cumsum(sizes)])
-                flat = np.concatenate([np.zeros(0, np.uint32), *(x for x in ids if x is not None)])
+            texts = batch.column(1)
+            for first, rows, flat, at, same in own.encode_all(texts):
+                null = np.asarray(texts.slice(first, rows).is_null())
+                data = memoryview(flat.astype("<u4").tobytes())
+                crc = [zlib.crc32(data[4 * a:4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
                 lists = pa.ListArray.from_arrays(
-                    pa.array(ends, pa.int32(), mask=np.array([*(x is None for x in ids), False])),
-                    pa.array(flat.astype(np.int32)),
+                    pa.array(at, pa.int32(), mask=np.append(null, False)), pa.array(flat.astype(np.int32))
                 )
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(i, j - i), lists,
-                    pa.array([None if x is None else len(x) for x in ids], pa.int64()),
-                    pa.array(crc, pa.int64()), pa.array(trip, pa.bool_()),
+                    batch.column(0).slice(first, rows), lists, pa.array(np.diff(at), mask=null),
+                    pa.array(np.array(crc, np.int64), mask=null), pa.array(same, mask=null),
                 ], names=["doc_id", "ids", "n_ids", "ids_crc32", "round_trip"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
@@ -197,9 +229,9 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     """``doc_id`` and ``text`` of ``doc_id``, ``ids``; null ids give a null text."""
 
     def run(batches):
-        encoder = Encoder(Pieces(model))
+        own = encoder(model, "zipf")
         for batch in batches:
-            texts = [None if x is None else encoder.decode(np.array(x, np.int64)) for x in batch.column(1).to_pylist()]
+            texts = [None if x is None else own.decode(np.array(x, np.int64)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")

@@ -61,6 +61,7 @@ class Words(NamedTuple):
     end: np.ndarray
     hash: np.ndarray  # 64 bits
     bounds: np.ndarray  # the words of row i are bounds[i] to bounds[i + 1] - 1
+    row_start: np.ndarray  # byte offset of each row, and of the end
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -104,10 +105,10 @@ def words(texts: pa.Array, breaks: np.ndarray = BLANKS, fold: np.ndarray = SAME)
         h = _hashes(part, s, e, fold, _BASE, _INVERSE)
         bounds = np.searchsorted(s, starts)
         row = np.repeat(np.arange(j - i), np.diff(bounds))
-        yield Words(i, j - i, part, row, s, e, h, bounds)
+        yield Words(i, j - i, part, row, s, e, h, bounds, starts)
 
 
-def _hashes(part, s, e, fold, base: int, inverse: int) -> np.ndarray:
+def _hashes(part, s, e, fold, base, inverse) -> np.ndarray:
     """Polynomials of the bytes of each word, as differences of one running sum."""
     n = len(part)
     sums = np.zeros(n + 1, U)
@@ -115,9 +116,9 @@ def _hashes(part, s, e, fold, base: int, inverse: int) -> np.ndarray:
     return mix((sums[e] - sums[s]) * _power(inverse, n)[s] + (e - s).astype(U))
 
 
-def second_hash(w: Words, fold: np.ndarray = SAME) -> np.ndarray:
-    """Another 64 bits of each word, independent of the first."""
-    return _hashes(w.data, w.start, w.end, fold, _BASE2, _INVERSE2)
+def two_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of 64 bits for each range of bytes."""
+    return _hashes(data, s, e, SAME, _BASE, _INVERSE), _hashes(data, s, e, SAME, _BASE2, _INVERSE2)
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:
