@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from redline.llm import decontaminate, idfiles, linededup, pieces
+from redline.llm import decontaminate, idfiles, langid, linededup, pieces
 from redline.sources.shared import table
 
 QUERIES: dict = {}
@@ -41,3 +41,8 @@ SQL["op6_line_dedup"] = linededup.SQL
 @query
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(table(spark, sf_dir, "documents"))
