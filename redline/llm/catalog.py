@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from redline.llm import decontaminate, idfiles, langid, linededup, pieces
+from redline.llm import decontaminate, idfiles, langid, linededup, neardup, pieces
 from redline.sources.shared import table
 
 QUERIES: dict = {}
@@ -46,3 +46,8 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.report(table(spark, sf_dir, "documents"), percent=85)
