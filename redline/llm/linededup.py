@@ -31,6 +31,10 @@ from redline.sources.shared import keep
 BLANK = "[ \\t\\x0B\\f\\r]+"
 
 
+def _has_words(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\x0b\f\r")) != ""
+
+
 def _words(line: Column) -> Column:
     return F.filter(F.split(line, BLANK), lambda w: w != "")
 
@@ -170,7 +174,7 @@ def report(docs: DataFrame, min_words: int = 8) -> DataFrame:
     kept = kept_lines(docs, min_words).groupBy("doc_id").agg(
         F.array_sort(F.collect_list("line_no")).alias("kept"), F.sum("n_near").alias("n_near")
     )
-    n = F.size(F.filter(F.split("text", "\n", -1), lambda x: F.size(_words(x)) > 0))
+    n = F.size(F.filter(F.split("text", "\n", -1), _has_words))
     sizes = docs.where(F.col("doc_id").isNotNull()).select(
         F.col("doc_id"), F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines")
     )
@@ -192,9 +196,9 @@ def apply(docs: DataFrame, min_words: int = 8) -> DataFrame:
         F.collect_list("line_no").alias("kept__lines")
     )
     lines = F.split("text", "\n", -1)
-    blank = F.col("text").isNull() | (F.size(F.filter(lines, lambda x: F.size(_words(x)) > 0)) == 0)
+    blank = F.col("text").isNull() | (F.size(F.filter(lines, _has_words)) == 0)
     rest = F.array_join(
-        F.filter(lines, lambda x, i: F.array_contains("kept__lines", i) | (F.size(_words(x)) == 0)), "\n"
+        F.filter(lines, lambda x, i: F.array_contains("kept__lines", i) | ~_has_words(x)), "\n"
     )
     everything = F.size("kept__lines") == F.size(lines)
     joined = docs.join(kept, "doc_id", "left")
