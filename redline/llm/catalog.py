@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from redline.llm import decontaminate, idfiles, langid, linededup, neardup, pieces
+from redline.llm import decontaminate, idfiles, langid, linededup, neardup, pieces, substrings
 from redline.sources.shared import table
 
 QUERIES: dict = {}
@@ -51,3 +51,8 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.report(table(spark, sf_dir, "documents"), percent=85)
+
+
+@query
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(table(spark, sf_dir, "documents"))
