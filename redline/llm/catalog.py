@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from redline.llm import decontaminate, idfiles, langid, linededup, neardup, pieces, substrings
+from redline.llm import decontaminate, idfiles, langid, linededup, neardup, pieces, substrings, topk
 from redline.sources.shared import table
 
 QUERIES: dict = {}
@@ -56,3 +56,22 @@ def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.top_k(rows.where("vec_id % 50 = 0"), rows, 5)
+
+
+SQL["op5_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, d.vec_id,
+    CAST(list_sum(list_transform(range(1, 1 + len(q.v)), lambda i: q.v[i] * d.v[i])) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
