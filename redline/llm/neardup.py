@@ -16,13 +16,16 @@ components, each named after its smallest doc_id.
    pairs whose tokens make the similarity possible are confirmed on the full sets.
    That joins most groups with a row per set, however large they are.
 5. Then all pairs of a node that are not yet in one component are compared, by
-   tokens first, on the full sets after.  Large nodes are compared in blocks, each
-   pair of blocks a task of its own; nothing is capped.
+   tokens first, then by 32 bits of each shingle, which can only overstate what
+   two sets share; what is left is confirmed on the full sets.  Large nodes are
+   compared in blocks, each pair of blocks a unit of its own; nothing is capped.
+   Groups of many documents just below the limit cost comparisons in memory,
+   but no rows.
 
 Recall: a pair at the limit stays together in a tree of depth d with about
 0.85^d or more; with 12 trees, less than 1 in 10^4 such pairs is never compared,
 and a component needs only some of its links.  A pair is wrongly left out by its
-tokens if under 38 of 64 agree, over five standard deviations at 0.85.
+tokens if five standard deviations fewer agree than expected at the limit.
 
 Null, empty or wordless texts have an empty set and link with nothing.  Rows with
 null doc_id are passed over by ``report`` and kept by ``apply``; rows that share a
@@ -44,7 +47,6 @@ from redline.sources.shared import keep
 
 WORDS = 5
 COORDINATES = 64
-LEAST_EQUAL = 38
 BLOCK = 512  # sets of a node compared at a time
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 
@@ -104,6 +106,12 @@ def describe(docs: DataFrame) -> DataFrame:
     ).mapInArrow(_describe, "doc_id long, n long, h1 long, h2 long, tokens binary")
 
 
+def least_equal(percent: int) -> int:
+    """Equal tokens that a pair at the limit has but for one case in a million."""
+    p = percent / 100
+    return int(COORDINATES * p - 5 * (COORDINATES * p * (1 - p)) ** 0.5)
+
+
 def _token(c: Column) -> Column:
     return F.substring("tokens", c * 4 + 1, F.lit(4))
 
@@ -156,15 +164,16 @@ def _pivot_pairs(nodes: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs with enough equal tokens and sizes that allow the similarity."""
-    left = sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("ta"), F.col("n").alias("na"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("tb"), F.col("n").alias("nb"))
+def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs with enough equal tokens."""
+    left = sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("ta"))
+    right = sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("tb"))
+    enough = least_equal(percent)
 
     def agree(batches):
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, COORDINATES) for i in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array((x == y).sum(1) >= LEAST_EQUAL))
+            yield batch.select([0, 1]).filter(pa.array((x == y).sum(1) >= enough))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(agree, "a long, b long")
 
@@ -194,11 +203,22 @@ def _sets(texts: pa.Array) -> Iterator[np.ndarray]:
             yield h[at[r]:at[r + 1]]
 
 
-def _open_pairs(nodes: DataFrame, sets: DataFrame, linked: DataFrame) -> DataFrame:
-    """``a``, ``b``: likely pairs of a node that are not in one component yet.
+def _short_sets(batches):
+    """set_id and the sorted low halves of its shingles."""
+    for batch in batches:
+        for first, rows, h, at in shingle_sets(batch.column(1)):
+            low = (h & U(0xFFFFFFFF)).astype(np.uint32)
+            data = [np.unique(low[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(first, rows), pa.array(data, pa.binary())], names=["set_id", "low"]
+            )
+
+
+def _open_pairs(nodes: DataFrame, sets: DataFrame, texts: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
+    """``a``, ``b``: pairs of a node that are not in one component yet and seem similar enough.
 
     Nodes within one component are done.  The sets of the others are dealt to
-    blocks of about BLOCK; each pair of blocks of a node meets in one place.
+    blocks of about BLOCK; each pair of blocks of a node meets in one unit.
     """
     member = linked.select(F.col("node").alias("set_id"), "component")
     named = nodes.join(member, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
@@ -211,32 +231,32 @@ def _open_pairs(nodes: DataFrame, sets: DataFrame, linked: DataFrame) -> DataFra
         "path", "set_id", "component", "block",
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
     ).select(
-        F.xxhash64("path", F.least("block", "other"), F.greatest("block", "other")).alias("unit"),
-        "set_id", "component", "block",
+        F.xxhash64("path", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), "set_id", "component"
+    )
+    full = texts.select("set_id", "text").mapInArrow(_short_sets, "set_id long, low binary")
+    rows = dealt.join(full.join(sets.select("set_id", "tokens"), "set_id"), "set_id").select(
+        "unit", "set_id", "component", "tokens", "low"
     )
-    rows = dealt.join(sets.select("set_id", "tokens", "n"), "set_id").select("unit", "set_id", "component", "tokens")
 
     def compare(batches):
-        held = None
+        held = []
         for batch in _with_end(batches):
             if batch is not None:
-                held = batch if held is None else pa.concat_batches([held, batch])
-            if held is None:
+                held += [batch.slice(i, 256) for i in range(0, batch.num_rows, 256)]
+                if sum(b.num_rows for b in held) < 256:
+                    continue
+            if not held:
                 continue
-            unit = np.asarray(held.column(0))
-            cuts = np.flatnonzero(np.diff(unit)) + 1
-            ends = [*cuts.tolist(), *([len(unit)] if batch is None else [])]
-            begin = 0
-            found = []
+            table = pa.concat_batches(held)
+            unit = np.asarray(table.column(0))
+            ends = (np.flatnonzero(np.diff(unit)) + 1).tolist() + ([len(unit)] if batch is None else [])
+            begin, found = 0, [np.zeros((2, 0), np.int64)]
             for end in ends:
-                part = held.slice(begin, end - begin)
+                found.append(_across(table.slice(begin, end - begin), percent))
                 begin = end
-                if part.num_rows > 1:
-                    found.append(_across(part))
-            held = held.slice(begin)
-            if found:
-                a, b = np.unique(np.concatenate(found, axis=1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            held = [table.slice(begin)] if begin < len(unit) else []
+            a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(compare, "a long, b long").distinct()
 
@@ -246,15 +266,26 @@ def _with_end(batches):
     yield None
 
 
-def _across(part: pa.RecordBatch) -> np.ndarray:
-    """Likely pairs of a unit that cross components."""
+def _across(part: pa.RecordBatch, percent: int) -> np.ndarray:
+    """Pairs of a unit that cross components and are similar enough by the low halves of their shingles."""
     ids, component = np.asarray(part.column(1)), np.asarray(part.column(2))
-    tokens = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint32).reshape(-1, COORDINATES)
     out = [np.zeros((2, 0), np.int64)]
+    if len(ids) < 2 or (component == component[0]).all():
+        return out[0]
+    enough = least_equal(percent)
+    tokens = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint32).reshape(-1, COORDINATES)
+    low = [np.frombuffer(x, np.uint32) for x in part.column(4).to_pylist()]
+    size = np.array(list(map(len, low)))
     for i in range(len(ids) - 1):
-        other = np.flatnonzero(component[i + 1:] != component[i]) + i + 1
-        if len(other):
-            near = other[(tokens[other] == tokens[i]).sum(1) >= LEAST_EQUAL]
+        j = np.flatnonzero(component[i + 1:] != component[i]) + i + 1
+        if len(j):
+            j = j[(tokens[j] == tokens[i]).sum(1) >= enough]
+        if len(j):
+            flat = np.concatenate([low[x] for x in j])
+            place = np.searchsorted(low[i], flat)
+            hit = low[i][np.minimum(place, size[i] - 1)] == flat
+            both = np.add.reduceat(hit, np.cumsum(size[j]) - size[j], dtype=np.int64)
+            near = j[100 * (both + 1) >= percent * (size[i] + size[j] - both - 1)]
             out.append(np.stack([np.minimum(ids[i], ids[near]), np.maximum(ids[i], ids[near])]))
     return np.concatenate(out, axis=1)
 
@@ -268,7 +299,7 @@ def linked(docs: DataFrame, percent: int = 85, trees: int = 12, depth: int = 3,
         same.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z"), ["h1", "h2", "n"]
     ).select("a", F.col("doc_id").alias("b"))
     nodes = keep(_nodes(sets, percent, trees, depth, small))
-    first = keep(_likely(_pivot_pairs(nodes), sets))
+    first = keep(_likely(_pivot_pairs(nodes), sets, percent))
     # texts of all sets that any pair can need
     near = nodes.select("set_id").distinct()
     texts = keep(
@@ -276,7 +307,7 @@ def linked(docs: DataFrame, percent: int = 85, trees: int = 12, depth: int = 3,
         .join(near, "set_id", "left_semi")
     )
     links = keep(_confirmed(first, texts, percent))
-    second = keep(_open_pairs(nodes, sets, components(links)))
+    second = keep(_open_pairs(nodes, sets, texts, components(links), percent))
     links = links.unionByName(_confirmed(second, texts, percent))
     return rows, components(links.unionByName(equal))
 
