@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from redline.llm import decontaminate, idfiles, langid, linededup, neardup, pieces, substrings, topk
+from redline.llm import decontaminate, idfiles, langid, linededup, neardup, pieces, substrings, topk, urlfilter
 from redline.sources.shared import table
 
 QUERIES: dict = {}
@@ -75,3 +75,9 @@ WITH v AS (
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+@query
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+    return urlfilter.verdicts(table(spark, sf_dir, "pages"), rules)
