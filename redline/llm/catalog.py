@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from redline.llm import decontaminate, idfiles, langid, linededup, neardup, pieces, substrings, topk, urlfilter
-from redline.sources.shared import table
+from redline.llm import decontaminate, idfiles, langid, linededup, neardup, pieces, substrings, tokencounts, topk, urlfilter
+from redline.sources.shared import keep, new_folder, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -81,3 +82,21 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
     return urlfilter.verdicts(table(spark, sf_dir, "pages"), rules)
+
+
+@query
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents come in, those labelled toxic go, those of low quality are counted anew with their end id."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    counted = keep(tokencounts.measure(docs, public_tokenizers.path("word_bpe_49k.json"), "word_bpe_49k/1"))
+    marks = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    marked = counted.join(marks, "doc_id")
+    toxic = marked.where("toxic = 1").drop("toxic", "quality")
+    poor = marked.where("quality = 0 AND (toxic IS NULL OR toxic <> 1)").drop("toxic", "quality")
+    again = poor.withColumn("version", F.lit("word_bpe_49k/2")).withColumn("n_tokens", F.col("n_tokens") + 1)
+    totals = tokencounts.Rollup(spark, new_folder(spark, "rollup"))
+    totals.commit("load", tokencounts.signed_rows(counted, 1))
+    totals.commit("purge", tokencounts.signed_rows(toxic, -1))
+    totals.commit("load", tokencounts.signed_rows(counted, 1))  # a repeated delivery changes nothing
+    totals.commit("version 2", tokencounts.revision(poor, again))
+    return totals.totals()
