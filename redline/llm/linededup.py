@@ -192,20 +192,19 @@ def apply(docs: DataFrame, min_words: int = 8) -> DataFrame:
 
     A document of which no line with words is left goes too, one that had none stays.
     """
+    name = "kept_lines"
+    while name in docs.columns:
+        name += "_"
     kept = kept_lines(docs, min_words).where("line_no IS NOT NULL").groupBy("doc_id").agg(
-        F.collect_list("line_no").alias("kept__lines")
+        F.collect_list("line_no").alias(name)
     )
     lines = F.split("text", "\n", -1)
-    blank = F.col("text").isNull() | (F.size(F.filter(lines, _has_words)) == 0)
-    rest = F.array_join(
-        F.filter(lines, lambda x, i: F.array_contains("kept__lines", i) | ~_has_words(x)), "\n"
-    )
-    everything = F.size("kept__lines") == F.size(lines)
-    joined = docs.join(kept, "doc_id", "left")
+    blank = F.col("text").isNull() | (F.size(F.filter(lines, _has_words)) == 0) | F.col("doc_id").isNull()
+    rest = F.array_join(F.filter(lines, lambda x, i: F.array_contains(name, i) | ~_has_words(x)), "\n")
+    everything = F.size(name) == F.size(lines)
     return (
-        joined.where(F.col("kept__lines").isNotNull() | blank | F.col("doc_id").isNull())
-        .withColumn("text", F.when(blank | F.col("doc_id").isNull() | everything, F.col("text")).otherwise(rest))
-        .select(*docs.columns)
+        docs.join(kept, "doc_id", "left").where(F.col(name).isNotNull() | blank)
+        .withColumn("text", F.when(blank | everything, F.col("text")).otherwise(rest)).select(*docs.columns)
     )
 
 
