@@ -109,10 +109,11 @@ def _variants(live: DataFrame) -> DataFrame:
         F.array(F.struct((F.col("n") - 1).alias("size"), F.lit(0).alias("place")),
                 F.struct(F.col("n").alias("size"), F.col("i").alias("place")))
     )
-    return h.select("doc_id", "line_no", "side", "m", "half", "v1", "v2", F.explode(kinds).alias("k")).select(
+    return h.select("doc_id", "line_no", "side", "m", "half", "i", "v1", "v2", F.explode(kinds).alias("k")).select(
         "doc_id", "line_no",
         F.xxhash64("side", "m", "half", "v1", "k.size", "k.place").alias("key"),
         F.hash("m", "half", "v2", "k.size", "k.place").alias("key2"),
+        (F.col("i") == 0).alias("whole"), (F.col("k.place") > 0).alias("exchanged"),
     )
 
 
@@ -144,11 +145,15 @@ def kept_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
         .dropDuplicates(["doc_id", "line_no"])
     )
     variants = _variants(live.join(words, ["doc_id", "line_no"]))
+    # a whole line is alike to lines with a word more, those with a word exchanged at one place are alike to each other
+    place = F.struct("doc_id", "line_no")
     earliest = variants.groupBy("key", "key2").agg(
-        F.min(F.struct("doc_id", "line_no")).alias("before"), F.count(F.lit(1)).alias("c")
+        F.min(F.when(F.col("whole"), place)).alias("whole_at"), F.min(F.when(~F.col("whole"), place)).alias("other_at"),
+        F.count(F.lit(1)).alias("c"),
     ).where("c > 1").drop("c")
     pairs = (
         variants.join(earliest, ["key", "key2"])
+        .withColumn("before", F.when(F.col("whole") | F.col("exchanged"), F.col("other_at")).otherwise(F.col("whole_at")))
         .where(F.struct("doc_id", "line_no") > F.col("before"))
         .groupBy("doc_id", "line_no").agg(F.min("before").alias("before"))
         .select("doc_id", "line_no", F.col("before.doc_id").alias("to_doc"), F.col("before.line_no").alias("to_line"))
@@ -224,13 +229,14 @@ WITH lines AS (
 ), left_out AS (
   SELECT n, pos, i, CASE WHEN i = 0 THEN w ELSE w[1:i - 1] || w[i + 1:] END AS v FROM places
 ), keyed AS (
-  SELECT pos, CASE WHEN i = 0 THEN n ELSE n - 1 END AS size, 0 AS place, v FROM left_out
-  UNION ALL SELECT pos, n, i, v FROM left_out WHERE i > 0
+  SELECT pos, CASE WHEN i = 0 THEN n ELSE n - 1 END AS size, 0 AS place, i = 0 AS whole, v FROM left_out
+  UNION ALL SELECT pos, n, i, false, v FROM left_out WHERE i > 0
 ), grouped AS (
-  SELECT size, place, v, min(pos) AS before FROM keyed GROUP BY ALL HAVING count(*) > 1
+  SELECT size, place, v, min(pos) FILTER (whole) AS whole_pos, min(pos) FILTER (NOT whole) AS other_pos
+  FROM keyed GROUP BY size, place, v HAVING count(*) > 1
 ), twins AS (
   SELECT DISTINCT k.pos FROM keyed k JOIN grouped g ON k.size = g.size AND k.place = g.place AND k.v = g.v
-  WHERE g.before < k.pos
+  WHERE CASE WHEN k.whole OR k.place > 0 THEN other_pos ELSE whole_pos END < k.pos
 ), stay AS (
   SELECT pos FROM firsts WHERE pos NOT IN (SELECT pos FROM twins)
 ), kept AS (
