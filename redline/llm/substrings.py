@@ -44,8 +44,8 @@ PREFIX = 6
 REACH = WINDOW - PREFIX + 1  # places of a prefix in a window
 LEFT = REACH - 1
 SPAN = LEFT + WINDOW  # words around a place
-GROUP = 4096
-BATCH = 60_000  # suffixes sorted at a time
+GROUP = 20_000  # suffixes of one prefix in a task
+BATCH = 40_000  # suffixes from which on a task builds trees
 HIGH = U((1 << 40) - 1)
 
 
@@ -230,12 +230,17 @@ def _copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _marks(docs: DataFrame, copies: DataFrame, group: int) -> DataFrame:
     """``doc_id``, ``place``, ``marks`` of every suffix with a repeated window, copies aside."""
     suffixes = docs.mapInArrow(_suffixes, "prefix long, doc_id long, place int, same long")
-    shared = suffixes.groupBy("prefix").agg(
-        F.min("same").alias("low"), F.max("same").alias("high"), F.count(F.lit(1)).alias("c")
-    ).where("low <> high").select("prefix", (F.col("c") > group).cast("int").alias("frequent"))
+    # stored, so that Spark sees the sizes of both sides of the join and splits a hot prefix
+    shared = keep(suffixes.groupBy("prefix").agg(F.min("same").alias("low"), F.max("same").alias("high"))
+                  .where("low <> high").select("prefix"))
+    found = keep(
+        suffixes.select("prefix", "doc_id", "place").join(shared, "prefix").join(copies, "doc_id", "left_anti")
+    )
+    frequent = found.groupBy("prefix").count().where(F.col("count") > group).select("prefix", F.lit(1).alias("frequent"))
     live = keep(
-        suffixes.join(shared, "prefix").join(copies, "doc_id", "left_anti")
-        .groupBy("doc_id").agg(F.collect_list(F.col("place").cast("long") * 2 + F.col("frequent")).alias("live"))
+        found.join(frequent, "prefix", "left").groupBy("doc_id").agg(
+            F.collect_list(F.col("place").cast("long") * 2 + F.coalesce("frequent", F.lit(0))).alias("live")
+        )
     )
     around = keep(docs.join(live, "doc_id").select("doc_id", "text", "live").mapInArrow(
         _around, "prefix long, doc_id long, place int, low int, high int, hot boolean, around binary"
