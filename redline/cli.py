@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import json
 import logging
 import sys
 
@@ -19,8 +18,9 @@ from redline.operators import routing as W
 from redline.plans import corpus
 from redline.plans import settings as settings_module
 from redline.plans.runner import Paths, Runner
-from redline.plans.statistics import corpus_statistics, text_report
+from redline.plans.statistics import corpus_statistics, json_document, text_report
 from redline.sources import artifacts, csv, storage
+from redline.sources.shared import shared_folder
 
 LOG = logging.getLogger("redline")
 _TIERS = ("exact template", "near template", "moderate", "unrelated")
@@ -28,6 +28,7 @@ _TIERS = ("exact template", "near template", "moderate", "unrelated")
 
 def build_parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="redline")
+    parser.add_argument("--shared-dir", help="folder that all executors share, for intermediate tables")
     jobs = parser.add_subparsers(dest="job", required=True)
 
     run = jobs.add_parser("run", help="process cases, resumably")
@@ -60,13 +61,19 @@ def build_parser() -> argparse.ArgumentParser:
     inspect.add_argument("--model", default="prompts/routing_model.json")
     inspect.add_argument("--case-id")
     inspect.add_argument("--inspect", metavar="N|ID,ID", help="the first N cases, or these ids")
-    inspect.add_argument("--inspect-all", action="store_true")
+    inspect.add_argument("--inspect-all", action="store_true", help="write a table of all cases to --out")
+    inspect.add_argument("--out", default="outputs/retrieved")
     inspect.add_argument("--k", type=int, default=K.DEFAULT_K)
     return parser
 
 
-def session() -> SparkSession:
-    return SparkSession.builder.appName("redline").config("spark.sql.adaptive.enabled", "true").getOrCreate()
+def session(shared_dir: str | None = None) -> SparkSession:
+    builder = SparkSession.builder.appName("redline").config("spark.sql.adaptive.enabled", "true")
+    if shared_dir:
+        builder = builder.config("spark.checkpoint.dir", shared_dir)
+    spark = builder.getOrCreate()
+    shared_folder(spark)  # a missing one is an error now, not after hours
+    return spark
 
 
 def run(spark: SparkSession, args, parser, make_generator=None) -> int:
@@ -100,7 +107,7 @@ def run(spark: SparkSession, args, parser, make_generator=None) -> int:
     try:
         LOG.info("run complete: %s", runner.run(resume=args.resume, limit=args.limit))
     except KeyboardInterrupt:
-        LOG.warning("interrupted; finished rounds are stored, go on with --resume")
+        LOG.warning("interrupted; cases settled so far are logged, go on with --resume")
         return 130
     left = [r["case_id"] for r in runner.remaining().orderBy("row_index").select("case_id").limit(3).collect()]
     if left:
@@ -131,9 +138,9 @@ def analyze(spark: SparkSession, args) -> int:
     for name in ("modality", "body_part"):
         if name not in cases.columns:
             cases = cases.withColumn(name, F.lit(""))
-    stats = corpus_statistics(A.analyze(cases))
-    storage.write_text(spark, f"{args.out_dir}/training_edit_analysis.json", json.dumps(stats, indent=2, ensure_ascii=False))
-    storage.write_text(spark, f"{args.out_dir}/training_edit_analysis.txt", text_report(stats))
+    stats, groups = corpus_statistics(A.analyze(cases))
+    storage.write_text(spark, f"{args.out_dir}/training_edit_analysis.json", json_document(stats, groups))
+    storage.write_text(spark, f"{args.out_dir}/training_edit_analysis.txt", text_report(stats, groups))
     return 0
 
 
@@ -157,6 +164,10 @@ def inspect(spark: SparkSession, args, parser) -> int:
     hints = W.candidates(cases, artifacts.load_model(spark, args.model))
     top = S.retrieve(S.query_features(cases, hints), index, k=args.k, keep=corpus.keep)
     shown = top.join(cases.select("case_id", "row_index", "modality", "body_part"), "case_id")
+    if args.inspect_all:
+        storage.replace(spark, args.out, lambda fresh: shown.write.parquet(fresh))
+        print(f"retrieved cases written to {args.out}")
+        return 0
     for row in shown.orderBy("row_index", "rank").toLocalIterator():
         if row["rank"] == 1:
             print(f"\nTEST: {row['case_id']} {row['modality']} / {row['body_part']}")
@@ -170,7 +181,7 @@ def main(argv: list[str] | None = None, make_generator=None) -> int:
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(levelname)s %(message)s")
     parser = build_parser()
     args = parser.parse_args(argv)
-    spark = session()
+    spark = session(args.shared_dir)
     if args.job == "run":
         return run(spark, args, parser, make_generator)
     if args.job == "inspect":

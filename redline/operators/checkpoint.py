@@ -12,7 +12,7 @@ from redline.functions import text as X
 RECORD = T.StructType(
     [
         T.StructField("case_id", T.StringType()),
-        T.StructField("row_index", T.IntegerType()),
+        T.StructField("row_index", T.LongType()),
         T.StructField("status", T.StringType()),
         T.StructField("report", T.StringType()),
         T.StructField("attempts", T.IntegerType()),
@@ -24,7 +24,7 @@ RECORD = T.StructType(
         T.StructField("warnings", T.StringType()),
     ]
 )
-_NUMBERS = {"row_index": ("int", -1), "attempts": ("int", 1), "latency_seconds": ("double", 0.0)}
+_NUMBERS = {"row_index": ("bigint", -1), "attempts": ("int", 1), "latency_seconds": ("double", 0.0)}
 
 
 def typed_records(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -38,7 +38,7 @@ def typed_records(lines: DataFrame, value: str = "value") -> DataFrame:
         if field.name in _NUMBERS:
             kind, default = _NUMBERS[field.name]
             # A number may come as text, and an integer as a decimal number.
-            number = text.try_cast("double").cast(kind)
+            number = F.coalesce(text.try_cast(kind), text.try_cast("double").try_cast(kind))
             absent = ~F.array_contains("_k", field.name)
             good = good & (absent | number.isNotNull())
             text = F.when(absent, F.lit(default).cast(kind)).otherwise(number)
@@ -69,6 +69,17 @@ def latest_state(log: DataFrame, order: str = "seq") -> DataFrame:
     return last.select("case_id", order, "first_seq", "_last.*")
 
 
+def merged(state: DataFrame, records: DataFrame, order: str = "seq") -> DataFrame:
+    """The latest state after further records: as ``latest_state`` of both, without the log."""
+    known = state.select(*records.columns, "first_seq")
+    both = known.unionByName(records.withColumn("first_seq", F.col(order)))
+    fields = [c for c in records.columns if c not in ("case_id", order)]
+    last = valid_records(both).groupBy("case_id").agg(
+        F.max_by(F.struct(*fields), order).alias("_last"), F.max(order).alias(order), F.min("first_seq").alias("first_seq")
+    )
+    return last.select("case_id", order, "first_seq", "_last.*")
+
+
 def state_counts(state: DataFrame) -> DataFrame:
     return state.agg(
         F.count("*").alias("attempted"),

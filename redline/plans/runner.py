@@ -1,13 +1,17 @@
 """A resumable run: generate, apply, check, log, and publish the outcome.
 
-Attempts are rounds.  Each round is one Spark job over the cases still open,
-and its outcome is written before the next one starts, so a lost executor or a
-restarted driver never asks a generator again for what has been stored.
+Cases are taken in batches of ``batch_size`` by row, and attempts of a batch are
+rounds: one Spark job over its cases still open.  What a round settles, by
+success or by its last failure, is appended to the log before the next round
+starts, and predictions and failures are rebuilt after each batch.  A run that
+stops loses the round it was in and the attempts of cases it would have tried
+again, nothing that was settled.
 """
 
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from functools import reduce
@@ -52,7 +56,12 @@ class Paths:
     @property
     def artifacts(self) -> list[str]:
         names = ("test_predictions.csv", "failures.csv", "submission.csv", "test_predictions.complete")
-        return [self.log, *[self.output(n) for n in names]]
+        return [self.log, *[self.output(n) for n in names], self.stream]
+
+    @property
+    def stream(self) -> str:
+        """What a stream remembers of the files it has read."""
+        return f"{self.checkpoints}/stream"
 
 
 @dataclass(frozen=True)
@@ -66,9 +75,10 @@ class Summary:
 
 class Runner:
     def __init__(self, spark: SparkSession, cases: DataFrame, generator: Generator,
-                 settings: Settings, paths: Paths):
+                 settings: Settings, paths: Paths, batch_size: int = 10_000):
         self.spark, self.cases, self.generator = spark, cases, generator
-        self.settings, self.paths = settings, paths
+        self.settings, self.paths, self.batch_size = settings, paths, batch_size
+        self._next: int | None = None  # upper part of the next seq
 
     # --- log ------------------------------------------------------------------
 
@@ -90,7 +100,8 @@ class Runner:
         return C.state_counts(self.state()).first().asDict()
 
     def wipe(self) -> list[str]:
-        """Remove what earlier runs wrote."""
+        """Remove what earlier runs wrote, so that a stream starts anew too."""
+        self._next = None
         return [p for p in self.paths.artifacts if storage.remove(self.spark, p)]
 
     # --- work -----------------------------------------------------------------
@@ -123,7 +134,7 @@ class Runner:
                 F.when(good, "SUCCESS").otherwise("FAILED").alias("status"),
                 F.when(good, F.col("report")).otherwise("").alias("report"),
                 F.lit(attempt).alias("attempts"),
-                F.round("latency", 3).alias("latency_seconds"),
+                F.round(F.col("spent") + F.col("latency"), 3).alias("latency_seconds"),
                 category.alias("error_category"),
                 F.left(message, F.lit(2000)).alias("error_message"),
                 F.lit(self.generator.model_name).alias("model"),
@@ -134,15 +145,20 @@ class Runner:
         )
 
     def process(self, cases: DataFrame) -> DataFrame:
-        """Final outcome of every case after at most ``max_retries`` rounds."""
-        settled, pending = [], cases.select(*_CASE)
+        """Outcome of every case after at most ``max_retries`` rounds; each round is logged as it ends.
+
+        Latency counts all attempts of a case.
+        """
+        settled, pending = [], cases.select(*_CASE, F.lit(0.0).alias("spent"))
         for attempt in range(1, self.settings.max_retries + 1):
             outcome = self._attempt(pending, attempt)
             again = ~F.col("_good") & R.is_retryable(F.coalesce("error_category", F.lit("GENERIC")))
             if attempt == self.settings.max_retries:
                 again = F.lit(False)
-            settled.append(outcome.where(~again))
-            pending = outcome.where(again).select(*_CASE)
+            done = outcome.where(~again)
+            self.record(done)
+            settled.append(done)
+            pending = outcome.where(again).select(*_CASE, F.col("latency_seconds").alias("spent"))
             if attempt == self.settings.max_retries or pending.isEmpty():
                 break
             time.sleep(self.settings.backoff(attempt))
@@ -150,12 +166,14 @@ class Runner:
 
     def record(self, outcome: DataFrame) -> None:
         """Append the outcome to the log, and to the details log if there is one."""
-        last = self.log().agg(F.max("seq")).first()[0]
-        batch = 0 if last is None or last < 0 else last // _BATCH + 1
+        if self._next is None:  # one writer at a time: the log is read once
+            last = self.log().agg(F.max("seq")).first()[0]
+            self._next = 0 if last is None or last < 0 else last // _BATCH + 1
         rows = outcome.withColumn("warnings", F.array_join("notes", "\n")).withColumn(
-            "seq", F.lit(batch * _BATCH) + F.col("row_index")
+            "seq", F.lit(self._next * _BATCH) + F.col("row_index")
         )
         jsonl.append(rows.select(*_LOG), self.paths.log)
+        self._next += 1
         if self.paths.details:
             d = A.edit_summary(outcome)
             jsonl.append(
@@ -168,23 +186,46 @@ class Runner:
                 self.paths.details,
             )
 
+    def batches(self, todo: DataFrame) -> Iterator[DataFrame]:
+        """Parts of about ``batch_size`` cases in row order; the borders are quantiles."""
+        n = -(-todo.count() // self.batch_size)
+        if n <= 1:
+            if n:
+                yield todo
+            return
+        shares = [i / n for i in range(1, n)]
+        borders = sorted(set(todo.approxQuantile("row_index", shares, 0.1 / n)))
+        row = F.col("row_index")
+        for low, high in zip([None, *borders], [*borders, None]):
+            yield todo.where(F.lit(True) if low is None else row >= low).where(F.lit(True) if high is None else row < high)
+
     def run(self, *, resume: bool, limit: int | None = None) -> Summary:
         started = _now()
-        self.publish()
-        todo = corpus.keep(C.plan(self.cases, self.state(), resume=resume, limit=limit))
-        outcome = self.process(todo)
-        self.record(outcome)
-        self.publish()
-        totals = outcome.agg(
-            F.count_if("_good"), F.count_if(~F.col("_good")), F.coalesce(F.sum("attempts"), F.lit(0))
-        ).first()
+        state = corpus.keep(self.state())
+        self.publish(state)
+        todo = corpus.keep(C.plan(self.cases, state, resume=resume, limit=limit))
+        totals = [0, 0, 0]
+        for batch in self.batches(todo):
+            outcome = self.process(batch)
+            counted = outcome.agg(
+                F.count_if("_good"), F.count_if(~F.col("_good")), F.coalesce(F.sum("attempts"), F.lit(0))
+            ).first()
+            totals = [a + b for a, b in zip(totals, counted)]
+            state = corpus.keep(C.merged(state, self.as_records(outcome)))
+            self.publish(state)
         return Summary(*totals, started, _now())
 
+    def as_records(self, outcome: DataFrame) -> DataFrame:
+        """An outcome that is logged already, as records later than all before."""
+        return outcome.withColumn("warnings", F.array_join("notes", "\n")).withColumn(
+            "seq", F.lit((self._next or 0) * _BATCH) + F.col("row_index")
+        ).select(*_LOG)
+
     # --- results --------------------------------------------------------------
 
-    def publish(self) -> None:
-        """Rebuild predictions and failures from the log."""
-        state = self.state()
+    def publish(self, state: DataFrame | None = None) -> None:
+        """Rebuild predictions and failures from the latest state, by default that of the log."""
+        state = corpus.keep(self.state()) if state is None else state
         csv.write(
             C.predictions(self.cases, state), self.paths.output("test_predictions.csv"),
             keep=("case_id", "report"),
@@ -196,17 +237,19 @@ class Runner:
     def remaining(self) -> DataFrame:
         return C.remaining(self.cases, self.state())
 
-    def submission_errors(self) -> list[str]:
+    def submission_errors(self, state: DataFrame | None = None) -> list[str]:
         """At most eleven messages; none means the run is final."""
-        rows = V.submission_errors(self.cases, self.state()).orderBy("rank").collect()
+        state = self.state() if state is None else state
+        rows = V.submission_errors(self.cases, state).orderBy("rank").collect()
         return [r["message"] for r in rows]
 
     def export(self) -> int:
         """Write the submission, all or nothing; returns its number of rows."""
-        faults = self.submission_errors()
+        state = corpus.keep(self.state())
+        faults = self.submission_errors(state)
         if faults:
             raise R.SubmissionError("submission rejected:\n" + "\n".join(faults))
-        done = C.predictions(self.cases, self.state())
+        done = C.predictions(self.cases, state)
         csv.write(done, self.paths.output("submission.csv"), keep=("case_id", "report"))
         return done.count()
 

@@ -13,7 +13,6 @@ from redline.sources import storage
 
 _NESTED = "map<string,map<string,double>>"
 _ARTIFACT = f"by_modality_bodypart {_NESTED}, by_term {_NESTED}"
-MAX_EXPORTED = 200_000  # associations one JSON document may hold
 
 
 def save_model(model: DataFrame, path: str) -> None:
@@ -22,18 +21,24 @@ def save_model(model: DataFrame, path: str) -> None:
 
 
 def export_model(model: DataFrame, path: str) -> None:
-    """One JSON document with sorted keys, for models of a checked size."""
-    spark = model.sparkSession
-    rows = model.limit(MAX_EXPORTED + 1).collect()
-    if len(rows) > MAX_EXPORTED:
-        raise ValueError(f"more than {MAX_EXPORTED} associations: save the model as Parquet")
-    out: dict = {"by_modality_bodypart": {}, "by_term": {}}
-    names = {"group": "by_modality_bodypart", "term": "by_term"}
-    for row in rows:
-        entry = out[names[row["kind"]]].setdefault(row["signal"], {})
-        if row["label"] is not None:
-            entry[row["label"]] = row["weight"]
-    storage.write_text(spark, path, json.dumps(out, indent=2, sort_keys=True))
+    """One JSON document with sorted keys; its signals pass the driver one at a time."""
+    entries = model.groupBy("kind", "signal").agg(
+        F.array_sort(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "weight")))).alias("labels")
+    )
+
+    def pieces():
+        yield "{"
+        for n, (kind, name) in enumerate((("group", "by_modality_bodypart"), ("term", "by_term"))):
+            yield f"{',' if n else ''}\n  {json.dumps(name)}: {{"
+            first = True
+            for row in entries.where(F.col("kind") == kind).orderBy("signal").toLocalIterator():
+                entry = json.dumps({x["label"]: x["weight"] for x in row["labels"]}, indent=2, sort_keys=True)
+                yield ("" if first else ",") + "\n    " + json.dumps(row["signal"]) + ": " + entry.replace("\n", "\n    ")
+                first = False
+            yield "}" if first else "\n  }"
+        yield "\n}"
+
+    storage.write_text(model.sparkSession, path, pieces())
 
 
 def load_model(spark: SparkSession, path: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Cases that arrive as files, processed batch by batch with the same log.
 
-The stream's own checkpoint remembers which files were read; the log decides
-what has succeeded, so a batch that is replayed after a failure only repeats
-cases without a success.
+The stream's own checkpoint remembers which files were read; the latest state
+decides what has succeeded, so a batch that is replayed after a failure only
+repeats cases without a success.  The state is read from the log once and then
+merged with the outcome of each batch; predictions and failures follow it.
 """
 
 from __future__ import annotations
@@ -26,14 +27,18 @@ def process_stream(runner: Runner, path: str, files_per_batch: int = 100) -> Str
     cases = (
         spark.readStream.schema(CASE_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(path)
     )
+    known = corpus.keep(runner.state())
 
     def step(batch: DataFrame, _: int) -> None:
-        todo = corpus.keep(C.plan(batch, runner.state(), resume=True))
-        runner.record(runner.process(todo))
+        nonlocal known
+        todo = corpus.keep(C.plan(batch, known, resume=True))
+        for part in runner.batches(todo):
+            known = corpus.keep(C.merged(known, runner.as_records(runner.process(part))))
+        runner.publish(known)
 
     return (
         cases.writeStream.foreachBatch(step)
-        .option("checkpointLocation", f"{runner.paths.checkpoints}/stream")
+        .option("checkpointLocation", runner.paths.stream)
         .trigger(availableNow=True)
         .start()
     )
