@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ from redline.sources.shared import keep
 
 BLOCK = 128
 GROUP = 64
-QUERIES = 256
+QUERIES = 1024
 
 
 def whole_vectors(rows: DataFrame) -> DataFrame:
@@ -50,17 +51,19 @@ def _packed(per: int):
     """Rows of a partition, sorted by vec_id, in runs of ``per``: one row with the ids and the matrix."""
 
     def run(batches):
-        ids, vectors = [], []
+        ids, vectors, made = [], [], 0
 
         def row():
+            nonlocal made
+            made += 1
             width = max(map(len, vectors))
             m = np.zeros((len(vectors), width), np.int32)
             for i, v in enumerate(vectors):
                 m[i, : len(v)] = v
             return pa.RecordBatch.from_arrays(
-                [pa.array([ids[0]]), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()),
+                [pa.array([(TaskContext.get().partitionId() << 32) + made]), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()),
                  pa.array([m.astype("<i4").tobytes()], pa.binary()), pa.array([width], pa.int32())],
-                names=["first", "ids", "matrix", "width"],
+                names=["key", "ids", "matrix", "width"],
             )
 
         for batch in batches:
@@ -76,7 +79,7 @@ def _packed(per: int):
     return run
 
 
-PACKED = "first long, ids binary, matrix binary, width int"
+PACKED = "key long, ids binary, matrix binary, width int"
 
 
 def _unpack(ids: bytes, matrix: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +152,6 @@ def _floors(k: int):
 def top_k(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` of the k best rows for every query."""
     spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = keep(
         whole_vectors(rows).repartitionByRange("vec_id").sortWithinPartitions("vec_id", "v")
         .mapInArrow(_packed(BLOCK * GROUP), PACKED)
@@ -157,13 +159,14 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     asked = whole_vectors(queries).groupBy("vec_id").agg(F.max("v").alias("v"))
     sets = keep(
         asked.repartitionByRange("vec_id").sortWithinPartitions("vec_id").mapInArrow(_packed(QUERIES), PACKED)
-        .withColumn("number", F.xxhash64("first"))
+        .withColumnRenamed("key", "number")
     )
     n_groups = groups.count()
     if not n_groups:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    # one row a group, numbered by its first id
-    placed = groups.withColumn("at", F.row_number().over(Window.orderBy("first", "ids")) - 1)
+    # the keys alone are numbered, one short row for each group
+    numbers = groups.select("key").withColumn("at", F.row_number().over(Window.orderBy("key")) - 1)
+    placed = groups.join(numbers, "key")
     named = sets.select("number", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_m"), F.col("width").alias("q_w"))
     own = placed.select("at", F.col("ids").alias("d_ids"), F.col("matrix").alias("d_m"), F.col("width").alias("d_w"))
     floors = keep(
@@ -172,7 +175,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     )
     units = (
         named.join(floors, "number").withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1)))).join(own, "at")
-        .select("q_ids", "q_m", "q_w", "d_ids", "d_m", "d_w", "least").repartition(parts)
+        .select("q_ids", "q_m", "q_w", "d_ids", "d_m", "d_w", "least")
     )
     found = units.mapInArrow(_search(k), "query_id long, vec_id long, score long")
 
