@@ -309,8 +309,8 @@ UNION ALL SELECT 11, '... and '||CAST(count(*)-10 AS VARCHAR)||' more issue(s)'
 
 SQL["error_classes"] = """WITH e AS (
   SELECT ['MockFailure','InvalidModelOutput','TimeoutError','DeadlineExceeded','TooManyRequests','ClientError','ServerError',
-    'ConnectionResetError','OSError','Unavailable','TemplateError','ValueError'][event_id%12+1] AS name,
-    [400,401,403,404,418,429,500,502,503,504][user_id%10+1] AS status FROM events),
+    'ConnectionResetError','OSError','Unavailable','TemplateError','ValueError'][(length(event_type)+CAST(props->>'k' AS BIGINT))%12+1] AS name,
+    [400,401,403,404,418,429,500,502,503,504][(CAST(props->>'k' AS BIGINT)//10)%10+1] AS status FROM events),
 c AS (SELECT name, CAST(status AS BIGINT) AS status, CASE
   WHEN name='MockFailure' THEN 'MOCK' WHEN name='InvalidModelOutput' THEN 'INVALID_OUTPUT'
   WHEN name IN ('TimeoutError','DeadlineExceeded') THEN 'TIMEOUT' WHEN name='TooManyRequests' THEN 'RATE_LIMIT'

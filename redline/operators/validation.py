@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -135,26 +134,30 @@ def contract(cases: DataFrame, skeleton: DataFrame) -> DataFrame:
         skeleton.select(X.strip(F.col("case_id")), F.lit(0), F.lit(1))
     )
     ids = tagged.groupBy("case_id").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
-
-    def check(name: str, rows: Column, sampled: Column | None = None) -> DataFrame:
-        counted = ids.agg(F.coalesce(F.sum(rows), F.lit(0)).cast("bigint").alias("found"))
-        out = counted.select(F.lit(name).alias("check"), "found", F.lit("").alias("sample"))
-        if sampled is None:
-            return out
-        three = ids.where(sampled).select("case_id").orderBy("case_id").limit(3)
-        return three.agg(
-            F.array_join(F.array_sort(F.collect_list("case_id")), ",").alias("s")
-        ).select(F.lit(f"{name}_sample"), F.lit(None).cast("bigint"), "s").unionAll(out)
-
     missing, extra = F.col("s") == 0, F.col("c") == 0
-    parts = [
-        check("cases", F.col("c")),
-        check("rows", F.col("s")),
-        check("duplicates", F.greatest(F.col("s") - 1, F.lit(0))),
-        check("missing", missing.cast("int"), missing),
-        check("extra", extra.cast("int"), extra),
-    ]
-    return reduce(DataFrame.unionAll, parts)
+    number = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    counted = ids.agg(
+        number(F.col("c")).alias("cases"), number(F.col("s")).alias("rows"),
+        number(F.greatest(F.col("s") - 1, F.lit(0))).alias("duplicates"),
+        number(missing.cast("int")).alias("missing"), number(extra.cast("int")).alias("extra"),
+    )
+    kind = F.when(missing, "missing").when(extra, "extra")
+    first = Window.partitionBy("kind").orderBy("case_id")
+    three = ids.select(kind.alias("kind"), "case_id").where(F.col("kind").isNotNull()).withColumn(
+        "rank", F.row_number().over(first)
+    ).where("rank <= 3")
+
+    def sample(name: str) -> Column:
+        ids_of = F.collect_list(F.when(F.col("kind") == name, F.col("case_id")))
+        return F.array_join(F.array_sort(ids_of), ",")
+
+    samples = three.agg(sample("missing").alias("m"), sample("extra").alias("e"))
+    return counted.selectExpr(
+        "stack(5, 'cases', cases, 'rows', rows, 'duplicates', duplicates, 'missing', missing, 'extra', extra) AS (check, found)"
+    ).withColumn("sample", F.lit("")).unionAll(
+        samples.selectExpr("stack(2, 'missing_sample', m, 'extra_sample', e) AS (check, sample)")
+        .select("check", F.lit(None).cast("bigint"), "sample")
+    )
 
 
 def submission_errors(cases: DataFrame, state: DataFrame, limit: int = 10) -> DataFrame:
@@ -163,11 +166,12 @@ def submission_errors(cases: DataFrame, state: DataFrame, limit: int = 10) -> Da
     ``cases`` has (case_id, row_index); ``state`` is the latest record per case
     with ``first_seq``.  An empty result means the run is final.
     """
-    record = state.select("case_id", "status", "report", "first_seq")
-    joined = cases.select("case_id", "row_index").join(record, "case_id", "left")
+    record = state.select("case_id", "status", "report", "first_seq", F.lit(True).alias("known"))
+    both = cases.select("case_id", "row_index", F.lit(True).alias("listed")).join(record, "case_id", "full_outer")
+    listed, known = F.col("listed").isNotNull(), F.col("known").isNotNull()
     spans = quoted_spans(F.col("report"))
     message = (
-        F.when(F.col("status").isNull(), F.concat(F.lit("missing: "), "case_id", F.lit(" was never attempted")))
+        F.when(~known, F.concat(F.lit("missing: "), "case_id", F.lit(" was never attempted")))
         .when(
             F.col("status") != K.SUCCESS,
             F.concat(F.lit("not succeeded: "), "case_id", F.lit(" has status "), "status"),
@@ -175,32 +179,42 @@ def submission_errors(cases: DataFrame, state: DataFrame, limit: int = 10) -> Da
         .when(X.is_blank(F.col("report")), F.concat(F.lit("empty report: "), "case_id"))
         .when(spans != "", F.concat(F.lit("bracketed text in report: "), "case_id", F.lit(" "), spans))
     )
-    faults = joined.select(
-        F.lit(0).alias("part"), F.col("row_index").cast("bigint").alias("place"), message.alias("message")
-    ).where(F.col("message").isNotNull())
-    empty = cases.agg(F.count("*").alias("n")).where("n = 0").select(
-        F.lit(1), F.lit(0).cast("bigint"), F.lit("no test cases")
+    own = Window.partitionBy("case_id")
+    d = both.select(
+        "case_id", listed.alias("listed"),
+        F.when(listed, F.struct(F.col("row_index").cast("bigint").alias("place"), message.alias("message"))).alias("fault"),
+        F.when(~listed & (F.col("status") == K.SUCCESS), F.col("first_seq")).alias("stranger"),
+        (F.min("first_seq").over(own) < F.max("first_seq").over(own)).alias("repeated"),
     )
-    strangers = record.where(F.col("status") == K.SUCCESS).join(cases.select("case_id"), "case_id", "left_anti")
-    first = strangers.orderBy("first_seq").limit(5)
-    unexpected = first.agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("first_seq", "case_id"))), lambda s: s["case_id"]
-        ).alias("ids")
-    ).where(F.size("ids") > 0).select(
-        F.lit(2), F.lit(0).cast("bigint"),
-        F.concat(F.lit("unexpected case_id(s) in state: "), X.quoted_list(F.col("ids"))),
+    counts = d.agg(
+        F.count_if("listed").alias("cases"), F.count_if(F.col("fault.message").isNotNull()).alias("faults"),
+        F.count("stranger").alias("strangers"), F.coalesce(F.max(F.col("repeated").cast("int")), F.lit(0)).alias("repeated"),
     )
-    repeated = record.groupBy("case_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).select(
-        F.lit(3), F.lit(0).cast("bigint"), F.lit("duplicate case_id(s) in state")
+    # the first messages and the first strangers: a few rows of each task reach the last one
+    kind = F.when(F.col("fault.message").isNotNull(), 0).when(F.col("stranger").isNotNull(), 1)
+    order = Window.partitionBy("kind").orderBy("place", "case_id")
+    first = d.select(
+        kind.alias("kind"), F.coalesce("fault.place", "stranger").alias("place"), "case_id", F.col("fault.message").alias("message")
+    ).where(F.col("kind").isNotNull()).withColumn("n", F.row_number().over(order)).where(F.col("n") <= max(limit, 5))
+
+    def listing(which: int, column: str, most: int) -> Column:
+        rows = F.collect_list(F.when((F.col("kind") == which) & (F.col("n") <= most), F.struct("n", column)))
+        return F.transform(F.array_sort(rows), lambda x: x[column])
+
+    shown = first.agg(listing(0, "message", limit).alias("messages"), listing(1, "case_id", 5).alias("ids"))
+    one = lambda condition, text: F.when(condition, F.array(text)).otherwise(F.array().cast("array<string>"))
+    every = F.concat(
+        F.col("messages"),
+        one(F.col("cases") == 0, F.lit("no test cases")),
+        one(F.col("strangers") > 0, F.concat(F.lit("unexpected case_id(s) in state: "), X.quoted_list(F.col("ids")))),
+        one(F.col("repeated") > 0, F.lit("duplicate case_id(s) in state")),
     )
-    every = reduce(DataFrame.unionAll, [faults, empty, unexpected, repeated])
-    shown = every.orderBy("part", "place").limit(limit)
-    shown = shown.select(
-        F.row_number().over(Window.orderBy("part", "place")).cast("bigint").alias("rank"), "message"
+    number = (
+        F.col("faults") + (F.col("cases") == 0).cast("int") + (F.col("strangers") > 0).cast("int") + F.col("repeated")
     )
-    rest = every.agg(F.count("*").alias("n")).where(F.col("n") > limit).select(
-        F.lit(limit + 1).cast("bigint"),
-        F.concat(F.lit("... and "), (F.col("n") - limit).cast("string"), F.lit(" more issue(s)")),
+    rest = one(number > limit, F.concat(F.lit("... and "), (number - limit).cast("string"), F.lit(" more issue(s)")))
+    single = counts.unionByName(shown, allowMissingColumns=True)
+    joined = single.agg(*[F.max(c).alias(c) for c in single.columns])
+    return joined.select(F.posexplode(F.concat(F.slice(every, 1, limit), rest)).alias("at", "message")).select(
+        (F.col("at") + 1).cast("bigint").alias("rank"), "message"
     )
-    return shown.unionAll(rest)

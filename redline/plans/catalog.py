@@ -430,7 +430,7 @@ def submission_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def error_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Categories and retry decisions for error names and statuses of the event log."""
+    """Categories and retry decisions for error names and statuses, told from the type and properties of the events."""
     names = (
         "MockFailure", "InvalidModelOutput", "TimeoutError", "DeadlineExceeded", "TooManyRequests",
         "ClientError", "ServerError", "ConnectionResetError", "OSError", "Unavailable",
@@ -440,8 +440,9 @@ def error_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda values, key: F.element_at(
         F.array(*[F.lit(v) for v in values]), (key % len(values) + 1).cast("int")
     )
+    k = F.get_json_object("props", "$.k").cast("int")
     d = corpus.table(spark, sf_dir, "events").select(
-        pick(names, F.col("event_id")).alias("name"), pick(statuses, F.col("user_id")).alias("status")
+        pick(names, F.length("event_type") + k).alias("name"), pick(statuses, F.floor(k / 10)).alias("status")
     )
     category = R.classify(F.col("name"), F.col("status"))
     d = d.select("name", _big("status").alias("status"), category.alias("category"))
@@ -468,13 +469,14 @@ def routing_by_term(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _train_model(spark, sf_dir):
-    return W.train(A.analyze(corpus.train_cases(spark, sf_dir), char_edits=False))
+    analysis = A.analyze(corpus.train_cases(spark, sf_dir), char_edits=False)
+    return W.train(corpus.keep(analysis.select("modality", "body_part", "dictation", "edited")))
 
 
 @query
 def candidate_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hints for the unlabelled cases from a model of the labelled ones."""
-    d = W.candidates(corpus.test_cases(spark, sf_dir), _train_model(spark, sf_dir))
+    d = W.candidates(corpus.test_cases(spark, sf_dir), _train_model(spark, sf_dir), corpus.keep)
     return d.select("case_id", _joined("candidates").alias("candidates"))
 
 
@@ -484,7 +486,7 @@ def candidate_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _retrieval_features(spark, sf_dir):
     index = S.index_features(corpus.train_cases(spark, sf_dir))
     todo = corpus.test_cases(spark, sf_dir)
-    return S.query_features(todo, W.candidates(todo, _train_model(spark, sf_dir))), index
+    return S.query_features(todo, W.candidates(todo, _train_model(spark, sf_dir), corpus.keep)), index
 
 
 @query
@@ -567,7 +569,7 @@ def prompt_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
         "dictation": "broken",
         "output": {"findings_edits": {"BONES": "Broken."}, "impression": None},
     }
-    hints = W.candidates(todo, _train_model(spark, sf_dir))
+    hints = W.candidates(todo, _train_model(spark, sf_dir), corpus.keep)
     d = P.build(todo, "Edit the template.", examples=[shot], candidates=hints)
     return T.explode(d.select("case_id", "turns"), "turns", "t").select(
         "case_id", _big("position").alias("turn"), "t.role", "t.text"

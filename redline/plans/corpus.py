@@ -168,14 +168,14 @@ def all_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def train_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases of the documents that carry a label."""
     known = table(spark, sf_dir, "labels").select("doc_id").distinct()
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return labelled_cases(docs.join(known, "doc_id", "left_semi"))
 
 
 def test_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases still without a label."""
     known = table(spark, sf_dir, "labels").select("doc_id")
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return labelled_cases(docs.join(known, "doc_id", "left_anti")).drop("report")
 
 
