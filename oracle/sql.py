@@ -468,3 +468,18 @@ p AS (SELECT c.case_id, 'REAL TRAINING EXAMPLE 1'||chr(10)||chr(10)||{_TASK} AS
   WHERE c.row_index IN (SELECT doc_id FROM labels))
 SELECT case_id, CAST(0 AS BIGINT) AS turn, 'user' AS role, task AS text FROM p
 UNION ALL SELECT case_id, 1, 'model', answer FROM p"""
+
+SQL["retrieval_prompts"] = (
+    _DERIVED + "," + _routing(_TRAINED) + "," + _candidates() + "," + _brute_force(_UNLABELLED, _LABELLED, _CANDS) + f""",
+js AS (SELECT case_id, string_agg('    '||{_JS.format('label')}||': '||{_JS.format('body')}, ','||chr(10) ORDER BY pos) AS body
+  FROM kept GROUP BY case_id),
+shown AS (SELECT r.q, r.rank, 'REAL TRAINING EXAMPLE '||r.rank||chr(10)||chr(10)||{_TASK} AS task,
+  '{{'||chr(10)||'  "findings_edits": '||coalesce('{{'||chr(10)||js.body||chr(10)||'  }}','{{}}')||','||chr(10)||'  "impression": '
+  ||coalesce({_JS.format('i.impression')},'null')||chr(10)||'}}' AS answer
+  FROM ranked r JOIN cases c ON c.case_id=r.i JOIN imp i ON i.case_id=c.case_id LEFT JOIN js ON js.case_id=c.case_id
+  WHERE r.rank<=3),
+asked AS (SELECT c.case_id, {_TASK}||{_HINT} AS text FROM todo c WHERE {B.valid('c.template_content')})
+SELECT a.case_id, CAST(2*(s.rank-1) AS BIGINT) AS turn, 'user' AS role, s.task AS text FROM asked a JOIN shown s ON s.q=a.case_id
+UNION ALL SELECT a.case_id, 2*(s.rank-1)+1, 'model', s.answer FROM asked a JOIN shown s ON s.q=a.case_id
+UNION ALL SELECT a.case_id, 2*(SELECT count(*) FROM shown s WHERE s.q=a.case_id), 'user', a.text FROM asked a"""
+)

@@ -15,7 +15,7 @@ from redline.operators import errors as R
 from redline.operators import generators as G
 from redline.operators import retrieval as S
 from redline.operators import routing as W
-from redline.plans import corpus
+from redline.plans import corpus, prompting
 from redline.plans import settings as settings_module
 from redline.plans.runner import Paths, Runner
 from redline.plans.statistics import corpus_statistics, json_document, text_report
@@ -26,6 +26,24 @@ LOG = logging.getLogger("redline")
 _TIERS = ("exact template", "near template", "moderate", "unrelated")
 
 
+def _prompt_flags(job: argparse.ArgumentParser) -> None:
+    job.add_argument("--system-prompt", default="prompts/system_prompt.txt")
+    job.add_argument("--examples", default="prompts/few_shot_examples.json", help="used where no labelled case can be")
+    job.add_argument("--train-csv", default="data/train.csv", help="labelled cases to retrieve examples from")
+    job.add_argument("--model", default="prompts/routing_model.json", help="routing model for hints")
+    job.add_argument("--max-examples", type=int, default=K.DEFAULT_K)
+
+
+def prompt_builder(spark: SparkSession, args) -> prompting.PromptBuilder:
+    builder = prompting.load(
+        spark, args.system_prompt, train_path=args.train_csv, model_path=args.model,
+        examples_path=args.examples, max_examples=args.max_examples,
+    )
+    if builder.labelled is not None:
+        LOG.info("%d labelled row(s) cannot serve as examples", prompting.skipped_rows(builder.labelled))
+    return builder
+
+
 def build_parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="redline")
     parser.add_argument("--shared-dir", help="folder that all executors share, for intermediate tables")
@@ -45,6 +63,13 @@ def build_parser() -> argparse.ArgumentParser:
     run.add_argument("--checkpoints-dir", default="checkpoints")
     run.add_argument("--outputs-dir", default="outputs")
     run.add_argument("--details-log")
+    _prompt_flags(run)
+
+    prompts = jobs.add_parser("prompts", help="write the prompts of all cases as a table")
+    prompts.add_argument("--test-csv", default="data/test.csv")
+    prompts.add_argument("--expected-rows", type=int, default=K.EXPECTED_CASES)
+    prompts.add_argument("--out", default="outputs/prompts")
+    _prompt_flags(prompts)
 
     train = jobs.add_parser("train", help="learn section routing from labelled cases")
     train.add_argument("--train-csv", default="data/train.csv")
@@ -76,7 +101,7 @@ def session(shared_dir: str | None = None) -> SparkSession:
     return spark
 
 
-def run(spark: SparkSession, args, parser, make_generator=None) -> int:
+def run(spark: SparkSession, args, parser, make_generator=None, make_client=None) -> int:
     settings = settings_module.load()
     cases = csv.read_cases(spark, args.test_csv, args.expected_rows)
     generator = G.MockGenerator(args.mock_fail_case)
@@ -98,12 +123,14 @@ def run(spark: SparkSession, args, parser, make_generator=None) -> int:
     if not args.mock:
         try:
             settings.require_api_key()
-            if make_generator is None:
-                raise RuntimeError("no model client configured: pass make_generator or use --mock")
+            if make_generator is None and make_client is None:
+                raise RuntimeError("no model client configured: pass make_client, make_generator or use --mock")
         except RuntimeError as exc:
             LOG.error("%s", exc)
             return 1
-        runner.generator = make_generator(settings)
+        runner.generator = make_generator(settings) if make_generator else G.ModelGenerator(
+            make_client, prompt_builder(spark, args), settings.model or "model", settings.request_delay_seconds
+        )
     try:
         LOG.info("run complete: %s", runner.run(resume=args.resume, limit=args.limit))
     except KeyboardInterrupt:
@@ -121,6 +148,12 @@ def run(spark: SparkSession, args, parser, make_generator=None) -> int:
     return 0
 
 
+def prompts(spark: SparkSession, args) -> int:
+    made = prompt_builder(spark, args)(csv.read_cases(spark, args.test_csv, args.expected_rows))
+    storage.replace(spark, args.out, lambda fresh: made.write.parquet(fresh))
+    return 0
+
+
 def train(spark: SparkSession, args) -> int:
     cases = csv.read_labelled(
         spark, args.train_csv, ("case_id", "modality", "body_part", "template_content", "dictation")
@@ -177,13 +210,16 @@ def inspect(spark: SparkSession, args, parser) -> int:
     return 0
 
 
-def main(argv: list[str] | None = None, make_generator=None) -> int:
+def main(argv: list[str] | None = None, make_generator=None, make_client=None) -> int:
+    """``make_client()`` gives a function from (instruction, turns) to text; ``make_generator(settings)`` a generator."""
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(levelname)s %(message)s")
     parser = build_parser()
     args = parser.parse_args(argv)
     spark = session(args.shared_dir)
     if args.job == "run":
-        return run(spark, args, parser, make_generator)
+        return run(spark, args, parser, make_generator, make_client)
+    if args.job == "prompts":
+        return prompts(spark, args)
     if args.job == "inspect":
         return inspect(spark, args, parser)
     return train(spark, args) if args.job == "train" else analyze(spark, args)

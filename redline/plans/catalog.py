@@ -22,6 +22,7 @@ from redline.operators import routing as W
 from redline.operators import template as T
 from redline.operators import validation as V
 from redline.plans import corpus
+from redline.plans.prompting import PromptBuilder
 
 QUERIES: dict = {}
 
@@ -587,12 +588,11 @@ def example_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def retrieval_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts whose examples are the retrieved cases: turns and sizes per case."""
-    todo, labelled = corpus.test_cases(spark, sf_dir), corpus.train_cases(spark, sf_dir)
-    top = S.retrieve(S.query_features(todo), S.index_features(labelled), keep=corpus.keep)
-    d = P.build(todo, "Edit the template.", retrieved=P.retrieved_examples(top, labelled))
-    text = F.array_join(F.transform("turns", lambda t: t["text"]), "\n")
-    return d.select(
-        "case_id", F.size("turns").cast("bigint").alias("turns"),
-        F.length(text).cast("bigint").alias("characters"),
+    """Every turn of the prompts of the unlabelled cases, with hints and their nearest labelled cases."""
+    builder = PromptBuilder(
+        "Edit the template.", corpus.train_cases(spark, sf_dir), corpus.keep(_train_model(spark, sf_dir))
+    )
+    d = builder(corpus.test_cases(spark, sf_dir))
+    return T.explode(d.select("case_id", "turns"), "turns", "t").select(
+        "case_id", _big("position").alias("turn"), "t.role", "t.text"
     )
