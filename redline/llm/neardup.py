@@ -16,11 +16,10 @@ components, each named after its smallest doc_id.
    pairs whose tokens make the similarity possible are confirmed on the full sets.
    That joins most groups with a row per set, however large they are.
 5. Then all pairs of a node that are not yet in one component are compared, by
-   tokens first, then by 32 bits of each shingle, which can only overstate what
-   two sets share; what is left is confirmed on the full sets.  Large nodes are
-   compared in blocks, each pair of blocks a unit of its own; nothing is capped.
-   Groups of many documents just below the limit cost comparisons in memory,
-   but no rows.
+   tokens first, then on the full sets.  Large nodes are compared in blocks, each
+   pair of blocks a unit of its own; nothing is capped.  A unit gives only links
+   that join two components, fewer than it has sets, so groups of many documents
+   near the limit cost comparisons in memory, but no rows.
 
 Recall: a pair at the limit stays together in a tree of depth d with about
 0.85^d or more; with 12 trees, less than 1 in 10^4 such pairs is never compared,
@@ -203,42 +202,60 @@ def _sets(texts: pa.Array) -> Iterator[np.ndarray]:
             yield h[at[r]:at[r + 1]]
 
 
-def _short_sets(batches):
-    """set_id and the sorted low halves of its shingles."""
+def _whole_sets(batches):
+    """set_id and its sorted shingles."""
     for batch in batches:
         for first, rows, h, at in shingle_sets(batch.column(1)):
-            low = (h & U(0xFFFFFFFF)).astype(np.uint32)
-            data = [np.unique(low[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])]
+            data = [h[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, rows), pa.array(data, pa.binary())], names=["set_id", "low"]
+                [batch.column(0).slice(first, rows), pa.array(data, pa.binary())], names=["set_id", "shingles"]
             )
 
 
-def _open_pairs(nodes: DataFrame, sets: DataFrame, texts: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
-    """``a``, ``b``: pairs of a node that are not in one component yet and seem similar enough.
+def _open_links(nodes: DataFrame, sets: DataFrame, texts: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
+    """``a``, ``b``: links that join the components of a node that are not one yet.
 
     Nodes within one component are done.  The sets of the others are dealt to
     blocks of about BLOCK; each pair of blocks of a node meets in one unit.
     """
     member = linked.select(F.col("node").alias("set_id"), "component")
     named = nodes.join(member, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    open_ = named.groupBy("path").agg(
-        F.count(F.lit(1)).alias("count"), F.min("component").alias("low"), F.max("component").alias("high")
-    ).where("low <> high").select("path", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    node = named.groupBy("path").agg(
+        F.count(F.lit(1)).alias("count"), F.min("component").alias("low"), F.max("component").alias("high"),
+        F.expr("bit_xor(xxhash64(set_id))").alias("x"), F.expr("bit_xor(xxhash64(set_id, 1))").alias("y"),
+    ).where("low <> high")
+    # trees often have nodes of the same sets: one of them is enough
+    open_ = node.groupBy("count", "x", "y").agg(F.min("path").alias("path")).select(
+        "path", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")
+    )
     dealt = named.join(open_, "path").withColumn(
         "block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
     ).select(
         "path", "set_id", "component", "block",
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
     ).select(
-        F.xxhash64("path", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), "set_id", "component"
+        F.xxhash64("path", F.least("block", "other"), F.greatest("block", "other")).alias("unit"),
+        "set_id", "component", "block",
     )
-    full = texts.select("set_id", "text").mapInArrow(_short_sets, "set_id long, low binary")
-    rows = dealt.join(full.join(sets.select("set_id", "tokens"), "set_id"), "set_id").select(
-        "unit", "set_id", "component", "tokens", "low"
+    tokens = sets.select("set_id", "tokens")
+    rows = dealt.join(tokens, "set_id").select("unit", "set_id", "component", "block", "tokens")
+    # only sets with a likely partner in another component carry their shingles to the unit
+    likely = keep(rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(
+        _by_unit(lambda part: _partnered(part, percent)), "unit long, set_id long, component long, block int"
+    ))
+    full = texts.select("set_id", "text").mapInArrow(_whole_sets, "set_id long, shingles binary")
+    rows = likely.join(full.join(tokens, "set_id"), "set_id").select(
+        "unit", "set_id", "component", "block", "tokens", "shingles"
     )
+    return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(
+        _by_unit(lambda part: _across(part, percent)), "a long, b long"
+    ).distinct()
+
 
-    def compare(batches):
+def _by_unit(solve):
+    """Applies solve to the rows of each unit; they come sorted by unit and go as soon as they are whole."""
+
+    def run(batches):
         held = []
         for batch in _with_end(batches):
             if batch is not None:
@@ -250,15 +267,15 @@ def _open_pairs(nodes: DataFrame, sets: DataFrame, texts: DataFrame, linked: Dat
             table = pa.concat_batches(held)
             unit = np.asarray(table.column(0))
             ends = (np.flatnonzero(np.diff(unit)) + 1).tolist() + ([len(unit)] if batch is None else [])
-            begin, found = 0, [np.zeros((2, 0), np.int64)]
+            begin = 0
             for end in ends:
-                found.append(_across(table.slice(begin, end - begin), percent))
+                found = solve(table.slice(begin, end - begin))
+                if found is not None:
+                    yield found
                 begin = end
             held = [table.slice(begin)] if begin < len(unit) else []
-            a, b = np.unique(np.concatenate(found, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(compare, "a long, b long").distinct()
+    return run
 
 
 def _with_end(batches):
@@ -266,28 +283,54 @@ def _with_end(batches):
     yield None
 
 
-def _across(part: pa.RecordBatch, percent: int) -> np.ndarray:
-    """Pairs of a unit that cross components and are similar enough by the low halves of their shingles."""
-    ids, component = np.asarray(part.column(1)), np.asarray(part.column(2))
-    out = [np.zeros((2, 0), np.int64)]
-    if len(ids) < 2 or (component == component[0]).all():
-        return out[0]
-    enough = least_equal(percent)
-    tokens = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint32).reshape(-1, COORDINATES)
-    low = [np.frombuffer(x, np.uint32) for x in part.column(4).to_pylist()]
-    size = np.array(list(map(len, low)))
-    for i in range(len(ids) - 1):
-        j = np.flatnonzero(component[i + 1:] != component[i]) + i + 1
+def _other(i: int, group: np.ndarray, block: np.ndarray, one: bool) -> np.ndarray:
+    """Later rows of a unit in another component; sets of one block meet in the unit of that block alone."""
+    return np.flatnonzero((group[i + 1:] != group[i]) & (one | (block[i + 1:] != block[i]))) + i + 1
+
+
+def _partnered(part: pa.RecordBatch, percent: int) -> pa.RecordBatch | None:
+    """The rows of a unit that have a likely partner."""
+    component, block = np.asarray(part.column(2)), np.asarray(part.column(3))
+    if len(block) < 2 or (component == component[0]).all():
+        return None
+    one, enough, some = (block == block[0]).all(), least_equal(percent), np.zeros(len(block), bool)
+    tokens = np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint32).reshape(-1, COORDINATES)
+    for i in range(len(block) - 1):
+        j = _other(i, component, block, one)
         if len(j):
             j = j[(tokens[j] == tokens[i]).sum(1) >= enough]
+            some[j] = True
+            some[i] |= len(j) > 0
+    return part.select([0, 1, 2, 3]).filter(pa.array(some)) if some.any() else None
+
+
+def _across(part: pa.RecordBatch, percent: int) -> pa.RecordBatch | None:
+    """Links of a unit that join components."""
+    ids, component, block = (np.asarray(part.column(i)) for i in (1, 2, 3))
+    a, b = [], []
+    if len(ids) < 2:
+        return None
+    one, enough = (block == block[0]).all(), least_equal(percent)
+    tokens = np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint32).reshape(-1, COORDINATES)
+    sets = [np.frombuffer(x, U) for x in part.column(5).to_pylist()]
+    size = np.array(list(map(len, sets)))
+    _, group = np.unique(component, return_inverse=True)
+    for i in range(len(ids) - 1):
+        j = _other(i, group, block, one)
         if len(j):
-            flat = np.concatenate([low[x] for x in j])
-            place = np.searchsorted(low[i], flat)
-            hit = low[i][np.minimum(place, size[i] - 1)] == flat
-            both = np.add.reduceat(hit, np.cumsum(size[j]) - size[j], dtype=np.int64)
-            near = j[100 * (both + 1) >= percent * (size[i] + size[j] - both - 1)]
-            out.append(np.stack([np.minimum(ids[i], ids[near]), np.maximum(ids[i], ids[near])]))
-    return np.concatenate(out, axis=1)
+            j = j[(tokens[j] == tokens[i]).sum(1) >= enough]
+        if not len(j):
+            continue
+        flat = np.concatenate([sets[x] for x in j])
+        place = np.searchsorted(sets[i], flat)
+        hit = sets[i][np.minimum(place, size[i] - 1)] == flat
+        both = np.add.reduceat(hit, np.cumsum(size[j]) - size[j], dtype=np.int64)
+        for x in j[100 * both >= percent * (size[i] + size[j] - both)]:
+            if group[x] != group[i]:
+                group[group == group[x]] = group[i]
+                a.append(min(ids[i], ids[x]))
+                b.append(max(ids[i], ids[x]))
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]) if a else None
 
 
 def linked(docs: DataFrame, percent: int = 85, trees: int = 12, depth: int = 3, small: int = 256) -> tuple[DataFrame, DataFrame]:
@@ -307,8 +350,7 @@ def linked(docs: DataFrame, percent: int = 85, trees: int = 12, depth: int = 3,
         .join(near, "set_id", "left_semi")
     )
     links = keep(_confirmed(first, texts, percent))
-    second = keep(_open_pairs(nodes, sets, texts, components(links), percent))
-    links = links.unionByName(_confirmed(second, texts, percent))
+    links = links.unionByName(keep(_open_links(nodes, sets, texts, components(links), percent)))
     return rows, components(links.unionByName(equal))
 
 
