@@ -236,7 +236,9 @@ def _marks(docs: DataFrame, copies: DataFrame, group: int) -> DataFrame:
     found = keep(
         suffixes.select("prefix", "doc_id", "place").join(shared, "prefix").join(copies, "doc_id", "left_anti")
     )
-    frequent = found.groupBy("prefix").count().where(F.col("count") > group).select("prefix", F.lit(1).alias("frequent"))
+    frequent = keep(
+        found.groupBy("prefix").count().where(F.col("count") > group).select("prefix", F.lit(1).alias("frequent"))
+    )
     live = keep(
         found.join(frequent, "prefix", "left").groupBy("doc_id").agg(
             F.collect_list(F.col("place").cast("long") * 2 + F.coalesce("frequent", F.lit(0))).alias("live")
