@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redline.sources.shared import keep
+from redline.sources.shared import keep_narrow
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,12 +28,12 @@ def components(links: DataFrame) -> DataFrame:
     Alternates the two star steps until no link moves; each step is stored in
     the shared folder, rounds grow with the logarithm of the longest chain.
     """
-    edges = keep(
+    edges = keep_narrow(
         links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
     mark = None
     while True:
-        edges = keep(_small_star(_large_star(edges)))
+        edges = keep_narrow(_small_star(_large_star(edges)))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redline.sources.shared import keep
+from redline.sources.shared import keep, keep_narrow
 
 BLANK = "[ \\t\\x0B\\f\\r]+"
 
@@ -136,7 +136,7 @@ def kept_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     first = keep(_first_places(docs))
-    live = keep(_live(first, min_words))
+    live = keep_narrow(_live(first, min_words))
     wanted = live.groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted"))
     words = keep(
         docs.join(wanted, "doc_id")
@@ -163,7 +163,7 @@ def kept_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
         pairs.join(words, ["doc_id", "line_no"]).join(other, ["to_doc", "to_line"])
         .where(_at_most_one_edit(F.col("w"), F.col("w2"))).select("doc_id", "line_no")
     )
-    near = keep(near)
+    near = keep_narrow(near)
     stay = first.select("doc_id", "line_no").join(near, ["doc_id", "line_no"], "left_anti")
     return stay.select("doc_id", "line_no", F.lit(0).alias("n_near")).unionByName(
         near.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n_near"))

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from redline.llm.components import components
 from redline.llm.words import BLANKS, LOWER, U, mix, signed, windows, words
-from redline.sources.shared import keep
+from redline.sources.shared import keep, keep_narrow
 
 WORDS = 5
 COORDINATES = 64
@@ -139,12 +139,12 @@ def _nodes(sets: DataFrame, percent: int, trees: int, depth: int, small: int) ->
         "tokens", "tree",
     ).select("set_id", F.xxhash64("tree", "c", _token(F.col("c"))).alias("path"))
     for d in range(1, depth + 1):
-        level = keep(level.distinct())
+        level = keep_narrow(level.distinct())
         size = level.groupBy("path").count().where("count > 1")
         if d == depth:
             done.append(level.join(size.select("path"), "path", "left_semi"))
             break
-        size = keep(size)
+        size = keep_narrow(size)
         done.append(level.join(size.where(F.col("count") <= small).select("path"), "path", "left_semi"))
         large = level.join(size.where(F.col("count") > small).select("path"), "path", "left_semi")
         level = _children(large.join(sets.select("set_id", "tokens"), "set_id"), percent).select("set_id", "path")
@@ -240,7 +240,7 @@ def _open_links(nodes: DataFrame, sets: DataFrame, texts: DataFrame, linked: Dat
     tokens = sets.select("set_id", "tokens")
     rows = dealt.join(tokens, "set_id").select("unit", "set_id", "component", "block", "tokens")
     # only sets with a likely partner in another component carry their shingles to the unit
-    likely = keep(rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(
+    likely = keep_narrow(rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(
         _by_unit(lambda part: _partnered(part, percent)), "unit long, set_id long, component long, block int"
     ))
     full = texts.select("set_id", "text").mapInArrow(_whole_sets, "set_id long, shingles binary")
@@ -341,16 +341,16 @@ def linked(docs: DataFrame, percent: int = 85, trees: int = 12, depth: int = 3,
     equal = rows.where("n > 0").join(
         same.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z"), ["h1", "h2", "n"]
     ).select("a", F.col("doc_id").alias("b"))
-    nodes = keep(_nodes(sets, percent, trees, depth, small))
-    first = keep(_likely(_pivot_pairs(nodes), sets, percent))
+    nodes = keep_narrow(_nodes(sets, percent, trees, depth, small))
+    first = keep_narrow(_likely(_pivot_pairs(nodes), sets, percent))
     # texts of all sets that any pair can need
     near = nodes.select("set_id").distinct()
     texts = keep(
         docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("set_id"), "text")
         .join(near, "set_id", "left_semi")
     )
-    links = keep(_confirmed(first, texts, percent))
-    links = links.unionByName(keep(_open_links(nodes, sets, texts, components(links), percent)))
+    links = keep_narrow(_confirmed(first, texts, percent))
+    links = links.unionByName(keep_narrow(_open_links(nodes, sets, texts, components(links), percent)))
     return rows, components(links.unionByName(equal))
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from redline.llm.words import U, Words, mix, signed, two_hashes, windows, words
-from redline.sources.shared import keep
+from redline.sources.shared import keep, keep_narrow
 
 WINDOW = 20
 PREFIX = 6
@@ -224,22 +224,22 @@ def _copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     long = sizes.where(F.col("n_words") >= WINDOW)
     first = long.groupBy("h1", "h2", "n_words").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last"))
     copies = long.join(first.where("lead < last"), ["h1", "h2", "n_words"]).where("doc_id > lead").select("doc_id")
-    return sizes, keep(copies.distinct())
+    return sizes, keep_narrow(copies.distinct())
 
 
 def _marks(docs: DataFrame, copies: DataFrame, group: int) -> DataFrame:
     """``doc_id``, ``place``, ``marks`` of every suffix with a repeated window, copies aside."""
     suffixes = docs.mapInArrow(_suffixes, "prefix long, doc_id long, place int, same long")
     # stored, so that Spark sees the sizes of both sides of the join and splits a hot prefix
-    shared = keep(suffixes.groupBy("prefix").agg(F.min("same").alias("low"), F.max("same").alias("high"))
+    shared = keep_narrow(suffixes.groupBy("prefix").agg(F.min("same").alias("low"), F.max("same").alias("high"))
                   .where("low <> high").select("prefix"))
-    found = keep(
+    found = keep_narrow(
         suffixes.select("prefix", "doc_id", "place").join(shared, "prefix").join(copies, "doc_id", "left_anti")
     )
-    frequent = keep(
+    frequent = keep_narrow(
         found.groupBy("prefix").count().where(F.col("count") > group).select("prefix", F.lit(1).alias("frequent"))
     )
-    live = keep(
+    live = keep_narrow(
         found.join(frequent, "prefix", "left").groupBy("doc_id").agg(
             F.collect_list(F.col("place").cast("long") * 2 + F.coalesce("frequent", F.lit(0))).alias("live")
         )
@@ -251,7 +251,7 @@ def _marks(docs: DataFrame, copies: DataFrame, group: int) -> DataFrame:
         around.where("NOT hot").drop("hot").repartition("prefix").sortWithinPartitions("prefix")
         .mapInArrow(_grow, "doc_id long, place int, marks int")
     )
-    return keep(trees.unionByName(_whole_windows(around.where("hot"))))
+    return keep_narrow(trees.unionByName(_whole_windows(around.where("hot"))))
 
 
 def _removal(w: Words, row_marks: list) -> np.ndarray:

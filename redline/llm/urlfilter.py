@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redline.sources.shared import keep
+from redline.sources.shared import keep_narrow
 
 #: Words of hosts that are blocked without further evidence.
 SEEDS = ("spam", "pills", "casino", "adult", "bets", "porn", "ads", "viagra", "xxx", "loans")
@@ -95,7 +95,7 @@ def segment(hosts: DataFrame, html: DataFrame, seeds: tuple[str, ...] = SEEDS) -
         "label", "begin", F.explode(F.sequence(F.lit(1), F.least(size - F.col("begin") + 1, F.lit(LONGEST)))).alias("n_letters")
     ).select("label", F.substring(F.col("label"), F.col("begin"), F.col("n_letters")).alias("word")).distinct()
     extra = hosts.sparkSession.createDataFrame([(w, 1) for w in seeds], "word string, n long")
-    counts = keep(word_counts(html).unionByName(extra).groupBy("word").agg(F.sum("n").alias("n")))
+    counts = keep_narrow(word_counts(html).unionByName(extra).groupBy("word").agg(F.sum("n").alias("n")))
     total = float(counts.agg(F.sum("n")).first()[0] or 0)
     known = runs.join(counts, "word").groupBy("label").agg(
         F.map_from_entries(F.collect_list(F.struct("word", F.log(F.col("n") / F.lit(max(total, 1.0)))))).alias("log_p")
@@ -138,7 +138,7 @@ def verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], seeds: tuple[s
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
     places = urls.where(F.col("host") != "").select("host", "path").distinct()
     words = segment(places.select("host").distinct(), pages.select("html"), seeds)
-    tokens = keep(_tokens(places, words))
+    tokens = keep_narrow(_tokens(places, words))
     seed_tokens = [f"h:{s}" for s in seeds]
     seeded = tokens.where(F.col("token").isin(seed_tokens)).select("host").distinct().withColumn("bad", F.lit(True))
     labelled = tokens.join(seeded, "host", "left").withColumn("bad", F.coalesce("bad", F.lit(False))).where(
