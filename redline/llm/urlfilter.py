@@ -130,14 +130,12 @@ def verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], seeds: tuple[s
     """``page_id``, ``host``, ``path``, ``rule``, ``verdict``, ``score`` and ``host_words`` of every page.
 
     Scores are summed over the tokens of each different host and path and joined
-    back; a host with a third of all pages is a row there.  Only the word counts
-    and the tokens are stored; what comes from the url column alone is cheap next
-    to the texts and made again where it is needed.
+    back; a host with a third of all pages is a row there.
     """
     host, path = split_url(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
-    places = urls.where(F.col("host") != "").select("host", "path").distinct()
-    words = segment(places.select("host").distinct(), pages.select("html"), seeds)
+    places = keep_narrow(urls.where(F.col("host") != "").select("host", "path").distinct())
+    words = keep_narrow(segment(places.select("host").distinct(), pages.select("html"), seeds))
     tokens = keep_narrow(_tokens(places, words))
     seed_tokens = [f"h:{s}" for s in seeds]
     seeded = tokens.where(F.col("token").isin(seed_tokens)).select("host").distinct().withColumn("bad", F.lit(True))
@@ -147,6 +145,7 @@ def verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], seeds: tuple[s
     counts = labelled.groupBy("token").agg(
         F.sum(F.col("bad").cast("long")).alias("b"), F.sum((~F.col("bad")).cast("long")).alias("g")
     )
+    counts = keep_narrow(counts)
     n_b, n_g, size = (float(x or 0) for x in counts.agg(F.sum("b"), F.sum("g"), F.count(F.lit(1))).first())
     n, n_bad = (float(x or 0) for x in places.join(seeded, "host", "left").agg(
         F.count(F.lit(1)), F.sum(F.coalesce("bad", F.lit(False)).cast("long"))).first())
