@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from redline import constants as K
+
 _WS_POINTS = (
     [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680]
     + list(range(0x2000, 0x200B)) + [0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -12,12 +14,7 @@ WS = "(" + "||".join(f"chr({p})" for p in _WS_POINTS) + ")"
 WS_RE = "'[" + "".join(f"\\x{{{p:x}}}" for p in _WS_POINTS) + "]+'"
 NL = "chr(10)"
 HEADER = r"'^([A-Za-z][A-Za-z0-9 &/\-()]+):'"
-STOP = (
-    "the and are with was for from this there that have has not no any is of in on at to a an be or "
-    "but right left mild moderate severe small large shows show noted note consistent seen findings "
-    "within without due related also both report imaging study showing"
-).split()
-STOP_LIST = "[" + ",".join(f"'{w}'" for w in STOP) + "]"
+STOP_LIST = "[" + ",".join(f"'{w}'" for w in sorted(K.STOP_WORDS)) + "]"
 TOKENS4 = "['[left/right]','[left/right/bilateral]','[_laterality_]','[generic]']"
 TOKENS3 = "['[left/right]','[left/right/bilateral]','[_laterality_]']"
 

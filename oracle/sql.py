@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from oracle import base as B
+from redline import constants as K
+
+_WEIGHTS = tuple(K.SCORE_WEIGHTS.values())  # template, modality and part, dictation, edited sections
 
 SQL: dict[str, str] = {}
 
@@ -421,7 +424,9 @@ _SPLIT = _A + "," + _routing(_TRAINED) + "," + _candidates() + "," + _brute_forc
 SQL["retrieval_topk"] = _SPLIT + """
 SELECT q AS case_id, rank, i AS match_id, CAST(tier AS BIGINT) AS tier, round(ts,6) AS template_similarity,
   CAST(round(mb,6) AS DOUBLE) AS modality_bodypart, round(ds,6) AS dictation_similarity,
-  CAST(round(er,6) AS DOUBLE) AS edited_section_relevance FROM ranked WHERE rank<=3"""
+  CAST(round(er,6) AS DOUBLE) AS edited_section_relevance,
+  round((""" + "+".join(f"{w}*{c}" for c, w in zip(("ts", "mb", "ds", "er"), _WEIGHTS)) + f""")/{sum(_WEIGHTS)},6) AS score
+FROM ranked WHERE rank<=3"""
 SQL["retrieval_self"] = _A + "," + _brute_force("", "", "CAST([] AS VARCHAR[])") + """
 SELECT q AS case_id, i AS match_id, CAST(tier AS BIGINT) AS tier FROM ranked WHERE rank=1"""
 SQL["near_templates"] = _SPLIT + """
@@ -433,11 +438,13 @@ q AS (SELECT DISTINCT modality, body_part FROM cases WHERE row_index NOT IN (SEL
 i AS (SELECT DISTINCT modality, body_part FROM cases WHERE row_index IN (SELECT doc_id FROM labels)),
 p AS (SELECT q.modality, q.body_part, i.modality AS index_modality, i.body_part AS index_body_part,
     regexp_extract_all(lower(q.body_part),'[a-z0-9]+') AS a, regexp_extract_all(lower(i.body_part),'[a-z0-9]+') AS b
-  FROM q, i WHERE q.modality=i.modality OR lower(q.body_part)=lower(i.body_part))
+  FROM q, i WHERE q.modality=i.modality OR lower(q.body_part)=lower(i.body_part)
+    OR len(list_intersect(regexp_extract_all(lower(q.body_part),'[a-z0-9]+'), regexp_extract_all(lower(i.body_part),'[a-z0-9]+')))>0)
 SELECT modality, body_part, index_modality, index_body_part, round(CASE
   WHEN modality=index_modality AND lower(body_part)=lower(index_body_part) THEN 1.0
   WHEN modality=index_modality THEN 0.5+0.25*len(list_intersect(a,b))/(len(a)+len(b)-len(list_intersect(a,b)))
-  ELSE 0.6 END, 6) AS score FROM p"""
+  WHEN lower(body_part)=lower(index_body_part) THEN 0.6
+  ELSE 0.25*len(list_intersect(a,b))/(len(a)+len(b)-len(list_intersect(a,b))) END, 6) AS score FROM p"""
 
 _TASK = (
     "'TEMPLATE SECTION LABELS (use exactly these keys in findings_edits):'||chr(10)||"

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redline.functions import text as X
-from redline.functions.diffing import with_char_edits
+from redline.functions.diffing import python_round, with_char_edits
 from redline.operators import template as T
 
 _NO_LABELS = "array<string>"
@@ -101,6 +101,13 @@ def analyze(df: DataFrame, *, char_edits: bool = True) -> DataFrame:
     return d.drop(*drop)
 
 
+# Digits of the means and percentages.
+_DIGITS = {
+    "average_edited_sections": 3, "percent_mostly_unchanged": 2, "percent_low_char_edit_ratio": 2,
+    "average_char_edit_ratio": 4, "average_added_chars": 2, "average_deleted_chars": 2,
+}
+
+
 def _count(condition: Column, name: str) -> Column:
     return F.count_if(condition).alias(name)
 
@@ -113,14 +120,14 @@ def corpus_stats(analysis: DataFrame, *, char_edits: bool = True) -> DataFrame:
     n = F.size("edited")
     findings, impression = F.col("findings_changed"), F.col("impression_changed")
     sections = F.col("template_section_count")
-    percent = lambda c: F.round(F.count_if(c) / F.count("*") * 100, 2)
+    percent = lambda c: F.count_if(c) / F.count("*") * 100
     columns = [
         F.count("*").alias("total_cases"),
         _count(findings, "findings_edited"),
         _count(~findings, "findings_unchanged"),
         _count(impression, "impression_edited"),
         _count(~impression, "impression_unchanged"),
-        F.round(F.avg(n), 3).alias("average_edited_sections"),
+        F.avg(n).alias("average_edited_sections"),
         # Counts of sections are few, so the exact median works on a small histogram.
         F.median(n).alias("median_edited_sections"),
         _count(n == 0, "zero_section_edits"),
@@ -138,11 +145,14 @@ def corpus_stats(analysis: DataFrame, *, char_edits: bool = True) -> DataFrame:
     if char_edits:
         columns += [
             percent(F.col("char_edit_ratio") <= 0.5).alias("percent_low_char_edit_ratio"),
-            F.round(F.avg("char_edit_ratio"), 4).alias("average_char_edit_ratio"),
-            F.round(F.avg("added_chars"), 2).alias("average_added_chars"),
-            F.round(F.avg("deleted_chars"), 2).alias("average_deleted_chars"),
+            F.avg("char_edit_ratio").alias("average_char_edit_ratio"),
+            F.avg("added_chars").alias("average_added_chars"),
+            F.avg("deleted_chars").alias("average_deleted_chars"),
         ]
-    return analysis.agg(*columns)
+    row = analysis.agg(*columns)
+    return row.withColumns(
+        {c: python_round(F.col(c), F.lit(digits)) for c, digits in _DIGITS.items() if c in row.columns}
+    )
 
 
 def exact_median(df: DataFrame, column: str, bins: int = 1 << 16) -> DataFrame:

@@ -497,7 +497,7 @@ def retrieval_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = S.retrieve(cases, index, keep=corpus.keep)
     rounded = [
         F.round(c, 6).alias(c)
-        for c in ("template_similarity", "modality_bodypart", "dictation_similarity", "edited_section_relevance")
+        for c in ("template_similarity", "modality_bodypart", "dictation_similarity", "edited_section_relevance", "score")
     ]
     return d.select("case_id", _big("rank").alias("rank"), "match_id", _big("tier").alias("tier"), *rounded)
 
@@ -520,13 +520,16 @@ def tfidf_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def modality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Agreement between the keys of unlabelled and labelled cases that share one."""
+    """Agreement between the keys of unlabelled and labelled cases that share a modality or a word of the body part."""
     keys = lambda d: d.select("modality", "body_part").distinct()
     q, i = keys(corpus.test_cases(spark, sf_dir)), keys(corpus.train_cases(spark, sf_dir))
     i = i.select(F.col("modality").alias("im"), F.col("body_part").alias("ib"))
+    by_word = [
+        d.withColumn("word", F.explode(X.body_part_tokens(F.col(c)))) for d, c in ((q, "body_part"), (i, "ib"))
+    ]
     met = q.join(i, F.col("modality") == F.col("im")).unionAll(
         q.join(i, F.lower("body_part") == F.lower("ib"))
-    ).distinct()
+    ).unionAll(by_word[0].join(by_word[1], "word").drop("word")).distinct()
     score = S.modality_score(F.col("modality"), F.col("body_part"), F.col("im"), F.col("ib"))
     return met.select(
         "modality", "body_part", F.col("im").alias("index_modality"), F.col("ib").alias("index_body_part"),
