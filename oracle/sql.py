@@ -490,3 +490,17 @@ SELECT a.case_id, CAST(2*(s.rank-1) AS BIGINT) AS turn, 'user' AS role, s.task A
 UNION ALL SELECT a.case_id, 2*(s.rank-1)+1, 'model', s.answer FROM asked a JOIN shown s ON s.q=a.case_id
 UNION ALL SELECT a.case_id, 2*(SELECT count(*) FROM shown s WHERE s.q=a.case_id), 'user', a.text FROM asked a"""
 )
+
+_FAIL = "'InvalidModelOutput: '||"
+SQL["parse_model_json"] = _DERIVED + f""",
+hit AS (SELECT case_id, arg_min(label, pos) AS label FROM kept WHERE contains(body, ' Measures') GROUP BY 1),
+odd AS (SELECT case_id, bool_or(contains({_JS.format('label')}||{_JS.format('body')}, 'null')) AS nulls FROM kept GROUP BY 1),
+f AS (SELECT i.case_id, CASE c.row_index % 8
+    WHEN 2 THEN {_FAIL}'not valid JSON'
+    WHEN 3 THEN {_FAIL}'unexpected in answer: conclusion'
+    WHEN 4 THEN CASE WHEN i.impression IS NULL THEN {_FAIL}'impression must be string or null' END
+    WHEN 5 THEN coalesce({_FAIL}'block header inside '||h.label,
+      CASE WHEN contains(i.impression, ' Measures') THEN {_FAIL}'block header inside impression' END)
+    WHEN 6 THEN {_FAIL}'empty response' END AS error, c.row_index % 8 = 4 AND coalesce(o.nulls, false) AS changed
+  FROM imp i JOIN cases c ON c.case_id=i.case_id LEFT JOIN hit h ON h.case_id=i.case_id LEFT JOIN odd o ON o.case_id=i.case_id)
+SELECT case_id, error, CASE WHEN error IS NULL THEN NOT changed END AS same_edits FROM f"""

@@ -158,10 +158,14 @@ def placeholders_in(c: Column) -> Column:
     return bind(text(c), lambda t: F.filter(known, lambda p: F.contains(t, p)))
 
 
+# Fixed value: what stands for an empty dictation.
+NO_DICTATION = "No significant abnormality."
+
+
 def snippet(dictation: Column) -> Column:
     """At most 120 characters of a dictation on one line."""
     one_line = collapse(dictation)
-    full = F.when(one_line == "", F.lit("No significant abnormality.")).otherwise(one_line)
+    full = F.when(one_line == "", F.lit(NO_DICTATION)).otherwise(one_line)
     cut = F.concat(F.rtrim(F.left(full, F.lit(120)), F.lit(" ,.;")), F.lit(" ..."))
     return F.when(F.length(full) > 120, cut).otherwise(full)
 

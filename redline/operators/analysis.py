@@ -43,12 +43,11 @@ def classify(df: DataFrame) -> DataFrame:
         ),
     )
     pick = lambda keep: T.labels(F.filter("_verdict", keep))
-    added = X.bind(
-        T.labels(F.col("t_sections")),
-        lambda names: F.filter(
-            T.labels(F.col("r_sections")), lambda n: ~F.array_contains(names, n)
-        ),
-    )
+    template, report = T.labels(F.col("t_sections")), T.labels(F.col("r_sections"))
+    # array_except hashes but drops repeats, which are rare and then looked up one by one
+    added = F.when(
+        F.size(F.array_distinct(report)) == F.size(report), F.array_except(report, template)
+    ).otherwise(X.bind(template, lambda names: F.filter(report, lambda n: ~F.array_contains(names, n))))
     verdicts = {"edited": pick(lambda v: ~v["same"]), "unchanged": pick(lambda v: v["same"])}
     return d.withColumns({**verdicts, "added": added}).drop("_verdict")
 

@@ -54,17 +54,20 @@ class DataValidationError(ValueError):
 
 
 def classify_exception(exc: BaseException) -> str:
-    """Category of an exception caught inside a task."""
-    family = [c.__name__ for c in type(exc).__mro__]
-    for name, category in BY_FAMILY.items():
-        if name in family:
-            return category
-    name, status = family[0], getattr(exc, "code", None)
-    if name in BY_NAME:
-        return BY_NAME[name]
-    if name in STATUS_ERRORS and status in BY_STATUS:
-        return BY_STATUS[status]
-    return "TRANSIENT" if "OSError" in family or name in TRANSIENT_NAMES else "GENERIC"
+    """Category of an exception caught inside a task, by the tables that serve logged names too.
+
+    Of the names of the exception and its bases, the family names count
+    anywhere, the others for the exception itself; a system error is transient.
+    """
+    names = [c.__name__ for c in type(exc).__mro__]
+    own, status = names[0], getattr(exc, "code", None)
+    tables = [
+        *(BY_FAMILY.get(n) for n in names),
+        BY_NAME.get(own),
+        BY_STATUS.get(status) if own in STATUS_ERRORS and isinstance(status, int) else None,
+        "TRANSIENT" if own in TRANSIENT_NAMES or isinstance(exc, OSError) else None,
+    ]
+    return next(filter(None, tables), "GENERIC")
 
 
 # Python's own errors below OSError, ConnectionError included, without TimeoutError.

@@ -16,6 +16,11 @@ from redline.operators import template as P
 from redline.operators.errors import classify_exception
 
 
+# Texts of the mock.
+MOCK_SECTION = "Mockized review for "
+MOCK_IMPRESSION = ("Mock impression (", ") - not clinically meaningful.")
+
+
 class Generator:
     """Adds ``edits``, ``error_category`` and ``error_message`` to a batch of cases."""
 
@@ -43,7 +48,7 @@ class MockGenerator(Generator):
             lambda s: F.map_from_entries(
                 F.transform(
                     "_labels",
-                    lambda n: F.struct(n, F.concat(F.lit("Mockized review for "), n, F.lit(": "), s)),
+                    lambda n: F.struct(n, F.concat(F.lit(MOCK_SECTION), n, F.lit(": "), s)),
                 )
             ),
         )
@@ -51,7 +56,7 @@ class MockGenerator(Generator):
             F.when(F.size("_labels") > 0, sectioned)
             .otherwise(F.create_map(F.lit(K.WHOLE_BLOCK), words)).alias("findings_edits"),
             F.concat(
-                F.lit("Mock impression ("), "case_id", F.lit(") - not clinically meaningful.")
+                F.lit(MOCK_IMPRESSION[0]), "case_id", F.lit(MOCK_IMPRESSION[1])
             ).alias("impression"),
         )
         failing = F.col("case_id").isin(*self.fail_case_ids) if self.fail_case_ids else F.lit(False)
