@@ -84,7 +84,8 @@ def _live(first: DataFrame, min_words: int) -> DataFrame:
     rows = first.where(n >= min_words).select(
         "doc_id", "line_no", "n", F.explode(halves).alias("x")
     ).select("doc_id", "line_no", "n", "x.*")
-    shared = rows.groupBy("side", "m", "half").count().where("count > 1").drop("count")
+    # stored, so that Spark sees both sizes and splits a hot half; so is the table of earliest variants below
+    shared = keep_narrow(rows.groupBy("side", "m", "half").count().where("count > 1").drop("count"))
     return rows.join(shared, ["side", "m", "half"], "left_semi")
 
 
@@ -147,10 +148,10 @@ def kept_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     variants = _variants(live.join(words, ["doc_id", "line_no"]))
     # a whole line is alike to lines with a word more, those with a word exchanged at one place are alike to each other
     place = F.struct("doc_id", "line_no")
-    earliest = variants.groupBy("key", "key2").agg(
+    earliest = keep_narrow(variants.groupBy("key", "key2").agg(
         F.min(F.when(F.col("whole"), place)).alias("whole_at"), F.min(F.when(~F.col("whole"), place)).alias("other_at"),
         F.count(F.lit(1)).alias("c"),
-    ).where("c > 1").drop("c")
+    ).where("c > 1").drop("c"))
     pairs = (
         variants.join(earliest, ["key", "key2"])
         .withColumn("before", F.when(F.col("whole") | F.col("exchanged"), F.col("other_at")).otherwise(F.col("whole_at")))

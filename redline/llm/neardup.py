@@ -338,9 +338,9 @@ def linked(docs: DataFrame, percent: int = 85, trees: int = 12, depth: int = 3,
     rows = keep(describe(docs))
     same = rows.where("n > 0").groupBy("h1", "h2", "n")
     sets = keep(same.agg(F.min("doc_id").alias("set_id"), F.first("tokens").alias("tokens")).select("set_id", "n", "tokens"))
-    equal = rows.where("n > 0").join(
-        same.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z"), ["h1", "h2", "n"]
-    ).select("a", F.col("doc_id").alias("b"))
+    # stored, so that Spark sees both sizes and splits a group of very many equal sets
+    several = keep_narrow(same.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").drop("z"))
+    equal = rows.where("n > 0").join(several, ["h1", "h2", "n"]).select("a", F.col("doc_id").alias("b"))
     nodes = keep_narrow(_nodes(sets, percent, trees, depth, small))
     first = keep_narrow(_likely(_pivot_pairs(nodes), sets, percent))
     # texts of all sets that any pair can need

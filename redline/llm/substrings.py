@@ -223,7 +223,9 @@ def _copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sizes = keep(docs.mapInArrow(_sizes, "doc_id long, n_words long, h1 long, h2 long"))
     long = sizes.where(F.col("n_words") >= WINDOW)
     first = long.groupBy("h1", "h2", "n_words").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last"))
-    copies = long.join(first.where("lead < last"), ["h1", "h2", "n_words"]).where("doc_id > lead").select("doc_id")
+    # stored, so that Spark sees both sizes and splits a group of very many copies
+    several = keep_narrow(first.where("lead < last").drop("last"))
+    copies = long.join(several, ["h1", "h2", "n_words"]).where("doc_id > lead").select("doc_id")
     return sizes, keep_narrow(copies.distinct())
 
 
