@@ -125,7 +125,7 @@ def blocks(benchmark: DataFrame, shortest: int, overlap: int, similar: float) ->
         yield Items(ids, texts, shortest, overlap, similar)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, shortest: int = 8, overlap: int = 20, similar: float = 0.8) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, shortest: int = 8, overlap: int = 13, similar: float = 0.8) -> DataFrame:
     """``doc_id``, ``item_id``, ``first_word``, ``places``, ``equal``: the best overlap of each diagonal found."""
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, first_word long, places long, equal long"
@@ -162,7 +162,7 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     )
 
 
-def apply(docs: DataFrame, benchmark: DataFrame, shortest: int = 8, overlap: int = 20, similar: float = 0.8) -> DataFrame:
+def apply(docs: DataFrame, benchmark: DataFrame, shortest: int = 8, overlap: int = 13, similar: float = 0.8) -> DataFrame:
     """The clean documents, all columns as they are.  Whole rows pass through the tasks, none is shuffled."""
     spark, schema, at = docs.sparkSession, docs.schema, docs.columns.index("text")
     for block in blocks(benchmark, shortest, overlap, similar):

@@ -254,7 +254,7 @@ def contaminated(docs, items):
         w = split(t)
         found = set()
         for i, x in tests:
-            n = min(20, len(x))
+            n = min(13, len(x))
             if len(x) < 8:
                 continue
             for shift in range(-len(x), len(w)):
