@@ -14,8 +14,8 @@ merged.  A first pass over one group a set gives each query a k-th score to
 start from.  That is the stated query set against all rows in blocks: work grows
 as queries times rows where bounds do not prune, memory with neither.
 
-Vectors that are null, hold a null or a non-finite component, or whose values
-pass 2^31, and rows without vec_id take no part.  Vectors of another length than
+Vectors that are null, hold a null or a non-finite component, or one of 2^54 and
+more, and rows without vec_id take no part; scores have to fit a long.  Vectors of another length than
 the query's are padded with zeros.  Rows that repeat a vec_id are candidates of
 their own, but not for the query of that vec_id, which is asked once with the
 largest of its vectors.  Fewer than k candidates give fewer rows.
@@ -40,10 +40,10 @@ def whole_vectors(rows: DataFrame) -> DataFrame:
     """``vec_id`` and ``v``: the components as whole numbers."""
     x = F.transform("embedding", lambda c: F.floor(F.lit(256.0) * c.cast("double")))
     fine = F.col("embedding").isNotNull() & F.forall(
-        "embedding", lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < 2.0**23)
+        "embedding", lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < 2.0**54)
     )
     return rows.where(F.col("vec_id").isNotNull() & fine).select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: c.cast("int")).alias("v")
+        F.col("vec_id").cast("long").alias("vec_id"), x.alias("v")
     )
 
 
@@ -57,12 +57,12 @@ def _packed(per: int):
             nonlocal made
             made += 1
             width = max(map(len, vectors))
-            m = np.zeros((len(vectors), width), np.int32)
+            m = np.zeros((len(vectors), width), np.int64)
             for i, v in enumerate(vectors):
                 m[i, : len(v)] = v
             return pa.RecordBatch.from_arrays(
                 [pa.array([(TaskContext.get().partitionId() << 32) + made]), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()),
-                 pa.array([m.astype("<i4").tobytes()], pa.binary()), pa.array([width], pa.int32())],
+                 pa.array([m.astype("<i4" if (np.abs(m) < 1 << 31).all() else "<i8").tobytes()], pa.binary()), pa.array([width], pa.int32())],
                 names=["key", "ids", "matrix", "width"],
             )
 
@@ -84,7 +84,8 @@ PACKED = "key long, ids binary, matrix binary, width int"
 
 def _unpack(ids: bytes, matrix: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
     i = np.frombuffer(ids, "<i8")
-    return i, np.frombuffer(matrix, "<i4").reshape(len(i), width).astype(np.int64)
+    kind = "<i8" if len(matrix) == 8 * len(i) * width else "<i4"
+    return i, np.frombuffer(matrix, kind).reshape(len(i), width).astype(np.int64)
 
 
 def _pad(m: np.ndarray, width: int) -> np.ndarray:
