@@ -46,7 +46,7 @@ def test_top_k_equals_brute_force(spark, monkeypatch, shape):
              "clustered": [x + r.gauss(0, 0.05) for x in c], "ties": [r.choice([-0.5, 0.25]) for _ in range(6)]}[shape]
         rows.append((i * 3 % 257 if shape != "few" else i, v))
     rows += [(300, None), (301, [1.0, None]), (302, [float("nan")] * 6), (303, [float("inf")] * 6), (None, [1.0] * 6)]
-    rows += [(304, []), (305, [0.5]), (306, [3e7, -2e9, 0.0, 0.0, 0.0, 0.0]), (310, [1.5e7]), (rows[0][0], rows[0][1]), (rows[1][0], [9.0] * 6)]
+    rows += [(304, []), (305, [0.5]), (306, [3e7, -2e9, 0.0, 0.0, 0.0, 0.0]), (310, [1.5e5]), (rows[0][0], rows[0][1]), (rows[1][0], [9.0] * 6)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "'x' AS v", "1 AS score", "2 AS first")
     queries = [x for x in rows if x[0] is not None and x[0] % 5 == 0]
     got = collections.defaultdict(list)
