@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from redline.functions.text import bind
 from redline.sources.shared import keep, keep_narrow
 
 BLANK = "[ \\t\\x0B\\f\\r]+"
@@ -43,8 +44,8 @@ def _lines(docs: DataFrame) -> DataFrame:
     return (
         docs.where(F.col("doc_id").isNotNull())
         .select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+        .where(_has_words(F.col("line")))  # cheaper than splitting a line twice, as a filter on its words would
         .select("doc_id", "line_no", _words(F.col("line")).alias("w"))
-        .where(F.size("w") > 0)
     )
 
 
@@ -141,8 +142,10 @@ def kept_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     wanted = live.groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted"))
     words = keep(
         docs.join(wanted, "doc_id")
-        .select("doc_id", F.explode("wanted").alias("line_no"), F.split("text", "\n", -1).alias("lines"))
-        .select("doc_id", "line_no", _words(F.element_at("lines", F.col("line_no") + 1)).alias("w"))
+        .select("doc_id", F.explode(bind(F.split("text", "\n", -1), lambda lines: F.transform(
+            "wanted", lambda i: F.struct(i.alias("line_no"), F.element_at(lines, i + 1).alias("line"))
+        ))).alias("x"))
+        .select("doc_id", "x.line_no", _words(F.col("x.line")).alias("w"))
         .dropDuplicates(["doc_id", "line_no"])
     )
     variants = _variants(live.join(words, ["doc_id", "line_no"]))
@@ -206,11 +209,16 @@ def apply(docs: DataFrame, min_words: int = 8) -> DataFrame:
     )
     lines = F.split("text", "\n", -1)
     blank = F.col("text").isNull() | (F.size(F.filter(lines, _has_words)) == 0) | F.col("doc_id").isNull()
-    rest = F.array_join(F.filter(lines, lambda x, i: F.array_contains(name, i) | ~_has_words(x)), "\n")
+
+    def rest_of(parts: Column) -> Column:
+        empty = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: ~_has_words(F.element_at(parts, i + 1)))
+        stay = F.array_sort(F.concat(F.array_distinct(name), empty))
+        return F.array_join(F.transform(stay, lambda i: F.element_at(parts, i + 1)), "\n")
+
     everything = F.size(name) == F.size(lines)
     return (
         docs.join(kept, "doc_id", "left").where(F.col(name).isNotNull() | blank)
-        .withColumn("text", F.when(blank | everything, F.col("text")).otherwise(rest)).select(*docs.columns)
+        .withColumn("text", F.when(blank | everything, F.col("text")).otherwise(bind(lines, rest_of))).select(*docs.columns)
     )
 
 
