@@ -86,7 +86,7 @@ def _live(first: DataFrame, min_words: int) -> DataFrame:
         "doc_id", "line_no", "n", F.explode(halves).alias("x")
     ).select("doc_id", "line_no", "n", "x.*")
     # stored, so that Spark sees both sizes and splits a hot half; so is the table of earliest variants below
-    shared = keep_narrow(rows.groupBy("side", "m", "half").count().where("count > 1").drop("count"))
+    shared = keep(rows.groupBy("side", "m", "half").count().where("count > 1").drop("count"))
     return rows.join(shared, ["side", "m", "half"], "left_semi")
 
 
@@ -138,7 +138,7 @@ def kept_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     first = keep(_first_places(docs))
-    live = keep_narrow(_live(first, min_words))
+    live = keep(_live(first, min_words))
     wanted = live.groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted"))
     words = keep(
         docs.join(wanted, "doc_id")
@@ -151,7 +151,7 @@ def kept_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     variants = _variants(live.join(words, ["doc_id", "line_no"]))
     # a whole line is alike to lines with a word more, those with a word exchanged at one place are alike to each other
     place = F.struct("doc_id", "line_no")
-    earliest = keep_narrow(variants.groupBy("key", "key2").agg(
+    earliest = keep(variants.groupBy("key", "key2").agg(
         F.min(F.when(F.col("whole"), place)).alias("whole_at"), F.min(F.when(~F.col("whole"), place)).alias("other_at"),
         F.count(F.lit(1)).alias("c"),
     ).where("c > 1").drop("c"))

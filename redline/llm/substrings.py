@@ -233,15 +233,15 @@ def _marks(docs: DataFrame, copies: DataFrame, group: int) -> DataFrame:
     """``doc_id``, ``place``, ``marks`` of every suffix with a repeated window, copies aside."""
     suffixes = docs.mapInArrow(_suffixes, "prefix long, doc_id long, place int, same long")
     # stored, so that Spark sees the sizes of both sides of the join and splits a hot prefix
-    shared = keep_narrow(suffixes.groupBy("prefix").agg(F.min("same").alias("low"), F.max("same").alias("high"))
+    shared = keep(suffixes.groupBy("prefix").agg(F.min("same").alias("low"), F.max("same").alias("high"))
                   .where("low <> high").select("prefix"))
-    found = keep_narrow(
+    found = keep(
         suffixes.select("prefix", "doc_id", "place").join(shared, "prefix").join(copies, "doc_id", "left_anti")
     )
     frequent = keep_narrow(
         found.groupBy("prefix").count().where(F.col("count") > group).select("prefix", F.lit(1).alias("frequent"))
     )
-    live = keep_narrow(
+    live = keep(
         found.join(frequent, "prefix", "left").groupBy("doc_id").agg(
             F.collect_list(F.col("place").cast("long") * 2 + F.coalesce("frequent", F.lit(0))).alias("live")
         )
@@ -253,7 +253,7 @@ def _marks(docs: DataFrame, copies: DataFrame, group: int) -> DataFrame:
         around.where("NOT hot").drop("hot").repartition("prefix").sortWithinPartitions("prefix")
         .mapInArrow(_grow, "doc_id long, place int, marks int")
     )
-    return keep_narrow(trees.unionByName(_whole_windows(around.where("hot"))))
+    return keep(trees.unionByName(_whole_windows(around.where("hot"))))
 
 
 def _removal(w: Words, row_marks: list) -> np.ndarray:

@@ -1,7 +1,6 @@
 import random
 
 import pytest
-import sentencepiece  # noqa: F401
 from test_dedup import contaminated, lines, near, words_of
 
 import corpus_pipeline
