@@ -52,7 +52,7 @@ def keep(df: DataFrame) -> DataFrame:
 
 
 def keep_narrow(df: DataFrame) -> DataFrame:
-    """As ``keep``, for tables of a few short columns: an eighth of the shuffle's partitions, so not many tiny files."""
+    """As ``keep``, for short tables out of small shuffles: an eighth of the shuffle's partitions, so not many tiny files."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions")) // 8
     return keep(df.coalesce(max(spark.sparkContext.defaultParallelism, parts)))
