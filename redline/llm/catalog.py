@@ -100,3 +100,71 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals.commit("load", tokencounts.signed_rows(counted, 1))  # a repeated delivery changes nothing
     totals.commit("version 2", tokencounts.revision(poor, again))
     return totals.totals()
+
+
+_WORDS = "'[^\\x20\\x09-\\x0D]+'"
+
+SQL["op3_substrings"] = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j, len(w) AS n FROM w),
+h AS (
+  SELECT *, doc_id * 10000000 + j AS pos, CASE WHEN j <= n - 19 THEN string_agg(word, ' ') OVER (
+    PARTITION BY doc_id ORDER BY j ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) END AS x FROM t
+), f AS (SELECT x, min(pos) AS before FROM h WHERE x IS NOT NULL GROUP BY x),
+r AS (SELECT h.*, coalesce(f.before < h.pos, false) AS repeated FROM h LEFT JOIN f ON h.x = f.x),
+g AS (
+  SELECT *, bool_or(repeated) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM r
+), k AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed,
+    string_agg(word, ' ' ORDER BY j) FILTER (NOT gone) AS kept FROM g GROUP BY 1
+)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN k USING (doc_id)
+"""
+
+SQL["op8_neardup"] = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORDS}) AS w
+  FROM documents WHERE text IS NOT NULL
+), t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j, len(w) AS n FROM w),
+h AS (
+  SELECT doc_id, j, n, string_agg(word, ' ') OVER (
+    PARTITION BY doc_id ORDER BY j ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS s FROM t
+), sh AS (SELECT DISTINCT doc_id, s FROM h WHERE j <= greatest(n - 4, 1)),
+sizes AS (SELECT doc_id, count(*) AS c FROM sh GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (
+  SELECT p.a, p.b FROM p JOIN sizes x ON x.doc_id = p.a JOIN sizes y ON y.doc_id = p.b WHERE 100 * k >= 85 * (x.c + y.c - k)
+), links AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(s.c, 0) AS n_shingles, component_id, component_id = doc_id AS kept FROM c LEFT JOIN sizes s USING (doc_id)
+"""
+
+_LETTERS = "'[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL["op9_decontaminate"] = f"""
+WITH dw AS (SELECT doc_id, regexp_extract_all({_LOWER.format('text')}, {_LETTERS}) AS w FROM documents WHERE text IS NOT NULL),
+d AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j, len(w) AS n FROM dw),
+bw AS (SELECT item_id, regexp_extract_all({_LOWER.format('text')}, {_LETTERS}) AS w FROM benchmark WHERE text IS NOT NULL),
+b AS (SELECT item_id, unnest(w) AS word, generate_subscripts(w, 1) AS t, len(w) AS l FROM bw WHERE len(w) >= 8),
+m AS (
+  SELECT doc_id, item_id, j - t AS diagonal, t, least(13, l) AS size, least(l, n - (j - t)) - least(13, l) + 1 AS last,
+    greatest(1, 1 - (j - t)) AS low
+  FROM d JOIN b ON d.word = b.word
+), c AS (
+  SELECT *, count(*) OVER (
+    PARTITION BY doc_id, item_id, diagonal ORDER BY t RANGE BETWEEN CURRENT ROW AND (size - 1) FOLLOWING) AS here
+  FROM m WHERE last >= low
+), best AS (
+  SELECT doc_id, item_id, diagonal, any_value(size) AS size,
+    greatest(coalesce(max(here) FILTER (t <= last), 0), count(*) FILTER (t >= last)) AS same
+  FROM c GROUP BY ALL HAVING count(*) >= 6
+), f AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items, min(item_id) AS item_id, max(same) AS most_equal
+  FROM best WHERE same >= (4 * size + 4) // 5 GROUP BY 1
+)
+SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, item_id, coalesce(most_equal, 0) AS most_equal
+FROM documents LEFT JOIN f USING (doc_id)
+"""
