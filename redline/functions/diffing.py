@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from redline.functions import text as X
 
 # Below this product of lengths the standard library is faster than hashing.
+# These choose between ways to the same result.
 _SMALL = 48 * 48
 # Length tried first; blocks that unrelated texts share are about this long.
 _GUESS = 12
