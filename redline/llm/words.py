@@ -7,6 +7,7 @@ whatever the batch; a single longer text is a slice of its own.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
@@ -14,8 +15,8 @@ import pyarrow as pa
 
 SLICE = 1 << 20
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_BASE = 0x9E3779B97F4A7C15
+_LANES = 8  # longer words, rare ones, are digested one by one
 
 #: Bytes between words: space, tab to carriage return.
 BLANKS = np.zeros(256, bool)
@@ -36,18 +37,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U) * U(0xD1B54A32D192ED03))
-_BASE2 = 0xC2B2AE3D27D4EB4F
-_INVERSE2 = pow(_BASE2, -1, 1 << 64)
-_powers = {b: np.ones(1, U) for b in (_BASE, _INVERSE, _BASE2, _INVERSE2)}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    if len(_powers[base]) < n:
-        p = np.full(max(n, SLICE + 1), base, U)
-        p[0] = 1
-        _powers[base] = np.multiply.accumulate(p)
-    return _powers[base]
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U)  # the first k bytes of a lane
+_SEEDS = (U(0xD1B54A32D192ED03), U(0xC2B2AE3D27D4EB4F))
 
 
 class Words(NamedTuple):
@@ -83,7 +74,7 @@ def slices(at: np.ndarray) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def words(texts: pa.Array, breaks: np.ndarray = BLANKS, fold: np.ndarray = SAME) -> Iterator[Words]:
+def words(texts: pa.Array, breaks: np.ndarray = BLANKS, fold: np.ndarray = SAME, hashed: bool = True) -> Iterator[Words]:
     """Maximal runs of bytes that are not in breaks, hashed after fold."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -102,23 +93,40 @@ def words(texts: pa.Array, breaks: np.ndarray = BLANKS, fold: np.ndarray = SAME)
         before = edge[edge > 0] - 1
         ends[before] = inside[1:-1][before]
         s, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        h = _hashes(part, s, e, fold, _BASE, _INVERSE)
+        h = _hashes(part, s, e, fold, 0) if hashed else np.zeros(0, U)
         bounds = np.searchsorted(s, starts)
         row = np.repeat(np.arange(j - i), np.diff(bounds))
         yield Words(i, j - i, part, row, s, e, h, bounds, starts)
 
 
-def _hashes(part, s, e, fold, base, inverse) -> np.ndarray:
-    """Polynomials of the bytes of each word, as differences of one running sum."""
-    n = len(part)
-    sums = np.zeros(n + 1, U)
-    np.cumsum(_BYTE[fold[part]] * _power(base, n)[:n], out=sums[1:])
-    return mix((sums[e] - sums[s]) * _power(inverse, n)[s] + (e - s).astype(U))
+def _hashes(part: np.ndarray, s: np.ndarray, e: np.ndarray, fold: np.ndarray, which: int) -> np.ndarray:
+    """64 bits of each range of bytes.
+
+    Eight bytes at a time are mixed into what came before, so the hash is not
+    linear in any of them; ranges of over ``8 * _LANES`` bytes get BLAKE2.
+    """
+    size = e - s
+    data = np.zeros(len(part) + 8, np.uint8)
+    data[:len(part)] = part if fold is SAME else fold[part]
+    lanes = np.ndarray(len(part) + 1, "<u8", data, strides=(1,))
+    h = mix(size.astype(U) * U(_BASE) + _SEEDS[which])
+    some = np.flatnonzero((size > 0) & (size <= 8 * _LANES))
+    for k in range(_LANES):
+        if k:
+            some = some[size[some] > 8 * k]
+        if not len(some):
+            break
+        lane = lanes[s[some] + 8 * k] & _MASK[np.minimum(size[some] - 8 * k, 8)]
+        h[some] = mix((h[some] ^ lane) * U(_BASE) + _SEEDS[which])
+    for i in np.flatnonzero(size > 8 * _LANES):
+        digest = blake2b(data[s[i]:e[i]].tobytes(), digest_size=16).digest()
+        h[i] = int.from_bytes(digest[8 * which:8 * which + 8], "little")
+    return h
 
 
 def two_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of 64 bits for each range of bytes."""
-    return _hashes(data, s, e, SAME, _BASE, _INVERSE), _hashes(data, s, e, SAME, _BASE2, _INVERSE2)
+    """Two hashes of 64 bits for each range of bytes, mixed from different seeds."""
+    return _hashes(data, s, e, SAME, 0), _hashes(data, s, e, SAME, 1)
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:
