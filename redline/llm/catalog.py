@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redline.llm import decontaminate, idfiles, langid, linededup, neardup, pieces, substrings, tokencounts, topk, urlfilter
+from redline.llm import (
+    convtrie, decontaminate, idfiles, langid, licensescan, linededup, neardup, pieces, resample, substrings, tokencounts, topk, urlfilter,
+)
 from redline.sources.shared import keep, new_folder, table
 
 QUERIES: dict = {}
@@ -102,6 +104,30 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.totals()
 
 
+@query
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licensescan.scan(table(spark, sf_dir, "documents"))
+
+
+SQL["op11_licenses"] = licensescan.SQL
+
+
+@query
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SQL["op12_resample"] = resample.SQL
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convtrie.trie(*convtrie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+SQL["op13_prefix_trie"] = convtrie.SQL
+
+
 _WORDS = "'[^\\x20\\x09-\\x0D]+'"
 
 SQL["op3_substrings"] = f"""
