@@ -16,9 +16,10 @@ substitutions the same place left out, are alike; the earliest of each variant
 is an aggregate, so neither a hot half nor a hot variant lists pairs.  The
 earliest candidate of a line is verified on the words themselves.
 
-Null or empty texts have no lines.  Rows with null doc_id take no part; rows
-that share a doc_id are one document: a line is not earlier than another at its
-own place.  Only doc_id and text are read, further columns do not matter.
+Null or empty texts have no lines.  Rows with null doc_id take no part; equal rows
+are one document and give equal results.  Rows that share a doc_id but not the text
+are documents of their own, in the order of a hash of their texts (``text_key``).
+Only doc_id and text are read, further columns do not matter.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from redline.functions.text import bind
 from redline.sources.shared import keep, keep_narrow
 
 BLANK = "[ \\t\\x0B\\f\\r]+"
+ROW = ["doc_id", "text_key"]
+PLACE = [*ROW, "line_no"]
 
 
 def _has_words(line: Column) -> Column:
@@ -43,12 +46,16 @@ def _words(line: Column) -> Column:
 def _lines(docs: DataFrame) -> DataFrame:
     return (
         docs.where(F.col("doc_id").isNotNull())
-        .select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+        .select(*ROW, F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
         .where(_has_words(F.col("line")))  # cheaper than splitting a line twice, as a filter on its words would
-        .select("doc_id", "line_no", _words(F.col("line")).alias("w"))
+        .select(*PLACE, _words(F.col("line")).alias("w"))
     )
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+
+
 def _first_places(docs: DataFrame) -> DataFrame:
     """One row per different line: its first place, size and the hashes of its halves."""
     n = F.size("w")
@@ -56,7 +63,7 @@ def _first_places(docs: DataFrame) -> DataFrame:
     longer = F.ceil((n + 1) / 2).cast("int")
     w = F.col("w")
     lines = _lines(docs).select(
-        "doc_id", "line_no", n.alias("n"),
+        *PLACE, n.alias("n"),
         F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2"),
         F.xxhash64(F.slice(w, 1, short)).alias("p1"), F.xxhash64(F.slice(w, 1, long)).alias("p2"),
         F.xxhash64(F.slice(w, n - long + 1, long)).alias("s1"),
@@ -64,7 +71,7 @@ def _first_places(docs: DataFrame) -> DataFrame:
     )
     return (
         lines.groupBy("h1", "h2", "n", "p1", "p2", "s1", "s2")
-        .agg(F.min(F.struct("doc_id", "line_no")).alias("at")).select("at.*", "n", "p1", "p2", "s1", "s2")
+        .agg(F.min(F.struct(*PLACE)).alias("at")).select("at.*", "n", "p1", "p2", "s1", "s2")
     )
 
 
@@ -83,8 +90,8 @@ def _live(first: DataFrame, min_words: int) -> DataFrame:
         half(1, long, "s1"), F.when(even, half(1, longer, "s2")),
     ))
     rows = first.where(n >= min_words).select(
-        "doc_id", "line_no", "n", F.explode(halves).alias("x")
-    ).select("doc_id", "line_no", "n", "x.*")
+        *PLACE, "n", F.explode(halves).alias("x")
+    ).select(*PLACE, "n", "x.*")
     # stored, so that Spark sees both sizes and splits a hot half; so is the table of earliest variants below
     shared = keep(rows.groupBy("side", "m", "half").count().where("count > 1").drop("count"))
     return rows.join(shared, ["side", "m", "half"], "left_semi")
@@ -95,24 +102,24 @@ def _variants(live: DataFrame) -> DataFrame:
     rest = F.when(F.col("side") == 0, F.slice("w", F.col("m") + 1, F.greatest(F.col("n") - F.col("m"), F.lit(0)))).otherwise(
         F.slice("w", 1, F.greatest(F.col("n") - F.col("m"), F.lit(0)))
     )
-    one = live.select("doc_id", "line_no", "n", "side", "m", "half", rest.alias("rest"))
+    one = live.select(*PLACE, "n", "side", "m", "half", rest.alias("rest"))
     left_out = one.select(
-        "doc_id", "line_no", "n", "side", "m", "half", "rest",
+        *PLACE, "n", "side", "m", "half", "rest",
         F.explode(F.sequence(F.lit(0), F.size("rest"))).alias("i"),
     ).withColumn("v", F.when(F.col("i") == 0, F.col("rest")).otherwise(
         F.concat(F.slice("rest", 1, F.greatest(F.col("i") - 1, F.lit(0))),
                  F.slice("rest", F.col("i") + 1, F.size("rest")))
     ))
     h = left_out.select(
-        "doc_id", "line_no", "side", "m", "half", "n", "i", F.xxhash64("v").alias("v1"), F.hash("v").alias("v2")
+        *PLACE, "side", "m", "half", "n", "i", F.xxhash64("v").alias("v1"), F.hash("v").alias("v2")
     )
     # i = 0: the whole line, may equal a longer one with a word left out; else a word left out, or exchanged at i
     kinds = F.when(F.col("i") == 0, F.array(F.struct(F.col("n").alias("size"), F.lit(0).alias("place")))).otherwise(
         F.array(F.struct((F.col("n") - 1).alias("size"), F.lit(0).alias("place")),
                 F.struct(F.col("n").alias("size"), F.col("i").alias("place")))
     )
-    return h.select("doc_id", "line_no", "side", "m", "half", "i", "v1", "v2", F.explode(kinds).alias("k")).select(
-        "doc_id", "line_no",
+    return h.select(*PLACE, "side", "m", "half", "i", "v1", "v2", F.explode(kinds).alias("k")).select(
+        *PLACE,
         F.xxhash64("side", "m", "half", "v1", "k.size", "k.place").alias("key"),
         F.hash("m", "half", "v2", "k.size", "k.place").alias("key2"),
         (F.col("i") == 0).alias("whole"), (F.col("k.place") > 0).alias("exchanged"),
@@ -131,26 +138,26 @@ def _at_most_one_edit(a: Column, b: Column) -> Column:
 
 
 def kept_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
-    """``doc_id``, ``line_no``: the places of lines with words that stay, and ``n_near``.
+    """``doc_id``, ``text_key``, ``line_no``: the places of lines with words that stay, and ``n_near``.
 
     A row with null line_no counts in ``n_near`` the different lines of the
     document that went for an earlier line alike but not equal.
     """
-    docs = docs.select("doc_id", "text")
+    docs = _keyed(docs)
     first = keep(_first_places(docs))
     live = keep(_live(first, min_words))
-    wanted = live.groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted"))
+    wanted = live.groupBy(*ROW).agg(F.collect_set("line_no").alias("wanted"))
     words = keep(
-        docs.join(wanted, "doc_id")
-        .select("doc_id", F.explode(bind(F.split("text", "\n", -1), lambda lines: F.transform(
+        docs.join(wanted, ROW)
+        .select(*ROW, F.explode(bind(F.split("text", "\n", -1), lambda lines: F.transform(
             "wanted", lambda i: F.struct(i.alias("line_no"), F.element_at(lines, i + 1).alias("line"))
         ))).alias("x"))
-        .select("doc_id", "x.line_no", _words(F.col("x.line")).alias("w"))
-        .dropDuplicates(["doc_id", "line_no"])
+        .select(*ROW, "x.line_no", _words(F.col("x.line")).alias("w"))
+        .dropDuplicates(PLACE)
     )
-    variants = _variants(live.join(words, ["doc_id", "line_no"]))
+    variants = _variants(live.join(words, PLACE))
     # a whole line is alike to lines with a word more, those with a word exchanged at one place are alike to each other
-    place = F.struct("doc_id", "line_no")
+    place = F.struct(*PLACE)
     earliest = keep(variants.groupBy("key", "key2").agg(
         F.min(F.when(F.col("whole"), place)).alias("whole_at"), F.min(F.when(~F.col("whole"), place)).alias("other_at"),
         F.count(F.lit(1)).alias("c"),
@@ -158,20 +165,20 @@ def kept_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     pairs = (
         variants.join(earliest, ["key", "key2"])
         .withColumn("before", F.when(F.col("whole") | F.col("exchanged"), F.col("other_at")).otherwise(F.col("whole_at")))
-        .where(F.struct("doc_id", "line_no") > F.col("before"))
-        .groupBy("doc_id", "line_no").agg(F.min("before").alias("before"))
-        .select("doc_id", "line_no", F.col("before.doc_id").alias("to_doc"), F.col("before.line_no").alias("to_line"))
+        .where(F.struct(*PLACE) > F.col("before"))
+        .groupBy(*PLACE).agg(F.min("before").alias("before"))
+        .select(*PLACE, *(F.col(f"before.{c}").alias(f"to_{c}") for c in PLACE))
     )
-    other = words.select(F.col("doc_id").alias("to_doc"), F.col("line_no").alias("to_line"), F.col("w").alias("w2"))
+    other = words.select(*(F.col(c).alias(f"to_{c}") for c in PLACE), F.col("w").alias("w2"))
     near = (
-        pairs.join(words, ["doc_id", "line_no"]).join(other, ["to_doc", "to_line"])
-        .where(_at_most_one_edit(F.col("w"), F.col("w2"))).select("doc_id", "line_no")
+        pairs.join(words, PLACE).join(other, [f"to_{c}" for c in PLACE])
+        .where(_at_most_one_edit(F.col("w"), F.col("w2"))).select(*PLACE)
     )
     near = keep_narrow(near)
-    stay = first.select("doc_id", "line_no").join(near, ["doc_id", "line_no"], "left_anti")
-    return stay.select("doc_id", "line_no", F.lit(0).alias("n_near")).unionByName(
-        near.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n_near"))
-        .select("doc_id", F.lit(None).cast("int").alias("line_no"), "n_near")
+    stay = first.select(*PLACE).join(near, PLACE, "left_anti")
+    return stay.select(*PLACE, F.lit(0).alias("n_near")).unionByName(
+        near.groupBy(*ROW).agg(F.count(F.lit(1)).cast("int").alias("n_near"))
+        .select(*ROW, F.lit(None).cast("int").alias("line_no"), "n_near")
     )
 
 
@@ -180,15 +187,15 @@ def report(docs: DataFrame, min_words: int = 8) -> DataFrame:
 
     ``kept_lines`` lists the numbers of the lines that stayed, joined by commas.
     """
-    kept = kept_lines(docs, min_words).groupBy("doc_id").agg(
+    kept = kept_lines(docs, min_words).groupBy(*ROW).agg(
         F.array_sort(F.collect_list("line_no")).alias("kept"), F.sum("n_near").alias("n_near")
     )
     n = F.size(F.filter(F.split("text", "\n", -1), _has_words))
-    sizes = docs.where(F.col("doc_id").isNotNull()).select(
-        F.col("doc_id"), F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines")
+    sizes = _keyed(docs).where(F.col("doc_id").isNotNull()).select(
+        *ROW, F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines")
     )
     none = F.array().cast("array<int>")
-    return sizes.join(kept, "doc_id", "left").select(
+    return sizes.join(kept, ROW, "left").select(
         "doc_id", "n_lines",
         (F.col("n_lines") - F.size(F.coalesce("kept", none))).alias("n_removed"),
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
@@ -201,12 +208,14 @@ def apply(docs: DataFrame, min_words: int = 8) -> DataFrame:
 
     A document of which no line with words is left goes too, one that had none stays.
     """
-    name = "kept_lines"
+    name, key = "kept_lines", "text_key"
     while name in docs.columns:
         name += "_"
-    kept = kept_lines(docs, min_words).where("line_no IS NOT NULL").groupBy("doc_id").agg(
+    while key in docs.columns:
+        key += "_"
+    kept = kept_lines(docs, min_words).where("line_no IS NOT NULL").groupBy(*ROW).agg(
         F.collect_list("line_no").alias(name)
-    )
+    ).withColumnRenamed("text_key", key)
     lines = F.split("text", "\n", -1)
     blank = F.col("text").isNull() | (F.size(F.filter(lines, _has_words)) == 0) | F.col("doc_id").isNull()
 
@@ -217,7 +226,7 @@ def apply(docs: DataFrame, min_words: int = 8) -> DataFrame:
 
     everything = F.size(name) == F.size(lines)
     return (
-        docs.join(kept, "doc_id", "left").where(F.col(name).isNotNull() | blank)
+        docs.withColumn(key, F.xxhash64("text")).join(kept, ["doc_id", key], "left").where(F.col(name).isNotNull() | blank)
         .withColumn("text", F.when(blank | everything, F.col("text")).otherwise(bind(lines, rest_of))).select(*docs.columns)
     )
 

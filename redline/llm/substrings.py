@@ -22,8 +22,10 @@ Windows are judged on the input, not on what is left.
    before the shuffle, so a passage in a third of all documents loads no task.
 
 Words are compared by 40 bits of hash next to an equal 64-bit prefix.  Null or
-wordless texts have no windows.  Rows with null doc_id are passed over.  Rows that
-share a doc_id are copies of one document.  Only doc_id and text are read.
+wordless texts have no windows.  Rows with null doc_id are passed over.  Equal rows
+are copies of one document and give equal results.  Rows that share a doc_id but not
+the text are documents of their own, in the order of a hash of their texts (``key``).
+Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -47,6 +49,7 @@ SPAN = LEFT + WINDOW  # words around a place
 GROUP = 20_000  # suffixes of one prefix in a task
 BATCH = 40_000  # suffixes from which on a task builds trees
 HIGH = U((1 << 40) - 1)
+ROW = ["doc_id", "key"]
 
 
 def sampled(w: Words) -> tuple[np.ndarray, ...]:
@@ -84,27 +87,28 @@ def _sizes(batches):
         for w in words(batch.column(1)):
             h1, h2 = _content(w)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0).slice(w.first, w.rows), pa.array(np.diff(w.bounds), pa.int64()),
-                pa.array(signed(h1)), pa.array(signed(h2)),
-            ], names=["doc_id", "n_words", "h1", "h2"])
+                batch.column(0).slice(w.first, w.rows), batch.column(2).slice(w.first, w.rows),
+                pa.array(np.diff(w.bounds), pa.int64()), pa.array(signed(h1)), pa.array(signed(h2)),
+            ], names=["doc_id", "key", "n_words", "h1", "h2"])
 
 
 def _suffixes(batches):
-    """prefix, doc_id, place in the document, and ``same``: alike only for the same place of equal documents."""
+    """prefix, doc_id, key, place in the document, and ``same``: alike only for the same place of equal documents."""
     for batch in batches:
         for w in words(batch.column(1)):
             at, prefix, _, _ = sampled(w)
             row = w.row[at]
             place = at - w.bounds[row]
             same = mix(_content(w)[0][row] + place.astype(U) * U(0xD1B54A32D192ED03))
+            of = pa.array(w.first + row)
             yield pa.RecordBatch.from_arrays([
-                pa.array(signed(prefix)), batch.column(0).take(pa.array(w.first + row)),
+                pa.array(signed(prefix)), batch.column(0).take(of), batch.column(2).take(of),
                 pa.array(place.astype(np.int32)), pa.array(signed(same)),
-            ], names=["prefix", "doc_id", "place", "same"])
+            ], names=["prefix", "doc_id", "key", "place", "same"])
 
 
 def _around(batches):
-    """Of doc_id, text, live (2 * place + frequent): the words around each live suffix."""
+    """Of doc_id, text, live (2 * place + frequent), key: the words around each live suffix."""
     for batch in batches:
         lives = batch.column(2)
         size = np.asarray(lives.value_lengths())
@@ -126,11 +130,12 @@ def _around(batches):
                 (h >> U(32)).astype(np.uint8),
             ], axis=1)
             around = pa.FixedSizeBinaryArray.from_buffers(pa.binary(5 * SPAN), len(at), [None, pa.py_buffer(data.tobytes())])
+            of = pa.array(w.first + row)
             yield pa.RecordBatch.from_arrays([
-                pa.array(signed(prefix)), batch.column(0).take(pa.array(w.first + row)),
+                pa.array(signed(prefix)), batch.column(0).take(of), batch.column(3).take(of),
                 pa.array((at - w.bounds[row]).astype(np.int32)), pa.array(low.astype(np.int32)),
                 pa.array(high.astype(np.int32)), pa.array(hot), around.cast(pa.binary()),
-            ], names=["prefix", "doc_id", "place", "low", "high", "hot", "around"])
+            ], names=["prefix", "doc_id", "key", "place", "low", "high", "hot", "around"])
 
 
 def _nodes(prefix: np.ndarray, columns: np.ndarray) -> np.ndarray:
@@ -147,19 +152,19 @@ def _nodes(prefix: np.ndarray, columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def mark(prefix, doc, place, low, high, around) -> np.ndarray:
+def mark(prefix, doc, key, place, low, high, around) -> np.ndarray:
     """Bit o of each suffix: the window that has o words before its place starts earlier elsewhere."""
-    first = np.lexsort((place, doc))
+    first = np.lexsort((place, key, doc))
     prefix, low, high, around = prefix[first], low[first], high[first], around[first]
     right, left = _nodes(prefix, around[:, LEFT:]), _nodes(prefix, around[:, :LEFT][:, ::-1])
     marks = np.zeros(len(first), np.int32)
-    own = doc[first], place[first]
+    own = doc[first], key[first], place[first]
     for o in range(LEFT + 1):
         some = np.flatnonzero((low <= o) & (o <= high))
         node = right[some, WINDOW - o] * (len(first) + 1) + left[some, o]
         _, index, back = np.unique(node, return_index=True, return_inverse=True)
         lead = some[index[back]]
-        later = (own[0][lead] != own[0][some]) | (own[1][lead] != own[1][some])
+        later = np.logical_or.reduce([x[lead] != x[some] for x in own])
         marks[some[later]] |= 1 << o
     out = np.empty_like(marks)
     out[first] = marks
@@ -181,13 +186,13 @@ def _grow(batches):
         if not end:
             return
         part = table.slice(0, end)
-        data = np.frombuffer(b"".join(part.column(5).to_pylist()), np.uint8).reshape(-1, 5 * SPAN)
+        data = np.frombuffer(b"".join(part.column(6).to_pylist()), np.uint8).reshape(-1, 5 * SPAN)
         around = np.ascontiguousarray(data[:, :4 * SPAN]).view("<u4").astype(U) | (data[:, 4 * SPAN:].astype(U) << U(32))
-        doc, place = np.asarray(part.column(1)), np.asarray(part.column(2))
-        marks = mark(prefix[:end], doc, place, np.asarray(part.column(3)), np.asarray(part.column(4)), around)
+        doc, key, place, low, high = (np.asarray(part.column(i)) for i in range(1, 6))
+        marks = mark(prefix[:end], doc, key, place, low, high, around)
         some = marks != 0
         yield pa.RecordBatch.from_arrays(
-            [pa.array(doc[some]), pa.array(place[some]), pa.array(marks[some])], names=["doc_id", "place", "marks"]
+            [pa.array(x[some]) for x in (doc, key, place, marks)], names=["doc_id", "key", "place", "marks"]
         )
 
     rows = 0
@@ -204,54 +209,54 @@ def _whole_windows(frequent: DataFrame) -> DataFrame:
     """The same marks for frequent prefixes: prefixes as long as the window, first places as minima."""
     o = F.col("o")
     grown = frequent.select(
-        "prefix", "doc_id", "place", "around", F.explode(F.sequence("low", "high")).alias("o")
+        "prefix", "doc_id", "key", "place", "around", F.explode(F.sequence("low", "high")).alias("o")
     ).select(
-        "prefix", "doc_id", "place", "o",
+        "prefix", "doc_id", "key", "place", "o",
         F.xxhash64(F.substring("around", 4 * (LEFT - o) + 1, F.lit(4 * WINDOW)),
                    F.substring("around", 4 * SPAN + LEFT - o + 1, F.lit(WINDOW))).alias("w1"),
         F.hash(F.substring("around", 4 * (LEFT - o) + 1, F.lit(4 * WINDOW))).alias("w2"),
     )
-    firsts = grown.groupBy("prefix", "o", "w1", "w2").agg(F.min(F.struct("doc_id", "place")).alias("lead"))
+    firsts = grown.groupBy("prefix", "o", "w1", "w2").agg(F.min(F.struct("doc_id", "key", "place")).alias("lead"))
     return (
-        grown.join(firsts, ["prefix", "o", "w1", "w2"]).where(F.struct("doc_id", "place") > F.col("lead"))
-        .groupBy("doc_id", "place").agg(F.expr("bit_or(CAST(pow(2, o) AS INT))").alias("marks"))
+        grown.join(firsts, ["prefix", "o", "w1", "w2"]).where(F.struct("doc_id", "key", "place") > F.col("lead"))
+        .groupBy("doc_id", "key", "place").agg(F.expr("bit_or(CAST(pow(2, o) AS INT))").alias("marks"))
     )
 
 
 def _copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sizes of all documents, and the doc_ids whose words are those of an earlier document."""
-    sizes = keep(docs.mapInArrow(_sizes, "doc_id long, n_words long, h1 long, h2 long"))
+    sizes = keep(docs.mapInArrow(_sizes, "doc_id long, key long, n_words long, h1 long, h2 long"))
     long = sizes.where(F.col("n_words") >= WINDOW)
     first = long.groupBy("h1", "h2", "n_words").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last"))
     # stored, so that Spark sees both sizes and splits a group of very many copies
     several = keep_narrow(first.where("lead < last").drop("last"))
-    copies = long.join(several, ["h1", "h2", "n_words"]).where("doc_id > lead").select("doc_id")
+    copies = long.join(several, ["h1", "h2", "n_words"]).where("doc_id > lead").select(*ROW)
     return sizes, keep_narrow(copies.distinct())
 
 
 def _marks(docs: DataFrame, copies: DataFrame, group: int) -> DataFrame:
-    """``doc_id``, ``place``, ``marks`` of every suffix with a repeated window, copies aside."""
-    suffixes = docs.mapInArrow(_suffixes, "prefix long, doc_id long, place int, same long")
+    """``doc_id``, ``key``, ``place``, ``marks`` of every suffix with a repeated window, copies aside."""
+    suffixes = docs.mapInArrow(_suffixes, "prefix long, doc_id long, key long, place int, same long")
     # stored, so that Spark sees the sizes of both sides of the join and splits a hot prefix
     shared = keep(suffixes.groupBy("prefix").agg(F.min("same").alias("low"), F.max("same").alias("high"))
                   .where("low <> high").select("prefix"))
     found = keep(
-        suffixes.select("prefix", "doc_id", "place").join(shared, "prefix").join(copies, "doc_id", "left_anti")
+        suffixes.drop("same").join(shared, "prefix").join(copies, ROW, "left_anti")
     )
     frequent = keep_narrow(
         found.groupBy("prefix").count().where(F.col("count") > group).select("prefix", F.lit(1).alias("frequent"))
     )
     live = keep(
-        found.join(frequent, "prefix", "left").groupBy("doc_id").agg(
+        found.join(frequent, "prefix", "left").groupBy(*ROW).agg(
             F.collect_list(F.col("place").cast("long") * 2 + F.coalesce("frequent", F.lit(0))).alias("live")
         )
     )
-    around = keep(docs.join(live, "doc_id").select("doc_id", "text", "live").mapInArrow(
-        _around, "prefix long, doc_id long, place int, low int, high int, hot boolean, around binary"
+    around = keep(docs.join(live, ROW).select("doc_id", "text", "live", "key").mapInArrow(
+        _around, "prefix long, doc_id long, key long, place int, low int, high int, hot boolean, around binary"
     ))
     trees = (
         around.where("NOT hot").drop("hot").repartition("prefix").sortWithinPartitions("prefix")
-        .mapInArrow(_grow, "doc_id long, place int, marks int")
+        .mapInArrow(_grow, "doc_id long, key long, place int, marks int")
     )
     return keep(trees.unionByName(_whole_windows(around.where("hot"))))
 
@@ -302,13 +307,13 @@ def kept_text(w: Words, stay: np.ndarray) -> list[bytes]:
 def _marked(docs: DataFrame, group: int) -> DataFrame:
     docs = docs.where("doc_id IS NOT NULL").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
-    )
+    ).withColumn("key", F.xxhash64("text"))
     _, copies = _copies(docs)
-    by_doc = _marks(docs, copies, group).groupBy("doc_id").agg(F.collect_set(F.struct("place", "marks")).alias("m"))
-    facts = by_doc.select("doc_id", "m", F.lit(False).alias("copy")).unionByName(
-        copies.select("doc_id", F.lit(None).cast(by_doc.schema["m"].dataType).alias("m"), F.lit(True).alias("copy"))
+    by_doc = _marks(docs, copies, group).groupBy(*ROW).agg(F.collect_set(F.struct("place", "marks")).alias("m"))
+    facts = by_doc.select(*ROW, "m", F.lit(False).alias("copy")).unionByName(
+        copies.select(*ROW, F.lit(None).cast(by_doc.schema["m"].dataType).alias("m"), F.lit(True).alias("copy"))
     )
-    return docs.join(facts, "doc_id", "left").select(
+    return docs.join(facts, ROW, "left").select(
         "doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"),
         F.col("m.place").alias("places"), F.col("m.marks").alias("marks"),
     )

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+import xxhash
 
 from redline.llm import components, decontaminate, linededup, neardup, substrings
 
@@ -79,6 +80,28 @@ def test_passages_of_an_empty_table(make_docs):
     assert substrings.clean(make_docs([(1, None)])).collect()[0].spans == []
 
 
+def test_rows_of_one_doc_id_with_different_texts(make_docs, word_list):
+    """A long and a short text with the same doc_id, in either order, beside others that share nothing."""
+    long, short = " ".join(word_list[:90]), " ".join(word_list[60:85])
+    rows = [(1, long), (1, short), (2, " ".join(word_list[100:300])), (3, " ".join(word_list[40:70])), (4, short), (4, long), (5, "x")]
+    for order in (rows, rows[::-1]):
+        got = {(x.doc_id, x.n_words): x.n_removed for x in substrings.report(make_docs(order).coalesce(1)).collect()}
+        first = sorted([long, short], key=lambda t: xxhash.xxh64(t.encode(), seed=42).intdigest() - (1 << 64) * (xxhash.xxh64(t.encode(), seed=42).intdigest() >> 63))[0]
+        assert got == {
+            (1, 90): 0 if first == long else 25, (1, 25): 25 if first == long else 0, (2, 200): 0, (3, 30): 30, (4, 25): 25, (4, 90): 90, (5, 1): 0,
+        }
+
+
+def test_lines_of_one_doc_id_with_different_texts(make_docs, word_list):
+    a, b, c = (" ".join(word_list[i:i + 10]) for i in (0, 20, 40))
+    rows = [(1, a), (1, "\n".join([b, "", c, b])), (2, a + " more"), (2, "\n".join([c, a])), (3, None), (3, "new")]
+    for order in (rows, rows[::-1]):
+        got = {(x.doc_id, x.n_lines): x.kept_lines for x in linededup.report(make_docs(order)).collect()}
+        assert got == {(1, 1): "0", (1, 3): "0,2", (2, 1): "", (2, 2): "", (3, 0): "", (3, 1): "0"}
+        kept = linededup.apply(make_docs(order)).collect()
+        assert sorted((x.doc_id, x.text or "") for x in kept) == [(1, a), (1, "\n".join([b, "", c])), (3, ""), (3, "new")]
+
+
 # --- near-duplicate documents -----------------------------------------------------------
 
 
