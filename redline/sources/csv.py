@@ -12,6 +12,7 @@ from redline.functions import text as X
 from redline.operators.errors import DataValidationError
 from redline.operators.validation import check_dataset
 from redline.sources import numbering, storage
+from redline.sources.records import records
 
 _FORMAT = {"header": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
 
@@ -19,8 +20,23 @@ _FORMAT = {"header": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
 def read_strings(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text, in file order (``row_index``); empty cells are empty text.
 
-    Line breaks inside quoted cells are kept, with CRLF read as LF.
+    Files are read in ranges by many tasks.  Line breaks inside quoted cells are
+    kept, with CRLF read as LF.
     """
+    names = spark.read.options(**_FORMAT, multiLine=True, inferSchema=False, maxCharsPerColumn=-1).csv(str(path)).columns
+    found = records(spark, path) if names else None
+    if found is None:
+        return read_whole(spark, path)
+    schema = ", ".join(f"c{i} string" for i in range(len(names)))
+    options = {k: v for k, v in _FORMAT.items() if k != "header"} | {"maxCharsPerColumn": "-1"}
+    record = F.replace(F.col("record"), F.lit("\r\n"), F.lit("\n"))
+    record = F.when(record.endswith("\r"), F.left(record, F.length(record) - 1)).otherwise(record)  # the break of the record itself
+    d = found.select("row_index", F.from_csv(record, schema, options).alias("x"))
+    return d.select("row_index", *[X.text(F.col(f"x.c{i}")).alias(c) for i, c in enumerate(names)])
+
+
+def read_whole(spark: SparkSession, path: str) -> DataFrame:
+    """The same with one task for each file."""
     scan = spark.read.options(
         **_FORMAT, multiLine=True, inferSchema=False, maxCharsPerColumn=-1
     ).csv(str(path))
