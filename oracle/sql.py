@@ -427,6 +427,7 @@ SELECT q AS case_id, rank, i AS match_id, CAST(tier AS BIGINT) AS tier, round(ts
   CAST(round(er,6) AS DOUBLE) AS edited_section_relevance,
   round((""" + "+".join(f"{w}*{c}" for c, w in zip(("ts", "mb", "ds", "er"), _WEIGHTS)) + f""")/{sum(_WEIGHTS)},6) AS score
 FROM ranked WHERE rank<=3"""
+SQL["retrieval_indexed"] = SQL["retrieval_topk"]
 SQL["retrieval_self"] = _A + "," + _brute_force("", "", "CAST([] AS VARCHAR[])") + """
 SELECT q AS case_id, i AS match_id, CAST(tier AS BIGINT) AS tier FROM ranked WHERE rank=1"""
 SQL["near_templates"] = _SPLIT + """

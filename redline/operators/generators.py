@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +82,12 @@ class ModelGenerator(Generator):
     ``build_prompts`` turns cases into (case_id, system, turns).  A client is
     made once per task; exceptions become columns.  Only the call itself runs
     in Python: prompts, edits and checks stay column expressions.
+
+    ``delay_seconds`` is the least time between two calls of the whole job: the
+    prompts are dealt to ``lanes`` tasks (by default as many as can run at once),
+    and each lane leaves ``lanes`` times the delay between the begins of its calls.
+    Lanes that wait for a free core or have nothing left make the job slower, never
+    faster.
     """
 
     def __init__(
@@ -89,29 +96,36 @@ class ModelGenerator(Generator):
         build_prompts: Callable[[DataFrame], DataFrame],
         model_name: str = "model",
         delay_seconds: float = 0.0,
+        lanes: int | None = None,
     ):
         self.make_client, self.build_prompts, self.model_name = make_client, build_prompts, model_name
-        self.delay_seconds = delay_seconds
+        self.delay_seconds, self.lanes = delay_seconds, lanes
 
     def generate(self, cases: DataFrame, attempt: int) -> DataFrame:
         make_client, delay = self.make_client, self.delay_seconds
+        prompts = self.build_prompts(cases).select("case_id", "system", "turns")
+        lanes = self.lanes or cases.sparkSession.sparkContext.defaultParallelism
+        if delay:
+            prompts = prompts.repartition(lanes)
 
         def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             client = make_client()
+            # the first calls of the lanes are as far apart as all others
+            free = time.monotonic() + (delay * (TaskContext.get().partitionId() % lanes) if delay else 0)
             for batch in batches:
                 out = []
                 for case_id, system, turns in batch.itertuples(index=False):
                     answer = category = note = None
+                    time.sleep(max(0.0, free - time.monotonic()))
                     begun = time.monotonic()
+                    free = begun + delay * lanes
                     try:
                         answer = client(system, [(t["role"], t["text"]) for t in turns])
                     except Exception as exc:  # becomes the record of this attempt
                         category, note = classify_exception(exc), f"{type(exc).__name__}: {exc}"
                     out.append((case_id, answer, category, note, time.monotonic() - begun))
-                    time.sleep(delay)
                 yield pd.DataFrame(out, columns=["case_id", "_answer", "_category", "_note", "latency"])
 
-        prompts = self.build_prompts(cases).select("case_id", "system", "turns")
         answers = prompts.mapInPandas(
             call, "case_id string, _answer string, _category string, _note string, latency double"
         )

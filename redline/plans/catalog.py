@@ -22,7 +22,9 @@ from redline.operators import routing as W
 from redline.operators import template as T
 from redline.operators import validation as V
 from redline.plans import corpus
+from redline.plans.caseindex import CaseIndex
 from redline.plans.prompting import PromptBuilder
+from redline.sources.shared import new_folder
 
 QUERIES: dict = {}
 
@@ -494,7 +496,23 @@ def _retrieval_features(spark, sf_dir):
 def retrieval_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best labelled cases for every unlabelled one."""
     cases, index = _retrieval_features(spark, sf_dir)
-    d = S.retrieve(cases, index, keep=corpus.keep)
+    return _rounded(S.retrieve(cases, index, keep=corpus.keep))
+
+
+@query
+def retrieval_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stored index, to which one case in a hundred is added later and another one was changed."""
+    train, todo = corpus.train_cases(spark, sf_dir), corpus.test_cases(spark, sf_dir)
+    part = F.pmod(F.xxhash64("case_id"), F.lit(100))
+    changed = F.when(part == 1, F.lit("another dictation")).otherwise(F.col("dictation"))
+    index = CaseIndex(spark, new_folder(spark, "case-index"))
+    index.add(train.where(part != 0).withColumn("dictation", changed), "first")
+    index.add(train.where(part < 2), "later")
+    index.add(train.where(part < 2), "later")  # a repeated delivery changes nothing
+    return _rounded(index.retrieve(S.query_features(todo, W.candidates(todo, _train_model(spark, sf_dir), corpus.keep))))
+
+
+def _rounded(d: DataFrame) -> DataFrame:
     rounded = [
         F.round(c, 6).alias(c)
         for c in ("template_similarity", "modality_bodypart", "dictation_similarity", "edited_section_relevance", "score")
