@@ -174,9 +174,9 @@ SQL["op9_decontaminate"] = f"""
 WITH dw AS (SELECT doc_id, regexp_extract_all({_LOWER.format('text')}, {_LETTERS}) AS w FROM documents WHERE text IS NOT NULL),
 d AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j, len(w) AS n FROM dw),
 bw AS (SELECT item_id, regexp_extract_all({_LOWER.format('text')}, {_LETTERS}) AS w FROM benchmark WHERE text IS NOT NULL),
-b AS (SELECT item_id, unnest(w) AS word, generate_subscripts(w, 1) AS t, len(w) AS l FROM bw WHERE len(w) >= 8),
+b AS (SELECT item_id, unnest(w) AS word, generate_subscripts(w, 1) AS t, len(w) AS l FROM bw),
 m AS (
-  SELECT doc_id, item_id, j - t AS diagonal, t, least(13, l) AS size, least(l, n - (j - t)) - least(13, l) + 1 AS last,
+  SELECT doc_id, item_id, j - t AS diagonal, t, l, least(13, l) AS size, least(l, n - (j - t)) - least(13, l) + 1 AS last,
     greatest(1, 1 - (j - t)) AS low
   FROM d JOIN b ON d.word = b.word
 ), c AS (
@@ -184,12 +184,12 @@ m AS (
     PARTITION BY doc_id, item_id, diagonal ORDER BY t RANGE BETWEEN CURRENT ROW AND (size - 1) FOLLOWING) AS here
   FROM m WHERE last >= low
 ), best AS (
-  SELECT doc_id, item_id, diagonal, any_value(size) AS size,
+  SELECT doc_id, item_id, diagonal, any_value(CASE WHEN l < 8 THEN size ELSE (4 * size + 4) // 5 END) AS needed,
     greatest(coalesce(max(here) FILTER (t <= last), 0), count(*) FILTER (t >= last)) AS same
-  FROM c GROUP BY ALL HAVING count(*) >= 6
+  FROM c GROUP BY ALL
 ), f AS (
   SELECT doc_id, count(DISTINCT item_id) AS n_items, min(item_id) AS item_id, max(same) AS most_equal
-  FROM best WHERE same >= (4 * size + 4) // 5 GROUP BY 1
+  FROM best WHERE same >= needed GROUP BY 1
 )
 SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, item_id, coalesce(most_equal, 0) AS most_equal
 FROM documents LEFT JOIN f USING (doc_id)

@@ -10,27 +10,35 @@ item) agree in at least ``similar`` of them.  With the masks below each such
 place, wherever the exchanged words are, holds a hit (a test tries all cases
 up to the default overlap and similarity).
 
-Items of fewer than ``shortest`` words say too little and never count.  Null,
-empty or wordless texts are clean.  Repeated items and documents are judged each
-by itself.  A null item_id reads as -1.  Further columns do not matter.
+Items of fewer than ``strict`` words count where all their words stand in a row,
+unchanged; those of up to four words, too short for a mask, meet by a hash of the
+whole item.  Null, empty or wordless texts are clean and such items in no
+document.  Repeated items and documents are judged each by itself.  All null
+item_ids are one item, which ``item_id`` names only where no other is found.
+Further columns do not matter.
 
 The items are a stated set against all documents, in blocks of ``BLOCK_WORDS``
 words: a block is broadcast to the tasks, each of which joins the seeds of its
-documents with it, a slice of text at a time.  Memory is bounded by the block
-and the slice; no text is shuffled.
+documents with it, a slice of text at a time, and is let go before the next one
+is made.  Memory is bounded by the block and the slice, on the driver too.
+With one block no text is shuffled; with more, the keys of the contaminated
+texts are gathered over all blocks and taken off by an anti-join.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from redline.llm.words import LOWER, PUNCTUATION, U, mix, words
+from redline.sources.shared import keep
 
 #: Places of a seed that count.  Fixed values.
 MASKS = ("11101", "110011", "1101001")
@@ -51,9 +59,9 @@ def _seeds(h: np.ndarray, mask: str) -> np.ndarray:
 class Items:
     """A block of test items: their words and, for each mask, their sorted seeds."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], shortest: int, overlap: int, similar: float):
-        self.ids = np.array([-1 if i is None else i for i in ids], np.int64)
-        self.overlap, self.similar = overlap, similar
+    def __init__(self, ids: list[int], texts: list[str | None], strict: int, overlap: int, similar: float):
+        self.ids = pa.array(ids, pa.int64())
+        self.strict, self.overlap, self.similar = strict, overlap, similar
         parts, sizes = [np.zeros(0, U)], np.zeros(len(ids), np.int64)
         for w in words(pa.array(texts, pa.large_string()), PUNCTUATION, LOWER):
             sizes[w.first:w.first + w.rows] = np.diff(w.bounds)
@@ -61,9 +69,10 @@ class Items:
         self.words = np.concatenate(parts)
         self.begin = np.concatenate([[0], np.cumsum(sizes)])
         item = np.repeat(np.arange(len(ids)), sizes)
-        usable = sizes >= shortest
         self.seeds = []
-        for mask in MASKS:
+        least = min(map(len, MASKS))
+        whole = [("1" * n, sizes == n) for n in range(1, least) if (sizes == n).any()]
+        for mask, usable in [*whole, *((m, sizes >= least) for m in MASKS)]:
             n = len(self.words) - len(mask) + 1
             at = np.flatnonzero((item[:n] == item[len(mask) - 1:]) & usable[item[:n]]) if n > 0 else np.zeros(0, int)
             seed = _seeds(self.words, mask)[at]
@@ -105,13 +114,13 @@ class Items:
                 sums = np.concatenate([[0], np.cumsum(same)])
                 equal = sums[size[j]:] - sums[:len(sums) - size[j]]
                 best = int(equal.argmax())
-                if equal[best] >= math.ceil(self.similar * size[j]):
+                if equal[best] >= (size[j] if end[j] - begin[j] < self.strict else math.ceil(self.similar * size[j])):
                     first = low[j] + best + diagonal[j] - bounds[row[j]]
                     out.append(np.array([[row[j], item[j], first, size[j], equal[best]]], np.int64))
         return np.concatenate(out).T
 
 
-def blocks(benchmark: DataFrame, shortest: int, overlap: int, similar: float) -> Iterator[Items]:
+def blocks(benchmark: DataFrame, strict: int, overlap: int, similar: float) -> Iterator[Items]:
     """The items, one bounded block at a time."""
     ids, texts, held = [], [], 0
     for r in benchmark.where("text IS NOT NULL").select("item_id", "text").toLocalIterator():
@@ -119,41 +128,51 @@ def blocks(benchmark: DataFrame, shortest: int, overlap: int, similar: float) ->
         texts.append(r[1])
         held += len(r[1]) // 2 + 1
         if held >= BLOCK_WORDS:
-            yield Items(ids, texts, shortest, overlap, similar)
+            yield Items(ids, texts, strict, overlap, similar)
             ids, texts, held = [], [], 0
     if ids:
-        yield Items(ids, texts, shortest, overlap, similar)
+        yield Items(ids, texts, strict, overlap, similar)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, shortest: int = 8, overlap: int = 13, similar: float = 0.8) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, strict: int = 8, overlap: int = 13, similar: float = 0.8) -> DataFrame:
     """``doc_id``, ``item_id``, ``first_word``, ``places``, ``equal``: the best overlap of each diagonal found."""
-    spark = docs.sparkSession
-    schema = "doc_id long, item_id long, first_word long, places long, equal long"
-    out = spark.createDataFrame([], schema)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    for block in blocks(benchmark, shortest, overlap, similar):
+    id_ = F.col("doc_id").cast("long").alias("doc_id")
+    return _found(docs.select(id_, F.col("text").cast("string").alias("text")), benchmark, strict, overlap, similar)
+
+
+def _found(texts: DataFrame, benchmark: DataFrame, strict: int, overlap: int, similar: float) -> DataFrame:
+    """Overlaps of the texts in the second column, beside the first column."""
+    spark, key = texts.sparkSession, texts.schema[0]
+    schema = T.StructType([key, *(T.StructField(c, T.LongType()) for c in ("item_id", "first_word", "places", "equal"))])
+    out, left = spark.createDataFrame([], schema), blocks(benchmark, strict, overlap, similar)
+    block = next(left, None)
+    while block is not None:
         shared = spark.sparkContext.broadcast(block)
 
         def find(batches, shared=shared):
             items = shared.value
             for batch in batches:
-                ids = batch.column(0)
                 for w in words(batch.column(1), PUNCTUATION, LOWER):
                     row, item, *rest = items.hits(w.hash, w.bounds)
                     if len(row):
                         yield pa.RecordBatch.from_arrays(
-                            [ids.take(pa.array(w.first + row)), pa.array(items.ids[item]), *map(pa.array, rest)],
-                            names=["doc_id", "item_id", "first_word", "places", "equal"],
+                            [batch.column(0).take(pa.array(w.first + row)), items.ids.take(pa.array(item)), *map(pa.array, rest)],
+                            names=schema.names,
                         )
 
-        out = out.unionByName(texts.mapInArrow(find, schema))
+        found, block = texts.mapInArrow(find, schema), next(left, None)
+        if block is None and out.isEmpty():
+            return found
+        out = out.unionByName(keep(found))
+        shared.destroy()
     return out
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Every document with ``contaminated``, ``n_items`` and the smallest ``item_id`` found in it."""
     found = overlaps(docs, benchmark, **options).groupBy("doc_id").agg(
-        F.countDistinct("item_id").alias("n_items"), F.min("item_id").alias("item_id"), F.max("equal").alias("most_equal")
+        (F.countDistinct("item_id") + F.max(F.col("item_id").isNull().cast("int"))).alias("n_items"),
+        F.min("item_id").alias("item_id"), F.max("equal").alias("most_equal"),
     )
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     return ids.join(found, "doc_id", "left").select(
@@ -162,19 +181,32 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     )
 
 
-def apply(docs: DataFrame, benchmark: DataFrame, shortest: int = 8, overlap: int = 13, similar: float = 0.8) -> DataFrame:
-    """The clean documents, all columns as they are.  Whole rows pass through the tasks, none is shuffled."""
+def apply(docs: DataFrame, benchmark: DataFrame, strict: int = 8, overlap: int = 13, similar: float = 0.8) -> DataFrame:
+    """The clean documents, all columns as they are."""
     spark, schema, at = docs.sparkSession, docs.schema, docs.columns.index("text")
-    for block in blocks(benchmark, shortest, overlap, similar):
-        shared = spark.sparkContext.broadcast(block)
-
-        def clean(batches, shared=shared):
-            items = shared.value
-            for batch in batches:
-                stay = np.ones(batch.num_rows, bool)
-                for w in words(batch.column(at), PUNCTUATION, LOWER):
-                    stay[w.first + items.hits(w.hash, w.bounds)[0]] = False
-                yield batch.filter(pa.array(stay))
-
-        docs = docs.mapInArrow(clean, schema)
-    return docs
+    first = list(islice(blocks(benchmark, strict, overlap, similar), 2))
+    if not first:
+        return docs
+    if len(first) > 1:
+        key, own = _text_key(F.col("text")), "_text_key"
+        while own in docs.columns:
+            own += "_"
+        texts = docs.where("text IS NOT NULL").select(key.alias(own), F.col("text").cast("string").alias("text"))
+        gone = keep(_found(texts, benchmark, strict, overlap, similar).select(own).distinct())
+        return docs.withColumn(own, key).join(gone, own, "left_anti").select(*docs.columns)
+    shared = spark.sparkContext.broadcast(first[0])
+
+    def clean(batches):
+        items = shared.value
+        for batch in batches:
+            stay = np.ones(batch.num_rows, bool)
+            for w in words(batch.column(at), PUNCTUATION, LOWER):
+                stay[w.first + items.hits(w.hash, w.bounds)[0]] = False
+            yield batch.filter(pa.array(stay))
+
+    return docs.mapInArrow(clean, schema)
+
+
+def _text_key(text: Column) -> Column:
+    """Null for a null text."""
+    return F.when(text.isNotNull(), F.sha2(text.cast("string"), 256))

@@ -349,8 +349,9 @@ def linked(docs: DataFrame, percent: int = 85, trees: int = 12, depth: int = 3,
         docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("set_id"), "text")
         .join(near, "set_id", "left_semi")
     )
-    links = keep_narrow(_confirmed(first, texts, percent))
-    links = links.unionByName(keep_narrow(_open_links(nodes, sets, texts, components(links), percent)))
+    # joins with texts: in as many tasks as the shuffle has, few links come out of each
+    links = keep(_confirmed(first, texts, percent))
+    links = links.unionByName(keep(_open_links(nodes, sets, texts, components(links), percent)))
     return rows, components(links.unionByName(equal))
 
 

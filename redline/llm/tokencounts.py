@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from redline.llm.wordmemo import word_ids
 
 KEYS = ("source", "lang", "version")
+_COMPACT = "compact "
 SCHEMA = "source string, lang string, version string, n_docs long, n_tokens long"
 
 
@@ -78,23 +79,34 @@ class Rollup:
         top = self._path(f"{self.folder}/batches")
         if not self._fs.exists(top):
             return {}
-        found = {}
-        for s in self._fs.listStatus(top):
-            name = s.getPath().getName()
-            mark = self.spark.read.schema("value string").text(f"{self.folder}/batches/{name}/replaces").first()
-            found[bytes.fromhex(name).decode()] = json.loads(mark[0]) if mark else []
+        found = {bytes.fromhex(s.getPath().getName()).decode(): [] for s in self._fs.listStatus(top)}
+        # only compactions replace others: usually one, so a commit reads one small file however many batches there are
+        for name in found:
+            if name.startswith(_COMPACT):
+                folder = f"{self.folder}/batches/{name.encode().hex()}"
+                found[name] = json.loads(self.spark.read.schema("value string").text(f"{folder}/replaces").first()[0])
         return found
 
     def _store(self, batch_id: str, rows: DataFrame, replaces: list[str]) -> None:
         aside = f"{self.folder}/aside/{uuid.uuid4().hex}"
         rows.write.parquet(f"{aside}/rows")
-        self.spark.createDataFrame([(json.dumps(replaces),)], "value string").write.text(f"{aside}/replaces")
-        self._fs.mkdirs(self._path(f"{self.folder}/batches"))
-        if not self._fs.rename(self._path(aside), self._path(f"{self.folder}/batches/{batch_id.encode().hex()}")):
+        if replaces:
+            self.spark.createDataFrame([(json.dumps(replaces),)], "value string").write.text(f"{aside}/replaces")
+        name = batch_id.encode().hex()
+        target = self._path(f"{self.folder}/batches/{name}")
+        self._fs.mkdirs(target.getParent())
+        # a rename onto a folder that is there nests or fails; both mean that another writer was first
+        moved = not self._fs.exists(target) and self._fs.rename(self._path(aside), target)
+        if moved and self._fs.exists(self._path(target, aside.rsplit("/", 1)[1])):
+            self._fs.delete(self._path(target, aside.rsplit("/", 1)[1]), True)
+            moved = False
+        if not moved:
             raise OSError(f"batch {batch_id} could not be put in place")
 
     def commit(self, batch_id: str, deltas: DataFrame) -> bool:
         """Add a batch; False if it is there already."""
+        if batch_id.startswith(_COMPACT):
+            raise ValueError(f"names of batches do not begin with {_COMPACT!r}")
         known = self._committed()
         if batch_id in known or any(batch_id in r for r in known.values()):
             return False
@@ -118,4 +130,4 @@ class Rollup:
         known = self._committed()
         names = sorted(set(known) | {b for r in known.values() for b in r})
         if len(known) > 1:
-            self._store(f"compact {uuid.uuid4().hex}", self.totals(), names)
+            self._store(f"{_COMPACT}{uuid.uuid4().hex}", self.totals(), names)

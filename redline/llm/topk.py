@@ -14,15 +14,20 @@ merged.  A first pass over one group a set gives each query a k-th score to
 start from.  That is the stated query set against all rows in blocks: work grows
 as queries times rows where bounds do not prune, memory with neither.
 
-Vectors that are null, hold a null or a non-finite component, or one of 2^54 and
-more, and rows without vec_id take no part; scores have to fit a long.  Vectors of another length than
-the query's are padded with zeros.  Rows that repeat a vec_id are candidates of
+Vectors that are null, hold a null or a non-finite component, and rows without
+vec_id take no part.  Components of any finite size do: rows and queries whose
+products could leave 62 bits are scored apart, in whole numbers of any length, and
+a score beyond a long counts as the largest or smallest long.  Vectors of another
+length than the query's are padded with zeros.  Rows that repeat a vec_id are candidates of
 their own, but not for the query of that vec_id, which is asked once with the
 largest of its vectors.  Fewer than k candidates give fewer rows.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -34,13 +39,21 @@ from redline.sources.shared import keep
 BLOCK = 128
 GROUP = 64
 QUERIES = 1024
+_MOST = float(np.finfo(np.float64).max)
+_LONG = (-(1 << 63), (1 << 63) - 1)
 
 
 def whole_vectors(rows: DataFrame) -> DataFrame:
-    """``vec_id`` and ``v``: the components as whole numbers."""
-    x = F.transform("embedding", lambda c: F.floor(F.lit(256.0) * c.cast("double")))
+    """``vec_id`` and ``v``: the components as whole numbers, in doubles, which hold each of them exactly."""
+
+    def whole(c):
+        x = F.lit(256.0) * c.cast("double")
+        # doubles from 2^53 on are whole already; a product beyond all doubles is the largest one
+        return F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(F.greatest(F.least(x, F.lit(_MOST)), F.lit(-_MOST)))
+
+    x = F.transform("embedding", whole)
     fine = F.col("embedding").isNotNull() & F.forall(
-        "embedding", lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < 2.0**54)
+        "embedding", lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf"))
     )
     return rows.where(F.col("vec_id").isNotNull() & fine).select(
         F.col("vec_id").cast("long").alias("vec_id"), x.alias("v")
@@ -57,12 +70,12 @@ def _packed(per: int):
             nonlocal made
             made += 1
             width = max(map(len, vectors))
-            m = np.zeros((len(vectors), width), np.int64)
+            m = np.zeros((len(vectors), width))
             for i, v in enumerate(vectors):
                 m[i, : len(v)] = v
             return pa.RecordBatch.from_arrays(
                 [pa.array([(TaskContext.get().partitionId() << 32) + made]), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()),
-                 pa.array([m.astype("<i4" if (np.abs(m) < 1 << 31).all() else "<i8").tobytes()], pa.binary()), pa.array([width], pa.int32())],
+                 pa.array([m.astype("<i4" if (np.abs(m) < 1 << 31).all() else "<f8").tobytes()], pa.binary()), pa.array([width], pa.int32())],
                 names=["key", "ids", "matrix", "width"],
             )
 
@@ -84,8 +97,9 @@ PACKED = "key long, ids binary, matrix binary, width int"
 
 def _unpack(ids: bytes, matrix: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
     i = np.frombuffer(ids, "<i8")
-    kind = "<i8" if len(matrix) == 8 * len(i) * width else "<i4"
-    return i, np.frombuffer(matrix, kind).reshape(len(i), width).astype(np.int64)
+    kind = "<f8" if width and len(matrix) == 8 * len(i) * width else "<i4"
+    m = np.frombuffer(matrix, kind).reshape(len(i), width)
+    return i, m.astype(np.int64) if kind == "<i4" else m
 
 
 def _pad(m: np.ndarray, width: int) -> np.ndarray:
@@ -96,6 +110,11 @@ def search_unit(qi, q, di, d, k: int, least: np.ndarray) -> list[tuple[int, np.n
     """Best k rows of one group for each query: (query, ids, scores).  least: scores that are reached already."""
     width = max(q.shape[1], d.shape[1])
     q, d = _pad(q, width), _pad(d, width)
+    most = math.sqrt((1 << 62) / max(width, 1))
+    far_q, far_d = ((np.abs(m) >= most).any(1) for m in (q, d))
+    if far_q.any() or far_d.any():
+        return _far(qi, q, far_q, di, d, far_d, k, least)
+    q, d = q.astype(np.int64), d.astype(np.int64)
     starts = np.arange(0, len(di), BLOCK)
     high, low = np.maximum.reduceat(d, starts), np.minimum.reduceat(d, starts)
     bounds = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
@@ -114,6 +133,33 @@ def search_unit(qi, q, di, d, k: int, least: np.ndarray) -> list[tuple[int, np.n
     return out
 
 
+def _far(qi, q, far_q, di, d, far_d, k: int, least: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """As ``search_unit`` where some rows or queries are too large for 62 bits: those in Python's whole numbers."""
+    near = np.flatnonzero(~far_d)
+    plain = np.flatnonzero(~far_q)
+    found = {}
+    if len(near) and len(plain):
+        for j, (_, ids, scores) in zip(plain, search_unit(qi[plain], q[plain], di[near], d[near], k, least[plain])):
+            found[j] = (ids, scores)
+    exact = [[int(c) for c in row] for row in d[far_d]]
+    far = np.flatnonzero(far_d)
+    out = []
+    for j in range(len(qi)):
+        weights = [(t, int(c)) for t, c in enumerate(q[j]) if c]
+        ids, scores = found.get(j, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+        best = [(-int(s), int(i)) for i, s in zip(ids, scores)]
+        rows = zip(far, exact)
+        if far_q[j]:  # nothing is scored yet
+            rows = ((r, [int(c) for c in d[r]]) for r in range(len(di)))
+        for r, row in rows:
+            if di[r] != qi[j]:
+                score = sum(c * row[t] for t, c in weights)
+                best.append((-min(max(score, _LONG[0]), _LONG[1]), int(di[r])))
+        best = heapq.nsmallest(k, best)
+        out.append((int(qi[j]), np.array([i for _, i in best], np.int64), np.array([-s for s, _ in best], np.int64)))
+    return out
+
+
 def _search(k: int):
     def run(batches):
         for batch in batches:
@@ -121,7 +167,7 @@ def _search(k: int):
             for q_ids, q_m, q_w, d_ids, d_m, d_w, least in zip(*rows):
                 qi, q = _unpack(q_ids, q_m, q_w)
                 di, d = _unpack(d_ids, d_m, d_w)
-                floor = np.frombuffer(least, "<i8") if least else np.full(len(qi), -(1 << 62), np.int64)
+                floor = np.frombuffer(least, "<i8") if least else np.full(len(qi), _LONG[0], np.int64)
                 found = search_unit(qi, q, di, d, k, floor)
                 sizes = [len(ids) for _, ids, _ in found]
                 yield pa.RecordBatch.from_arrays([
@@ -141,8 +187,8 @@ def _floors(k: int):
             for number, q_ids, q_m, q_w, d_ids, d_m, d_w in zip(*rows):
                 qi, q = _unpack(q_ids, q_m, q_w)
                 di, d = _unpack(d_ids, d_m, d_w)
-                found = search_unit(qi, q, di, d, k, np.full(len(qi), -(1 << 62), np.int64))
-                least = [int(s[k - 1]) if len(s) >= k else -(1 << 62) for _, _, s in found]
+                found = search_unit(qi, q, di, d, k, np.full(len(qi), _LONG[0], np.int64))
+                least = [int(s[k - 1]) if len(s) >= k else _LONG[0] for _, _, s in found]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([number]), pa.array([np.array(least, "<i8").tobytes()], pa.binary())], names=["number", "least"]
                 )

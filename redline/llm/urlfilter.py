@@ -35,7 +35,6 @@ from redline.sources.shared import keep_narrow
 
 #: Words of hosts that are blocked without further evidence.
 SEEDS = ("spam", "pills", "casino", "adult", "bets", "porn", "ads", "viagra", "xxx", "loans")
-LONGEST = 24  # letters of a word
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -60,17 +59,25 @@ def word_counts(html: DataFrame) -> DataFrame:
     """``word``, ``n`` over all texts of ``html``, markup aside, in small letters."""
     text = F.regexp_replace("html", "(?s)<(script|style)[^>]*>.*?</(script|style)>|<[^>]*>", " ")
     return html.select(F.explode(F.split(F.lower(text), "[^\\p{L}]+")).alias("word")).where(
-        (F.col("word") != "") & (F.length("word") <= LONGEST)
+        F.col("word") != ""
     ).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def viterbi(label: str, log_p: dict[str, float], total: float) -> list[str]:
-    """The likeliest split of a label; log_p has the words of the corpus it contains."""
+    """The likeliest split of a label; log_p has the words of the corpus it contains.
+
+    Runs longer than all of those are unknown, so the best of them is the one of the
+    best begin so far, and a label costs its length times that of its longest word.
+    """
     best, back = [0.0], [0]
-    other = math.log(max(total, 1.0))
+    other, longest = math.log(max(total, 1.0)), max(map(len, log_p), default=1)
+    far, far_at = -math.inf, 0  # of begins before the window, with their letters taken off
     for end in range(1, len(label) + 1):
-        top, at = -math.inf, end - 1
-        for begin in range(max(0, end - LONGEST), end):
+        low = max(0, end - longest)
+        if low and best[low - 1] + (low - 1) * math.log(10) > far:
+            far, far_at = best[low - 1] + (low - 1) * math.log(10), low - 1
+        top, at = far - other - end * math.log(10), far_at
+        for begin in range(low, end):
             p = log_p.get(label[begin:end], -other - (end - begin) * math.log(10))
             if best[begin] + p > top:
                 top, at = best[begin] + p, begin
@@ -90,13 +97,14 @@ def labels_of(host: Column) -> Column:
 def segment(hosts: DataFrame, html: DataFrame, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
     """``label``, ``words`` for every different label of ``host``; a seed word counts once more than the corpus has it."""
     labels = hosts.select(F.explode(labels_of(F.col("host"))).alias("label")).distinct()
-    size = F.length("label")
-    runs = labels.select("label", F.explode(F.sequence(F.lit(1), size)).alias("begin")).select(
-        "label", "begin", F.explode(F.sequence(F.lit(1), F.least(size - F.col("begin") + 1, F.lit(LONGEST)))).alias("n_letters")
-    ).select("label", F.substring(F.col("label"), F.col("begin"), F.col("n_letters")).alias("word")).distinct()
     extra = hosts.sparkSession.createDataFrame([(w, 1) for w in seeds], "word string, n long")
     counts = keep_narrow(word_counts(html).unionByName(extra).groupBy("word").agg(F.sum("n").alias("n")))
-    total = float(counts.agg(F.sum("n")).first()[0] or 0)
+    total, longest = counts.agg(F.sum("n"), F.max(F.length("word"))).first()
+    total, size = float(total or 0), F.length("label")
+    # no longer run of a label can be a word
+    runs = labels.select("label", F.explode(F.sequence(F.lit(1), size)).alias("begin")).select(
+        "label", "begin", F.explode(F.sequence(F.lit(1), F.least(size - F.col("begin") + 1, F.lit(longest or 1)))).alias("n_letters")
+    ).select("label", F.substring(F.col("label"), F.col("begin"), F.col("n_letters")).alias("word")).distinct()
     known = runs.join(counts, "word").groupBy("label").agg(
         F.map_from_entries(F.collect_list(F.struct("word", F.log(F.col("n") / F.lit(max(total, 1.0)))))).alias("log_p")
     )

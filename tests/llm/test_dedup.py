@@ -278,14 +278,14 @@ def contaminated(docs, items):
         found = set()
         for i, x in tests:
             n = min(13, len(x))
-            if len(x) < 8:
+            if not x:
                 continue
             for shift in range(-len(x), len(w)):
                 same = [a == w[shift + k] if 0 <= shift + k < len(w) else None for k, a in enumerate(x)]
                 for a in range(len(x) - n + 1):
                     part = same[a:a + n]
-                    if None not in part and 5 * sum(part) >= 4 * n:
-                        found.add(-1 if i is None else i)
+                    if None not in part and (all(part) if len(x) < 8 else 5 * sum(part) >= 4 * n):
+                        found.add(i)
         out[d] = found
     return out
 
@@ -296,7 +296,8 @@ def test_decontamination_equals_brute_force(spark, make_docs, word_list, monkeyp
     r = random.Random(23)
     few = word_list[:40]
     items = [(i, " ".join(r.choices(few, k=r.choice([3, 8, 9, 12, 20, 30])))) for i in range(25)]
-    items += [(30, None), (31, ""), (None, " ".join(word_list[50:70])), (5, items[5][1])]
+    items += [(30, None), (31, ""), (None, " ".join(word_list[50:70])), (5, items[5][1]), (None, word_list[90])]
+    items += [(40 + n, " ".join(word_list[100 + 10 * n:100 + 11 * n])) for n in range(1, 8)]  # shorter than most masks
     docs = []
     for d in range(60):
         x = r.choice(items[:25])[1].split()
@@ -305,14 +306,19 @@ def test_decontamination_equals_brute_force(spark, make_docs, word_list, monkeyp
         x = x[r.choice([0, 0, 3]):]
         docs.append((d, " ".join(r.choices(few, k=r.randint(0, 9))) + " " + ", ".join(x).upper() + "! " + " ".join(r.choices(few, k=9))))
     docs += [(100, None), (101, ""), (102, "..."), (103, " ".join(word_list[45:75])), (104, "Ä " * 5000)]
+    docs += [(110, f"x {word_list[90]}"), (111, " ".join(word_list[88:92] + word_list[55:70]))]
+    for n in range(1, 8):
+        x = word_list[100 + 10 * n:100 + 11 * n]
+        docs += [(120 + n, " ".join(x)), (130 + n, " ".join(["a", *x, "b"])), (140 + n, " ".join(["a", *x[:-1], "b"]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = contaminated(docs, items)
-    assert 10 < sum(map(bool, want.values())) < 60
+    assert 10 < sum(map(bool, want.values())) < 80
+    assert all(want[120 + n] == want[130 + n] == {40 + n} and not want[140 + n] for n in range(1, 8))
     got = {x.doc_id: x for x in decontaminate.report(make_docs(docs), bench).collect()}
     assert set(got) == set(want)
     for d, found in want.items():
         assert (got[d].contaminated, got[d].n_items) == (bool(found), len(found))
-        assert got[d].item_id == (min(found) if found else None)
+        assert got[d].item_id == min(found - {None}, default=None)
     clean = decontaminate.apply(make_docs(docs), bench)
     assert clean.columns == make_docs(docs).columns
     assert sorted(x.doc_id for x in clean.collect()) == sorted(d for d, f in want.items() if not f)

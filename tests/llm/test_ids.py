@@ -167,6 +167,17 @@ def test_rollup_commits_once_and_subtracts(spark, make_docs, awkward):
     assert {r.doc_id: r.n_tokens for r in measured} == want and len(measured) == len(awkward)
 
 
+def test_a_second_writer_of_one_batch_fails(spark, make_docs):
+    deltas = tokencounts.signed_rows(tokencounts.measure(make_docs([(1, "a b")]), WORDS, "v1"), 1).cache()
+    totals = tokencounts.Rollup(spark, new_folder(spark, "rollup"))
+    assert totals.commit("x", deltas)
+    with pytest.raises(OSError):  # it looked before the first one was done
+        totals._store("x", deltas, [])
+    with pytest.raises(ValueError):
+        totals.commit("compact y", deltas)
+    assert [(r.n_docs, r.n_tokens) for r in totals.totals().collect()] == [(1, 2)]
+
+
 def test_interrupted_commit_leaves_totals(spark, make_docs):
     a = tokencounts.measure(make_docs([(1, "a b")]), WORDS, "v1")
     totals = tokencounts.Rollup(spark, new_folder(spark, "rollup"))

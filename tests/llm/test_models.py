@@ -58,6 +58,22 @@ def test_top_k_equals_brute_force(spark, monkeypatch, shape):
     assert len(queries) == len(exact_q)
 
 
+def test_components_of_any_finite_size_take_part(spark):
+    r = random.Random(5)
+    sizes = [0.5, 3.0, 1e8, 2.0**53 + 2, 1e17, -1e17, 1e300, -1.7e308, 0.0]
+    rows = [(i, [r.choice(sizes) for _ in range(3)]) for i in range(40)] + [(50, [1e17, 0.0]), (100, [0.0, 1.0])]
+    rows += [(i, [r.gauss(0, 1) for _ in range(3)]) for i in range(101, 160)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for x in topk.top_k(df.where("vec_id % 5 = 0"), df, 4).collect():
+        got[x.query_id].append((-x.score, x.vec_id))
+    most = float(np.finfo(float).max)
+    whole = {i: [math.floor(max(min(256 * c, most), -most)) for c in v] for i, v in rows}
+    for q in (i for i in whole if i % 5 == 0):
+        scores = [(sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q]
+        assert sorted(got[q]) == sorted((-max(min(s, 2**63 - 1), -(2**63)), i) for s, i in scores)[:4]
+
+
 def test_top_k_of_an_empty_table(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(df, df, 5).collect() == []
@@ -182,6 +198,9 @@ def test_segmentation_equals_all_splits():
         assert "".join(got) == label
         assert score(got) == pytest.approx(max(map(score, all_splits(label))))
     assert urlfilter.viterbi("cheappills", log_p, total) == ["cheap", "pills"]
+    long = "donaudampfschifffahrtsgesellschaftskapitaen"  # a word of the corpus stays whole however long it is
+    assert urlfilter.viterbi(long, {long: math.log(2 / total), "donau": math.log(5 / total)}, total) == [long]
+    assert urlfilter.viterbi("q" * 300 + "spam", {"spam": math.log(5 / total)}, total) == ["q" * 300, "spam"]
     assert urlfilter.viterbi("", {}, 0.0) == []
 
 
