@@ -492,6 +492,27 @@ UNION ALL SELECT a.case_id, 2*(s.rank-1)+1, 'model', s.answer FROM asked a JOIN
 UNION ALL SELECT a.case_id, 2*(SELECT count(*) FROM shown s WHERE s.q=a.case_id), 'user', a.text FROM asked a"""
 )
 
+# each range of two label lists is split at its longest common block, earliest first, until none is left;
+# the width of a block goes to the range before it
+_BLOCK = """list_sort(list_filter(flatten(list_transform(range(alo, ahi), lambda i: list_transform(range(blo, bhi),
+  lambda j: struct_pack(k := coalesce(list_max(list_filter(range(1, least(ahi-i, bhi-j)+1),
+    lambda n: a[i+1:i+n]=b[j+1:j+n])), 0), i := -i, j := -j)))), lambda x: x.k>0))[-1]"""
+_LABELS = "coalesce((SELECT list(label ORDER BY pos) FROM {0} WHERE {0}.case_id=c.case_id), CAST([] AS VARCHAR[]))"
+SQL["label_order_ratio"] = f"""WITH RECURSIVE {B.CASES},{B.sections('ts','template_content')},{B.sections('rs','report')},
+p AS (SELECT a, b, count(*) AS cases FROM (SELECT {_LABELS.format('ts')} AS a, {_LABELS.format('rs')} AS b FROM cases c
+  WHERE {B.valid('template_content')} AND {B.valid('report')}) GROUP BY a, b),
+steps AS (
+  SELECT a, b, CAST(0 AS BIGINT) AS alo, len(a) AS ahi, CAST(0 AS BIGINT) AS blo, len(b) AS bhi, CAST(0 AS BIGINT) AS width FROM p
+  UNION ALL
+  SELECT a, b, r.alo, r.ahi, r.blo, r.bhi, r.width FROM (
+    SELECT a, b, unnest([struct_pack(alo := alo, ahi := -m.i, blo := blo, bhi := -m.j, width := m.k),
+      struct_pack(alo := m.k-m.i, ahi := ahi, blo := m.k-m.j, bhi := bhi, width := CAST(0 AS BIGINT))]) AS r
+    FROM (SELECT *, {_BLOCK} AS m FROM steps WHERE alo<ahi AND blo<bhi) WHERE m IS NOT NULL)),
+matched AS (SELECT a, b, sum(width) AS n FROM steps GROUP BY a, b)
+SELECT array_to_string(a, '|') AS template, array_to_string(b, '|') AS report, cases,
+  CASE WHEN len(a)+len(b)=0 THEN 1.0 ELSE 2.0*CAST(n AS DOUBLE)/(len(a)+len(b)) END AS ratio
+FROM p JOIN matched USING (a, b)"""
+
 _FAIL = "'InvalidModelOutput: '||"
 SQL["parse_model_json"] = _DERIVED + f""",
 hit AS (SELECT case_id, arg_min(label, pos) AS label FROM kept WHERE contains(body, ' Measures') GROUP BY 1),

@@ -12,7 +12,7 @@ ROOT = os.path.dirname(os.path.abspath(entry.__file__))
 
 def test_every_sql_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    unexpressed = {"char_edit_ratio", "char_edit_stats", "label_order_ratio"}
+    unexpressed = {"char_edit_ratio", "char_edit_stats"}
     own = {q for q in entry.queries() if not q.startswith("op") and q != "pipeline"}
     assert own - set(entry.oracle_sql()) == unexpressed
 
@@ -25,7 +25,7 @@ def test_the_rest_works_without_the_corpus_operators(tmp_path):
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", env=env, capture_output=True, text=True, check=True)
     n, corpus, n_sql = out.stdout.split()
     assert (int(n), corpus) == (len([q for q in entry.queries() if not q.startswith("op") and q != "pipeline"]), "False")
-    assert int(n_sql) == int(n) - 3
+    assert int(n_sql) == int(n) - 2
 
 
 def test_nothing_else_imports_them():
