@@ -108,8 +108,12 @@ def predictions(cases: DataFrame, state: DataFrame) -> DataFrame:
     return cases.select("case_id", "row_index").join(done, "case_id")
 
 
-def failures(cases: DataFrame, state: DataFrame) -> DataFrame:
-    failed = state.where(F.col("status") == K.FAILED).select(*K.FAILURE_COLUMNS).withColumns(
+def failed(state: DataFrame) -> DataFrame:
+    """Cases whose last record is a failure; missing error texts are empty."""
+    return state.where(F.col("status") == K.FAILED).withColumns(
         {c: X.text(F.col(c)) for c in ("error_category", "error_message")}
     )
-    return failed.join(cases.select("case_id"), "case_id", "left_semi")
+
+
+def failures(cases: DataFrame, state: DataFrame) -> DataFrame:
+    return failed(state).select(*K.FAILURE_COLUMNS).join(cases.select("case_id"), "case_id", "left_semi")

@@ -3,8 +3,8 @@
 Cases are taken in batches of ``batch_size`` by row, and attempts of a batch are
 rounds: one Spark job over its cases still open.  What a round settles, by
 success or by its last failure, is appended to the log before the next round
-starts, and predictions and failures are rebuilt after each batch.  A run that
-stops loses the round it was in and the attempts of cases it would have tried
+starts, and predictions and failures follow each batch, in the ranges of rows
+that it touches (``plans/views.py``).  A run that stops loses the round it was in and the attempts of cases it would have tried
 again, nothing that was settled.
 """
 
@@ -28,6 +28,7 @@ from redline.operators import validation as V
 from redline.operators.generators import Generator
 from redline.plans import corpus
 from redline.plans.settings import Settings
+from redline.plans.views import Views
 from redline.sources import csv, jsonl, storage
 
 _CASE = ["row_index", *K.CASE_COLUMNS]
@@ -79,6 +80,9 @@ class Runner:
         self.spark, self.cases, self.generator = spark, cases, generator
         self.settings, self.paths, self.batch_size = settings, paths, batch_size
         self._next: int | None = None  # upper part of the next seq
+        self.views = Views(
+            spark, cases, paths.output("test_predictions.csv"), paths.output("failures.csv"), batch_size
+        )
 
     # --- log ------------------------------------------------------------------
 
@@ -211,8 +215,7 @@ class Runner:
                 F.count_if("_good"), F.count_if(~F.col("_good")), F.coalesce(F.sum("attempts"), F.lit(0))
             ).first()
             totals = [a + b for a, b in zip(totals, counted)]
-            state = corpus.keep(C.merged(state, self.as_records(outcome)))
-            self.publish(state)
+            self.views.update(self.as_records(outcome))
         return Summary(*totals, started, _now())
 
     def as_records(self, outcome: DataFrame) -> DataFrame:
@@ -225,14 +228,7 @@ class Runner:
 
     def publish(self, state: DataFrame | None = None) -> None:
         """Rebuild predictions and failures from the latest state, by default that of the log."""
-        state = corpus.keep(self.state()) if state is None else state
-        csv.write(
-            C.predictions(self.cases, state), self.paths.output("test_predictions.csv"),
-            keep=("case_id", "report"),
-        )
-        csv.write(
-            C.failures(self.cases, state), self.paths.output("failures.csv"), keep=K.FAILURE_COLUMNS
-        )
+        self.views.rebuild(corpus.keep(self.state()) if state is None else state)
 
     def remaining(self) -> DataFrame:
         return C.remaining(self.cases, self.state())

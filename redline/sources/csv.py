@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from redline.sources import numbering, storage
 from redline.sources.records import records
 
 _FORMAT = {"header": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
+_WRITE = {**_FORMAT, "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def read_strings(spark: SparkSession, path: str) -> DataFrame:
@@ -85,5 +87,51 @@ def write(df: DataFrame, path: str, order: str = "row_index", keep: Iterable[str
     """Replace a CSV folder; its part files are in row order, so none is one task's work."""
     columns = list(keep or df.columns)
     ordered = df.orderBy(order).select(*columns)
-    options = {**_FORMAT, "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    storage.replace(df.sparkSession, path, lambda fresh: ordered.write.options(**options).csv(fresh))
+    storage.replace(df.sparkSession, path, lambda fresh: ordered.write.options(**_WRITE).csv(fresh))
+
+
+def write_ranges(df: DataFrame, path: str, part: str, order: str, keep: Iterable[str]) -> None:
+    """Replace a CSV folder by one that has files of their own for each value of ``part``, a whole number from 0.
+
+    Names of files are in the order of ``part``, and each is sorted by ``order``.
+    """
+    columns = list(keep)
+
+    def fill(fresh: str) -> None:
+        storage.write_text(df.sparkSession, f"{fresh}/header.csv", ",".join(columns))
+        _move_ranges(df, fresh, None, part, order, columns)
+
+    storage.replace(df.sparkSession, path, fill)
+
+
+def replace_ranges(df: DataFrame, path: str, parts: list[int], part: str, order: str, keep: Iterable[str]) -> None:
+    """Put the files of ``df`` in the place of those of ``parts``; the other files of the folder are not touched.
+
+    A part without rows loses its files.  A reader can meet the moment in which
+    a part is between its two versions, and a stop then leaves it out until the
+    next ``write_ranges``.
+    """
+    _move_ranges(df, path, parts, part, order, list(keep))
+
+
+def _move_ranges(df: DataFrame, folder: str, parts: list[int] | None, part: str, order: str, columns: list[str]) -> None:
+    spark = df.sparkSession
+    beside = f"{folder}.part-{uuid.uuid4().hex}"
+    rows = df.repartition(part).sortWithinPartitions(part, order).select(part, *columns)
+    try:
+        rows.write.options(**_WRITE).partitionBy(part).csv(beside)
+        fresh = {
+            int(name.rsplit("=", 1)[1]): storage.names(spark, f"{beside}/{name}", ".csv")
+            for name in storage.names(spark, beside) if name.startswith(f"{part}=")
+        }
+        old: dict[int, list[str]] = {}
+        for name in storage.names(spark, folder, ".csv") if parts else []:
+            if name.startswith("rows-"):
+                old.setdefault(int(name.split("-")[1]), []).append(name)
+        for n in sorted(fresh) if parts is None else parts:
+            for name in old.get(n, []):
+                storage.remove(spark, f"{folder}/{name}")
+            for i, name in enumerate(fresh.get(n, [])):
+                storage.move(spark, f"{beside}/{part}={n}/{name}", f"{folder}/rows-{n:012d}-{i:03d}.csv")
+    finally:
+        storage.remove(spark, beside)

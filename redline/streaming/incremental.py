@@ -2,8 +2,8 @@
 
 The stream's own checkpoint remembers which files were read; the latest state
 decides what has succeeded, so a batch that is replayed after a failure only
-repeats cases without a success.  The state is read from the log once and then
-merged with the outcome of each batch; predictions and failures follow it.
+repeats cases without a success.  The state is read from the log once; then each
+batch changes the ranges of its own cases, in the state, predictions and failures.
 """
 
 from __future__ import annotations
@@ -27,14 +27,13 @@ def process_stream(runner: Runner, path: str, files_per_batch: int = 100) -> Str
     cases = (
         spark.readStream.schema(CASE_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(path)
     )
-    known = corpus.keep(runner.state())
+    runner.publish()
 
     def step(batch: DataFrame, _: int) -> None:
-        nonlocal known
-        todo = corpus.keep(C.plan(batch, known, resume=True))
+        todo = corpus.keep(C.plan(batch, runner.views.state(), resume=True))
         for part in runner.batches(todo):
-            known = corpus.keep(C.merged(known, runner.as_records(runner.process(part))))
-        runner.publish(known)
+            # rows of the files may be numbered in another way than the cases
+            runner.views.update(runner.as_records(runner.process(part)), placed=False)
 
     return (
         cases.writeStream.foreachBatch(step)
