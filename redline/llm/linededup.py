@@ -97,21 +97,54 @@ def _live(first: DataFrame, min_words: int) -> DataFrame:
     return rows.join(shared, ["side", "m", "half"], "left_semi")
 
 
+def _without_each(words: Column, seed: int) -> Column:
+    """Hashes of a word array: of all words first, then of those left when the first, second, ... word is left out.
+
+    A hash is the XOR over words of a hash of word and place.  A word left out moves the later ones by one place,
+    so ``changes`` (what moving a word does) of the words before it and the moved total give each hash.  The sums
+    before a word are kept for every ``step``-th word: the cost is n times its root, and no array is copied per word.
+    """
+    zero, step = F.lit(0).cast("long"), F.greatest(F.ceil(F.sqrt(F.size(words))), F.lit(1)).cast("int")
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, zero, lambda a, x: a.bitwiseXOR(x))
+
+    def at(word: Column, place: Column) -> Column:
+        return F.xxhash64(F.lit(seed), word, place)
+
+    def hashes(places: Column, changes: Column, sums: Column, moved: Column) -> Column:
+        def left(x: Column, i: Column) -> Column:
+            k = F.floor(i / step).cast("int")
+            before = F.element_at(sums, k + 1).bitwiseXOR(total(F.slice(changes, k * step + 1, i - k * step)))
+            return moved.bitwiseXOR(before).bitwiseXOR(x["moved"])
+
+        return F.concat(F.array(moved.bitwiseXOR(total(changes))), F.transform(places, left))
+
+    def sums_of(changes: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor(F.size(changes) / step).cast("int")), lambda k: total(F.slice(changes, k * step + 1, step)))
+        return bind(runs, lambda r: F.transform(r, lambda x, k: total(F.slice(r, 1, k))))
+
+    return bind(
+        F.transform(words, lambda w, i: F.struct(at(w, i).alias("stay"), at(w, i - 1).alias("moved"))),
+        lambda places: bind(
+            F.transform(places, lambda x: x["stay"].bitwiseXOR(x["moved"])),
+            lambda changes: bind(sums_of(changes), lambda sums: bind(
+                total(F.transform(places, lambda x: x["moved"])), lambda moved: hashes(places, changes, sums, moved)
+            )),
+        ),
+    )
+
+
 def _variants(live: DataFrame) -> DataFrame:
     """``key``, ``key2`` of each variant of a live line; ``w`` are its words."""
     rest = F.when(F.col("side") == 0, F.slice("w", F.col("m") + 1, F.greatest(F.col("n") - F.col("m"), F.lit(0)))).otherwise(
         F.slice("w", 1, F.greatest(F.col("n") - F.col("m"), F.lit(0)))
     )
-    one = live.select(*PLACE, "n", "side", "m", "half", rest.alias("rest"))
-    left_out = one.select(
-        *PLACE, "n", "side", "m", "half", "rest",
-        F.explode(F.sequence(F.lit(0), F.size("rest"))).alias("i"),
-    ).withColumn("v", F.when(F.col("i") == 0, F.col("rest")).otherwise(
-        F.concat(F.slice("rest", 1, F.greatest(F.col("i") - 1, F.lit(0))),
-                 F.slice("rest", F.col("i") + 1, F.size("rest")))
+    both = bind(rest, lambda r: F.zip_with(
+        _without_each(r, 1), _without_each(r, 2), lambda x, y: F.struct(x.alias("v1"), y.alias("v2"))
     ))
-    h = left_out.select(
-        *PLACE, "side", "m", "half", "n", "i", F.xxhash64("v").alias("v1"), F.hash("v").alias("v2")
+    h = live.select(*PLACE, "side", "m", "half", "n", F.posexplode(both).alias("i", "v")).select(
+        *PLACE, "side", "m", "half", "n", "i", "v.v1", "v.v2"
     )
     # i = 0: the whole line, may equal a longer one with a word left out; else a word left out, or exchanged at i
     kinds = F.when(F.col("i") == 0, F.array(F.struct(F.col("n").alias("size"), F.lit(0).alias("place")))).otherwise(

@@ -2,9 +2,11 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from redline.llm import components, decontaminate, linededup, neardup, substrings
 
@@ -324,3 +326,31 @@ def test_decontamination_equals_brute_force(spark, make_docs, word_list, monkeyp
     assert sorted(x.doc_id for x in clean.collect()) == sorted(d for d, f in want.items() if not f)
     assert decontaminate.report(make_docs([]), bench).collect() == []
     assert not any(x.contaminated for x in decontaminate.report(make_docs(docs), bench.limit(0)).collect())
+
+
+def test_hashes_without_each_word(spark):
+    r = random.Random(3)
+    rows = [(i, r.choices("abc", k=i % 40)) for i in range(120)]
+    d = spark.createDataFrame(rows, "id long, w array<string>")
+    both = d.select("id", "w", linededup._without_each(F.col("w"), 1).alias("h")).collect()
+    seen = {}
+    for r in both:
+        assert len(r.h) == len(r.w) + 1
+        for i, h in enumerate(r.h):
+            left = tuple(r.w) if i == 0 else tuple(r.w[:i - 1] + r.w[i:])
+            assert seen.setdefault(left, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_long_lines_alike(spark, make_docs, word_list):
+    r = random.Random(23)
+    line = r.choices(word_list, k=60_000)
+    at = 41_234
+    rows = [
+        (1, " ".join(line)), (2, " ".join(line[:at] + line[at + 1:])), (3, " ".join(line[:at] + ["other"] + line[at + 1:])),
+        (4, " ".join(line[:at] + ["other"] + line[at:])), (5, " ".join(line[:at] + ["other", "words"] + line[at + 2:])),
+    ]
+    start = time.monotonic()
+    got = {x.doc_id: (x.n_removed, x.n_near) for x in linededup.report(make_docs(rows)).collect()}
+    assert got == {1: (0, 0), 2: (1, 1), 3: (1, 1), 4: (1, 1), 5: (1, 1)}
+    assert time.monotonic() - start < 120  # no cost that grows with the square of the length
