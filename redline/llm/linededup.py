@@ -104,7 +104,7 @@ def _without_each(words: Column, seed: int) -> Column:
     so ``changes`` (what moving a word does) of the words before it and the moved total give each hash.  The sums
     before a word are kept for every ``step``-th word: the cost is n times its root, and no array is copied per word.
     """
-    zero, step = F.lit(0).cast("long"), F.greatest(F.ceil(F.sqrt(F.size(words))), F.lit(1)).cast("int")
+    zero = F.lit(0).cast("long")
 
     def total(values: Column) -> Column:
         return F.aggregate(values, zero, lambda a, x: a.bitwiseXOR(x))
@@ -112,25 +112,31 @@ def _without_each(words: Column, seed: int) -> Column:
     def at(word: Column, place: Column) -> Column:
         return F.xxhash64(F.lit(seed), word, place)
 
-    def hashes(places: Column, changes: Column, sums: Column, moved: Column) -> Column:
+    def hashes(places: Column, changes: Column, sums: Column, moved: Column, step: Column) -> Column:
         def left(x: Column, i: Column) -> Column:
-            k = F.floor(i / step).cast("int")
-            before = F.element_at(sums, k + 1).bitwiseXOR(total(F.slice(changes, k * step + 1, i - k * step)))
-            return moved.bitwiseXOR(before).bitwiseXOR(x["moved"])
+            before = total(F.slice(changes, i - i % step + 1, i % step))
+            return moved.bitwiseXOR(F.element_at(sums, (i / step).cast("int") + 1)).bitwiseXOR(before).bitwiseXOR(x["moved"])
 
         return F.concat(F.array(moved.bitwiseXOR(total(changes))), F.transform(places, left))
 
-    def sums_of(changes: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(0), F.floor(F.size(changes) / step).cast("int")), lambda k: total(F.slice(changes, k * step + 1, step)))
+    def sums_of(changes: Column, step: Column) -> Column:
+        runs = F.transform(
+            F.sequence(F.lit(0), (F.size(changes) / step).cast("int")), lambda k: total(F.slice(changes, k * step + 1, step))
+        )
         return bind(runs, lambda r: F.transform(r, lambda x, k: total(F.slice(r, 1, k))))
 
+    def with_step(places: Column, step: Column) -> Column:
+        return bind(
+            F.transform(places, lambda x: x["stay"].bitwiseXOR(x["moved"])),
+            lambda changes: bind(sums_of(changes, step), lambda sums: bind(
+                total(F.transform(places, lambda x: x["moved"])), lambda moved: hashes(places, changes, sums, moved, step)
+            )),
+        )
+
     return bind(
         F.transform(words, lambda w, i: F.struct(at(w, i).alias("stay"), at(w, i - 1).alias("moved"))),
         lambda places: bind(
-            F.transform(places, lambda x: x["stay"].bitwiseXOR(x["moved"])),
-            lambda changes: bind(sums_of(changes), lambda sums: bind(
-                total(F.transform(places, lambda x: x["moved"])), lambda moved: hashes(places, changes, sums, moved)
-            )),
+            F.greatest(F.ceil(F.sqrt(F.size(words))), F.lit(1)).cast("int"), lambda step: with_step(places, step)
         ),
     )
 
