@@ -76,5 +76,5 @@ def test_each_stage_equals_brute_force(spark, corpus):
 def test_queries_are_registered():
     from redline.llm.catalog import QUERIES, SQL
 
-    assert sorted({int(q[2:].split("_")[0]) for q in QUERIES}) == list(range(1, 11))
+    assert sorted({int(q[2:].split("_")[0]) for q in QUERIES}) == list(range(1, 14))
     assert set(SQL) <= set(QUERIES)
