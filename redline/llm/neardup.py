@@ -16,10 +16,11 @@ components, each named after its smallest doc_id.
    pairs whose tokens make the similarity possible are confirmed on the full sets.
    That joins most groups with a row per set, however large they are.
 5. Then all pairs of a node that are not yet in one component are compared, by
-   tokens first, then on the full sets.  Large nodes are compared in blocks, each
-   pair of blocks a unit of its own; nothing is capped.  A unit gives only links
-   that join two components, fewer than it has sets, so groups of many documents
-   near the limit cost comparisons in memory, but no rows.
+   tokens first, then on the full sets.  A node is one unit as long as its sets fit
+   a block (``BLOCK`` sets, ``ROOM`` shingles); beyond that each pair of blocks is a
+   unit of its own; nothing is capped.  A unit gives only links that join two
+   components, fewer than it has sets, so groups of many documents near the limit
+   cost comparisons in memory, but no rows.
 
 Recall: a pair at the limit stays together in a tree of depth d with about
 0.85^d or more; with 12 trees, less than 1 in 10^4 such pairs is never compared,
@@ -46,7 +47,8 @@ from redline.sources.shared import keep, keep_narrow
 
 WORDS = 5
 COORDINATES = 64
-BLOCK = 512  # sets of a node compared at a time
+BLOCK = 4096  # sets of a node compared at a time: a megabyte of tokens
+ROOM = 1 << 22  # shingles of a block: 32 MB
 _SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 
 
@@ -116,28 +118,28 @@ def _token(c: Column) -> Column:
 
 
 def _children(rows: DataFrame, percent: int) -> DataFrame:
-    """``path``, ``set_id``, ``tokens`` one level down: each path picks one coordinate, some paths a second."""
+    """``path``, ``set_id``, ``n``, ``tokens`` one level down: each path picks one coordinate, some paths a second."""
     more = int(1000 * (100 / percent - 1))
     pick = F.pmod(F.xxhash64("path", F.lit(1)), F.lit(COORDINATES)).cast("int")
     again = F.pmod(F.xxhash64("path", F.lit(2)), F.lit(COORDINATES)).cast("int")
     second = F.when(F.pmod(F.xxhash64("path", F.lit(3)), F.lit(1000)) < more, again)
     return rows.select(
-        "set_id", "tokens", "path", F.explode(F.array_compact(F.array(pick, second))).alias("c")
+        "set_id", "n", "tokens", "path", F.explode(F.array_compact(F.array(pick, second))).alias("c")
     ).select(
-        "set_id", "tokens", F.xxhash64("path", "c", _token(F.col("c"))).alias("path")
+        "set_id", "n", "tokens", F.xxhash64("path", "c", _token(F.col("c"))).alias("path")
     )
 
 
 def _nodes(sets: DataFrame, percent: int, trees: int, depth: int, small: int) -> DataFrame:
-    """``path``, ``set_id`` of the last node of every path that holds two sets at least."""
+    """``path``, ``set_id``, ``n`` of the last node of every path that holds two sets at least."""
     done = []
     level = sets.select(
-        "set_id", "tokens", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree")
+        "set_id", "n", "tokens", F.explode(F.sequence(F.lit(1), F.lit(trees))).alias("tree")
     ).select(
         # the first coordinates of the trees are all different
-        "set_id", F.explode(F.when(F.col("tree") % 6 == 0, F.array("tree", F.col("tree") + trees)).otherwise(F.array("tree"))).alias("c"),
+        "set_id", "n", F.explode(F.when(F.col("tree") % 6 == 0, F.array("tree", F.col("tree") + trees)).otherwise(F.array("tree"))).alias("c"),
         "tokens", "tree",
-    ).select("set_id", F.xxhash64("tree", "c", _token(F.col("c"))).alias("path"))
+    ).select("set_id", "n", F.xxhash64("tree", "c", _token(F.col("c"))).alias("path"))
     for d in range(1, depth + 1):
         level = keep(level.distinct())
         size = level.groupBy("path").count().where("count > 1")
@@ -147,7 +149,7 @@ def _nodes(sets: DataFrame, percent: int, trees: int, depth: int, small: int) ->
         size = keep_narrow(size)
         done.append(level.join(size.where(F.col("count") <= small).select("path"), "path", "left_semi"))
         large = level.join(size.where(F.col("count") > small).select("path"), "path", "left_semi")
-        level = _children(large.join(sets.select("set_id", "tokens"), "set_id"), percent).select("set_id", "path")
+        level = _children(large.join(sets.select("set_id", "tokens"), "set_id"), percent).select("set_id", "n", "path")
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
@@ -212,23 +214,20 @@ def _whole_sets(batches):
             )
 
 
-def _open_links(nodes: DataFrame, sets: DataFrame, texts: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
-    """``a``, ``b``: links that join the components of a node that are not one yet.
+def _units(named: DataFrame) -> DataFrame:
+    """``unit``, ``set_id``, ``component``, ``block``: sets of the nodes with more than one component, dealt to blocks.
 
-    Nodes within one component are done.  The sets of the others are dealt to
-    blocks of about BLOCK; each pair of blocks of a node meets in one unit.
+    Each pair of blocks of a node is a unit; a node whose sets fit one block is one, and has a row per set.
     """
-    member = linked.select(F.col("node").alias("set_id"), "component")
-    named = nodes.join(member, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     node = named.groupBy("path").agg(
-        F.count(F.lit(1)).alias("count"), F.min("component").alias("low"), F.max("component").alias("high"),
+        F.count(F.lit(1)).alias("count"), F.sum("n").alias("room"), F.min("component").alias("low"), F.max("component").alias("high"),
         F.expr("bit_xor(xxhash64(set_id))").alias("x"), F.expr("bit_xor(xxhash64(set_id, 1))").alias("y"),
     ).where("low <> high")
     # trees often have nodes of the same sets: one of them is enough
-    open_ = node.groupBy("count", "x", "y").agg(F.min("path").alias("path")).select(
-        "path", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")
+    open_ = node.groupBy("count", "room", "x", "y").agg(F.min("path").alias("path")).select(
+        "path", F.ceil(F.greatest(F.col("count") / BLOCK, F.col("room") / ROOM)).cast("int").alias("blocks")
     )
-    dealt = named.join(open_, "path").withColumn(
+    return named.join(open_, "path").withColumn(
         "block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
     ).select(
         "path", "set_id", "component", "block",
@@ -237,6 +236,15 @@ def _open_links(nodes: DataFrame, sets: DataFrame, texts: DataFrame, linked: Dat
         F.xxhash64("path", F.least("block", "other"), F.greatest("block", "other")).alias("unit"),
         "set_id", "component", "block",
     )
+
+
+def _open_links(nodes: DataFrame, sets: DataFrame, texts: DataFrame, linked: DataFrame, percent: int) -> DataFrame:
+    """``a``, ``b``: links that join the components of a node that are not one yet.
+
+    Nodes within one component are done.  The sets of the others meet in units.
+    """
+    member = linked.select(F.col("node").alias("set_id"), "component")
+    dealt = _units(nodes.join(member, "set_id", "left").withColumn("component", F.coalesce("component", "set_id")))
     tokens = sets.select("set_id", "tokens")
     rows = dealt.join(tokens, "set_id").select("unit", "set_id", "component", "block", "tokens")
     # only sets with a likely partner in another component carry their shingles to the unit

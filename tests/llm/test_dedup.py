@@ -168,6 +168,18 @@ def test_first_of_each_component_stays(make_docs, families):
     assert neardup.report(make_docs([])).collect() == []
 
 
+def test_large_unlinked_node_is_one_unit_until_its_memory_is_full(spark, monkeypatch):
+    """Rows of the comparison grow with the sets of a node, not with the square of their number."""
+    named = spark.range(1500).selectExpr("1L AS path", "id AS set_id", "100L AS n", "id AS component")
+    units = neardup._units(named)
+    assert (units.count(), units.select("unit").distinct().count()) == (1500, 1)
+    monkeypatch.setattr(neardup, "ROOM", 100 * 800)  # two blocks
+    units = neardup._units(named)
+    assert (units.count(), units.select("unit").distinct().count()) == (3000, 3)
+    met = units.alias("a").join(units.alias("b"), "unit").where("a.set_id < b.set_id").select("a.set_id", "b.set_id").distinct()
+    assert met.count() == 1500 * 1499 // 2
+
+
 def test_components_of_long_chains(spark):
     r = random.Random(2)
     order = r.sample(range(1000), 200)
