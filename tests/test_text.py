@@ -124,3 +124,28 @@ def test_char_edits(spark):
     got = [tuple(r)[2:] for r in diffing.with_char_edits(d, "a", "b").collect()]
     assert [g[:2] for g in got] == [(3, 0), (0, 3), (3, 3), (0, 0), (0, 0), (2, 2)]
     assert [g[2] for g in got] == [1 - 6 / 9, 1 - 6 / 9, 1.0, 0.0, 0.0, 1.0]
+
+
+def test_matching_reads_a_text_a_few_times_however_many_blocks_differ(monkeypatch):
+    rng = random.Random(11)
+    lines = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(70)) for _ in range(400)]
+    other = [line if n % 3 else line[::-1] for n, line in enumerate(lines)]
+    a, b = "\n".join(lines), "\n".join(other)
+    seen, of = [], diffing._Windows.of
+    monkeypatch.setattr(diffing._Windows, "of", lambda self, lo, hi, *rest: seen.append(hi - lo) or of(self, lo, hi, *rest))
+    kept = sum(70 for n in range(400) if n % 3)
+    assert kept < diffing.matched_length(a, b) < len(a)
+    assert sum(seen) < 12 * (len(a) + len(b))
+
+
+@pytest.mark.parametrize("alphabet", ["a", "ab", "abc ", "abcdefghij "])
+@pytest.mark.parametrize("small", [1, 64 * 64])
+def test_matching_of_repetitive_texts_equals_difflib(monkeypatch, alphabet, small):
+    monkeypatch.setattr(diffing, "_SMALL", small)
+    rng = random.Random(len(alphabet))
+    for _ in range(25):
+        a, c = ("".join(rng.choice(alphabet) for _ in range(rng.randint(1, 250))) for _ in range(2))
+        cut = rng.randint(0, len(a))
+        for b in (c, a[cut:] + c[:20] + a[:cut]):
+            want = sum(x.size for x in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+            assert diffing.matched_length(a, b) == want
