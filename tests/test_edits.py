@@ -9,6 +9,7 @@ from redline.functions import modeltext as M
 from redline.operators import analysis as A
 from redline.operators import edits as E
 from redline.operators import prompts as P
+from redline.operators import routing as W
 from redline.operators import template as T
 from redline.operators import validation as V
 from redline.plans.catalog import QUERIES
@@ -248,3 +249,11 @@ def test_placeholders_made_by_a_replacement(spark):
     d = spark.createDataFrame([(text, "left leg bone", "right"), ("no token", "x", "left")], "r string, b string, d string")
     out = d.select(E.resolve_placeholders(F.col("r"), F.col("b"), F.col("d")).alias("o")).collect()
     assert [r.o for r in out] == ["right and left leg", "no token"]
+
+
+def test_only_counts_with_support_are_weighed(spark):
+    """Counts too small to qualify never reach the window; totals and groups without any label stay."""
+    rows = [("a", ["X"])] * 3 + [("a", ["Y"]), ("b", ["Y"])]
+    d = W._associations(spark.createDataFrame(rows, "signal string, edited array<string>"), ["signal"])
+    got = sorted((r.signal, r.label or "", r.n, r.total) for r in d.collect())
+    assert got == [("a", "", 4, 4), ("a", "X", 3, 4), ("b", "", 1, 1)]
