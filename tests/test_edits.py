@@ -9,9 +9,11 @@ from redline.functions import modeltext as M
 from redline.operators import analysis as A
 from redline.operators import edits as E
 from redline.operators import prompts as P
+from redline.operators import retrieval as S
 from redline.operators import routing as W
 from redline.operators import template as T
 from redline.operators import validation as V
+from redline.plans import corpus
 from redline.plans.catalog import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -257,3 +259,17 @@ def test_only_counts_with_support_are_weighed(spark):
     d = W._associations(spark.createDataFrame(rows, "signal string, edited array<string>"), ["signal"])
     got = sorted((r.signal, r.label or "", r.n, r.total) for r in d.collect())
     assert got == [("a", "", 4, 4), ("a", "X", 3, 4), ("b", "", 1, 1)]
+
+
+def test_texts_of_prompts_and_features_are_derived_once(spark):
+    cases = corpus.all_cases(spark, SMALL)
+    for name, d in (("prompts", P.build(cases, "system")), ("index", S.index_features(cases))):
+        plan = d._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(text") == 1, name
+
+
+def test_names_are_the_labels_of_the_sections(spark):
+    d = T.parse(frame(spark, [(t, "", "", "") for t in (SECTIONED, GROUPED, PROSE, "x")]), "template_content", "t")
+    rows = d.select(T.labels(F.col("t_sections")).alias("a"), T.names(F.col("template_content")).alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows]
+    assert [r.b for r in rows][2:] == [[], None]
