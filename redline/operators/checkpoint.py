@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from redline import constants as K
 from redline.functions import text as X
+from redline.operators.template import once
 
 RECORD = T.StructType(
     [
@@ -30,16 +31,18 @@ _NUMBERS = {"row_index": ("bigint", -1), "attempts": ("int", 1), "latency_second
 def typed_records(lines: DataFrame, value: str = "value") -> DataFrame:
     """Records from JSON text: absent fields get defaults, unusable numbers drop the line."""
     raw = T.StructType([T.StructField(f.name, T.StringType()) for f in RECORD.fields])
-    d = lines.withColumn("_r", F.from_json(value, raw)).withColumn("_k", F.json_object_keys(value))
-    good = F.col("_k").isNotNull()
+    read = F.struct(F.from_json(value, raw).alias("r"), F.json_object_keys(value).alias("k"))
+    d = once(lines.withColumn("_read", read), "_read")
+    keys = F.col("_read.k")
+    good = keys.isNotNull()
     columns = []
     for field in RECORD.fields:
-        text = F.col(f"_r.{field.name}")
+        text = F.col(f"_read.r.{field.name}")
         if field.name in _NUMBERS:
             kind, default = _NUMBERS[field.name]
             # A number may come as text, and an integer as a decimal number.
             number = F.coalesce(text.try_cast(kind), text.try_cast("double").try_cast(kind))
-            absent = ~F.array_contains("_k", field.name)
+            absent = ~F.array_contains(keys, field.name)
             good = good & (absent | number.isNotNull())
             text = F.when(absent, F.lit(default).cast(kind)).otherwise(number)
         elif not field.name.startswith("error_"):

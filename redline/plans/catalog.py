@@ -362,15 +362,15 @@ def contract_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def checkpoint_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log lines as JSON, some damaged, read back as typed records."""
     log = corpus.checkpoint_log(spark, sf_dir)
-    line = F.to_json(F.struct(*[c for c in log.columns if c != "seq"]))
-    kind = F.col("seq") % 16
+    line = F.to_json(F.struct(*[c for c in log.columns if c != "seq"])).alias("line")
+    log, line, kind = T.once(corpus.spread(log).select("seq", line), "line"), F.col("line"), F.col("seq") % 16
     damaged = (
         F.when(kind == 3, F.left(line, F.length(line) - 9))
         .when(kind == 5, F.replace(line, F.lit('"row_index":'), F.lit('"row_index":"x","old":')))
         .when(kind == 7, F.replace(line, F.lit('"attempts":'), F.lit('"old":')))
         .otherwise(line)
     )
-    lines = log.select("seq", damaged.alias("value"))
+    lines = T.once(log.select("seq", damaged.alias("value")), "value")
     lines = lines.where(M.is_json(F.col("value")))
     d = C.valid_records(C.typed_records(lines))
     return d.select(
